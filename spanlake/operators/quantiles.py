@@ -18,6 +18,7 @@ from spanlake.functions.columns import log_bucket
 from spanlake.session import checkpoint
 
 BITS = 5
+RANGE_BITS = 4  # coarser: these histograms are copied along a lookback
 
 
 def _rank_columns(total: Column, probs: Sequence[float]) -> list[Column]:
@@ -107,34 +108,32 @@ def median_mad_over_ranges(freq: DataFrame, keys: Sequence[str], sums: Sequence[
     times the MAD) so that they stay integers.
     """
     keys = list(keys)
-    source = [*keys, "k_lo", "k_hi"]
-    group = [*keys, "as_of_index"]
-    freq = checkpoint(freq.filter("k_lo <= k_hi").withColumn("_b", log_bucket(F.col("_v"), BITS)))
-    hist = (
-        freq.groupBy(*source, "_b")
-        .agg(
+    # The selective integers lead: sorts then rarely compare the other keys.
+    source = ["k_lo", "k_hi", *keys]
+    group = ["as_of_index", *keys]
+    freq = checkpoint(freq.filter("k_lo <= k_hi").withColumn("_b", log_bucket(F.col("_v"), RANGE_BITS)))
+    parts = checkpoint(
+        freq.groupBy(*source, "_b").agg(
             F.sum("_n").alias("_n"),
             *[F.sum(s).alias(s) for s in sums],
             F.min("_v").alias("_min"),
             F.max("_v").alias("_max"),
         )
-        .transform(_expand_sources)
+    )
+    hist = checkpoint(
+        _expand_sources(parts)
         .groupBy(*group, "_b")
         .agg(
             F.sum("_n").alias("_n"),
             *[F.sum(s).alias(s) for s in sums],
             F.min("_min").alias("_min"),
             F.max("_max").alias("_max"),
-            # Bounded by the ranges that can cover one index, not by the data.
-            F.collect_list(F.struct("k_lo", "k_hi")).alias("_src"),
         )
     )
-    hist = checkpoint(hist)
 
-    def values_of(wanted: DataFrame, carry: list[str]) -> DataFrame:
-        need = wanted.select(*group, "_b", *carry, F.explode("_src").alias("_s")).select(
-            *group, "_b", *carry, "_s.k_lo", "_s.k_hi"
-        )
+    def values_of(wanted: DataFrame) -> DataFrame:
+        """The counted values of the wanted (group, bucket) rows."""
+        need = _expand_sources(parts.select(*source, "_b")).join(wanted, [*group, "_b"])
         return freq.select(*source, "_b", "_v", "_n").join(need, [*source, "_b"])
 
     whole = Window.partitionBy(*group)
@@ -151,7 +150,7 @@ def median_mad_over_ranges(freq: DataFrame, keys: Sequence[str], sums: Sequence[
     )
     carry = ["_lo", "n", *sums]
     ranked = (
-        values_of(wanted, carry)
+        values_of(wanted.select(*group, "_b", *carry))
         .groupBy(*group, "_b", *carry, "_v")
         .agg(F.sum("_n").alias("_n"))
         .withColumn("_hi", F.col("_lo") + F.sum("_n").over(_cumulative([*group, "_b"], "_v")))
@@ -174,7 +173,7 @@ def median_mad_over_ranges(freq: DataFrame, keys: Sequence[str], sums: Sequence[
     at_max = F.abs(2 * F.col("_max") - F.col("median2"))
     inside = (2 * F.col("_min") <= F.col("median2")) & (F.col("median2") <= 2 * F.col("_max"))
     bounded = (
-        hist.select(*group, "_b", "_n", "_min", "_max", "_src")
+        hist.select(*group, "_b", "_n", "_min", "_max")
         .join(medians.select(*group, "n", "median2"), group)
         .withColumn("_dlo", F.when(inside, F.lit(0)).otherwise(F.least(at_min, at_max)))
         .withColumn("_dhi", F.greatest(at_min, at_max))
@@ -189,7 +188,7 @@ def median_mad_over_ranges(freq: DataFrame, keys: Sequence[str], sums: Sequence[
         .filter((F.col("_dhi") >= F.col("_floor")) & (F.col("_dlo") <= F.col("_ceil")))
     )
     deviations = (
-        values_of(bounded, ["n", "median2", "_below"])
+        values_of(bounded.select(*group, "_b", "n", "median2", "_below"))
         .withColumn("_d", F.abs(2 * F.col("_v") - F.col("median2")))
         .groupBy(*group, "n", "_below", "_d")
         .agg(F.sum("_n").alias("_n"))

@@ -86,6 +86,7 @@ def _double(nodes: DataFrame) -> DataFrame:
             F.when(linked, F.col("parent_span_id")).alias("ptr"),
             F.when(linked, 1).otherwise(0).cast("bigint").alias("dist"),
             F.when(~linked, F.col("span_id")).alias("seed"),
+            F.when(~linked, F.col("kind")).alias("seed_kind"),
         )
     )
     open_before = state.filter("seed IS NULL").count()
@@ -96,6 +97,7 @@ def _double(nodes: DataFrame) -> DataFrame:
             F.col("ptr").alias("_ptr"),
             F.col("dist").alias("_dist"),
             F.col("seed").alias("_seed"),
+            F.col("seed_kind").alias("_kind"),
         )
         moved = (
             state.filter("seed IS NULL")
@@ -106,6 +108,7 @@ def _double(nodes: DataFrame) -> DataFrame:
                 F.col("_ptr").alias("ptr"),
                 (F.col("dist") + F.col("_dist")).alias("dist"),
                 F.col("_seed").alias("seed"),
+                F.col("_kind").alias("seed_kind"),
             )
         )
         state = checkpoint(state.filter("seed IS NOT NULL").unionByName(moved))
@@ -113,7 +116,7 @@ def _double(nodes: DataFrame) -> DataFrame:
         if open_now == open_before:
             break
         open_before = open_now
-    return state.filter("seed IS NOT NULL").select(*SCOPE, "span_id", "seed", "dist")
+    return state.filter("seed IS NOT NULL").select(*SCOPE, "span_id", "seed", "seed_kind", "dist")
 
 
 def span_seeds(spans: DataFrame) -> DataFrame:
@@ -124,10 +127,10 @@ def span_seeds(spans: DataFrame) -> DataFrame:
     """
     links = checkpoint(link_kinds(spans))
     reached = _double(internal_spans(links)).select(
-        *SCOPE, F.col("span_id").alias("parent_span_id"), "seed", (F.col("dist") + 1).alias("dist")
+        *SCOPE, F.col("span_id").alias("parent_span_id"), "seed", "seed_kind", (F.col("dist") + 1).alias("dist")
     )
     seeds = links.filter("kind <> 'linked'").withColumns(
-        {"seed": F.col("span_id"), "dist": F.lit(0).cast("bigint")}
+        {"seed": F.col("span_id"), "seed_kind": F.col("kind"), "dist": F.lit(0).cast("bigint")}
     )
     rest = links.filter("kind = 'linked'").join(reached, [*SCOPE, "parent_span_id"], "left")
     return seeds.unionByName(rest.select(*seeds.columns))

@@ -27,12 +27,17 @@ def trace_start_us(key: Column) -> Column:
     return F.lit(BASE_SECONDS * 1_000_000) + F.pmod(key * GAP_US, F.lit(HORIZON_US))
 
 
+def _scattered(number: Column, width: int) -> Column:
+    """A unique hex id whose leading digits vary, like random ids do."""
+    return F.rpad(F.reverse(F.lower(F.hex(number))), width, "0")
+
+
 def span_id(key: Column, line: Column) -> Column:
-    return F.lpad(F.lower(F.hex(key * 16 + line + 1)), 16, "0")
+    return _scattered(key * 16 + line + 1, 16)
 
 
 def trace_id(key: Column) -> Column:
-    return F.lpad(F.lower(F.hex(key + 1)), 32, "0")
+    return _scattered(key + 1, 32)
 
 
 def minute_index(us: Column) -> Column:
