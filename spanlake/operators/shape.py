@@ -138,9 +138,10 @@ def offsets_by_window(offsets: DataFrame, spine: DataFrame, window_seconds: int
     Turns the as-of lookup of any number of spans into an equi-join.
     """
     series = Window.partitionBy("service_name").orderBy("window_start")
-    last = spine.agg(F.max("window_start").alias("_last"))
-    until = F.coalesce(F.lead("window_start").over(series) - window_seconds, F.col("_last"))
-    spread = offsets.join(last, F.lit(True), "left").withColumn("_until", F.greatest(until, F.col("window_start")))
+    last = spine.agg(F.max("window_start")).scalar()
+    spread = offsets.withColumn("_next", F.lead("window_start").over(series) - window_seconds).withColumn(
+        "_until", F.greatest(F.coalesce("_next", last), F.col("window_start"))
+    )
     step = F.lit(window_seconds).cast("bigint")
     return spread.select(
         F.explode(F.sequence("window_start", "_until", step)).alias("as_of"),

@@ -119,11 +119,11 @@ def q_trace_detail(spans: DataFrame, classifications: DataFrame, trace_id: str)
 def q_offsets_as_of(spans: DataFrame, offsets: DataFrame, trace_id: str) -> DataFrame:
     """Latest offset of each of the trace's services at or before its start."""
     own = spans.filter(F.col("trace_id") == check_trace_id(trace_id))
-    begin = own.agg(F.min("start_time_unix_nano").alias("start_ns"))
+    begin = own.agg(F.min("start_time_unix_nano")).scalar()
     services = own.select("service_name").distinct()
     return (
         offsets.join(services, "service_name", "left_semi")
-        .join(begin, F.col("window_start") * NS <= F.col("start_ns"))
+        .filter(F.col("window_start") * NS <= begin)
         .groupBy("service_name")
         .agg(F.max_by(F.struct("offset_ns", "confidence"), "window_start").alias("_o"))
         .select("service_name", "_o.*")
