@@ -76,17 +76,26 @@ def _latest_per_key(incidents: DataFrame, by: Sequence[str]) -> DataFrame:
     return incidents.groupBy(*key).agg(F.max_by(F.struct(*rest), "start_window").alias("_i")).select(*key, "_i.*")
 
 
-def incident_overlap(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Pairs of incidents equal on ``on`` whose closed window ranges overlap."""
-    r = right.select(
+def incident_overlap(
+    left: DataFrame, right: DataFrame, on: Sequence[str], window_seconds: int = WINDOW_SECONDS
+) -> DataFrame:
+    """Pairs of incidents equal on ``on`` whose closed window ranges overlap.
+
+    Overlapping ranges share the later of their two starts, so joining on that
+    one window yields each overlapping pair once and no other pair.
+    """
+    step = F.lit(window_seconds).cast("bigint")
+    covered = lambda: F.explode(F.sequence("start_window", "end_window", step)).alias("_w")
+    mine = left.select("*", covered())
+    other = right.select(
         *on,
         F.col("incident_id").alias("other_id"),
         F.col("target").alias("other_target"),
         F.col("start_window").alias("_os"),
-        F.col("end_window").alias("_oe"),
+        covered(),
     )
-    meets = (F.col("start_window") <= F.col("_oe")) & (F.col("_os") <= F.col("end_window"))
-    return left.join(r, list(on)).filter(meets).drop("_os", "_oe")
+    first_shared = F.col("_w") == F.greatest("start_window", "_os")
+    return mine.join(other, [*on, "_w"]).filter(first_shared).drop("_os", "_w")
 
 
 def service_roots(incidents: DataFrame, edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:

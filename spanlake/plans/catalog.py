@@ -33,6 +33,9 @@ from spanlake.schemas import KEYS, NS
 from spanlake.session import configure, scratch_path, write_scratch
 from spanlake.sources import otlp, tabular
 from spanlake.sources.tables import TableStore, retention, span_sink
+from spanlake.streaming import ingest
+from spanlake.streaming.incidents import stream_open_incidents
+from spanlake.streaming.processor import WindowProcessor
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, tuple[Query, str | None]] = {}
@@ -165,8 +168,21 @@ def otlp_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(cut.alias("value"))
 
 
+_OTLP_PATHS: dict[tuple[str, str], str] = {}
+
+
+def otlp_file(spark: SparkSession, sf_dir: str) -> str:
+    """The export requests as a folder of JSON lines, written once per session."""
+    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
+    if key not in _OTLP_PATHS:
+        path = scratch_path(spark, "otlp")
+        otlp_lines(spark, sf_dir).write.text(path)
+        _OTLP_PATHS[key] = path
+    return _OTLP_PATHS[key]
+
+
 def _flat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return otlp.otlp_flatten(otlp.skip_corrupt(otlp.parse_otlp(otlp_lines(spark, sf_dir))))
+    return otlp.otlp_flatten(otlp.skip_corrupt(otlp.read_otlp(spark, otlp_file(spark, sf_dir))))
 
 
 _L = "(SELECT l_orderkey AS key, l_linenumber::BIGINT AS ln, * FROM lineitem)"
@@ -220,8 +236,9 @@ def _(a, spark, sf):
 @query("skip_corrupt", f"SELECT count(*) FILTER (key % 31 <> 0) AS decoded, count(*) FILTER (key % 31 = 0) AS quarantined FROM {_L}")
 def _(a, spark, sf):
     bad = F.col(otlp.CORRUPT).isNotNull()
-    return otlp.parse_otlp(otlp_lines(spark, sf)).agg(
-        F.count_if(~bad).alias("decoded"), F.count_if(bad).alias("quarantined")
+    requests = otlp.read_otlp(spark, otlp_file(spark, sf))
+    return requests.agg(
+        F.count_if(~bad & F.col("resourceSpans").isNotNull()).alias("decoded"), F.count_if(bad).alias("quarantined")
     )
 
 
@@ -341,7 +358,7 @@ def _(a, spark, sf):
 _SPECS_SQL = f"""(SELECT n_name AS id, list_extract(['latency_spike', 'latency_tail', 'error_burst', 'throughput_drop', 'edge_disappearance'], n_nationkey % 5 + 1) AS type,
  CASE WHEN n_nationkey % 5 < 3 THEN list_extract(['search', 'shipping'], n_regionkey % 2 + 1) ELSE '' END AS target_service,
  CASE WHEN n_nationkey % 5 >= 3 THEN 'checkout' ELSE '' END AS target_caller, CASE WHEN n_nationkey % 5 >= 3 THEN 'payments' ELSE '' END AS target_callee,
- {BASE} + n_nationkey * 100 AS a, {BASE} + n_nationkey * 100 + 500 AS b, CASE WHEN n_nationkey % 5 < 2 THEN 1.5 ELSE 0.25 END::DOUBLE + n_regionkey * 0.0625 AS m FROM nation)"""
+ {BASE}::BIGINT + n_nationkey * 100 AS a, {BASE}::BIGINT + n_nationkey * 100 + 500 AS b, CASE WHEN n_nationkey % 5 < 2 THEN 1.5 ELSE 0.25 END::DOUBLE + n_regionkey * 0.0625 AS m FROM nation)"""
 
 
 def incident_specs(spark: SparkSession, sf: str) -> DataFrame:
@@ -1274,3 +1291,97 @@ FROM (SELECT type, {_LATENCY_SQL} AS s FROM matched WHERE detected) GROUP BY 1""
 def _(a, spark, sf):
     _, _, true, found = _eval_inputs(a, spark, sf)
     return evaluate.latency_distribution(evaluate.eval_detection_latency(evaluate.eval_incident_match(true, found)))
+
+
+# --- streaming: the same results from streams over the same files ---------
+
+
+def _store(spark: SparkSession, name: str) -> TableStore:
+    return TableStore(spark, scratch_path(spark, name))
+
+
+@query("stream_ingest", f"SELECT {SLIM_SQL} FROM line_spans")
+def _(a, spark, sf):
+    store = _store(spark, "stream_ingest")
+    run = ingest.stream_ingest(
+        tabular.line_span_stream(spark, sf), store, scratch_path(spark, "offsets"), available_now=True
+    )
+    ingest.run_to_end(run)
+    return store.read("spans").select(*SLIM)
+
+
+@query("stream_dedup", "SELECT trace_id, span_id FROM line_spans")
+def _(a, spark, sf):
+    path = scratch_path(spark, "stream_dedup")
+    kept = ingest.stream_dedup(tabular.line_span_stream(spark, sf), 86_400).select("trace_id", "span_id")
+    ingest.run_to_end(
+        ingest.start(kept.writeStream.format("parquet").option("path", path), scratch_path(spark, "offsets"), available_now=True)
+    )
+    return spark.read.schema(kept.schema).parquet(path)
+
+
+@query(
+    "stream_service_stats",
+    """SELECT window_start, service_name, count(*) AS call_count, count(*) FILTER (status_code = 2) AS error_count,
+ round(quantile_cont(ms, 0.5), 6) AS latency_p50_ms, round(quantile_cont(ms, 0.95), 6) AS latency_p95_ms, round(quantile_cont(ms, 0.99), 6) AS latency_p99_ms
+FROM (SELECT start_ns // 60000000000 * 60 AS window_start, service_name, status_code, (end_ns - start_ns) / 1e6 AS ms FROM raw_lines)
+WHERE window_start + 60 + 30 <= (SELECT max(start_ns) // 1000000 / 1e3 FROM raw_lines) GROUP BY ALL""",
+)
+def _(a, spark, sf):
+    store = _store(spark, "stream_service_stats")
+    run = ingest.stream_service_stats(
+        tabular.line_span_stream(spark, sf), store, scratch_path(spark, "offsets"), available_now=True
+    )
+    ingest.run_to_end(run)
+    return store.read("service_stats")
+
+
+@query(
+    "stream_late_side_output",
+    """SELECT trace_id, span_id, max(ingested_ns) AS ingested_at_unix_nano FROM raw_lines
+WHERE ingested_ns > (start_ns // 60000000000 * 60 + 90) * 1000000000 GROUP BY ALL""",
+)
+def _(a, spark, sf):
+    late = _store(spark, "late")
+    run = ingest.stream_late_side_output(
+        tabular.line_span_stream(spark, sf), _store(spark, "on_time"), late, scratch_path(spark, "offsets"), available_now=True
+    )
+    ingest.run_to_end(run)
+    return late.read("spans").select("trace_id", "span_id", "ingested_at_unix_nano")
+
+
+@query(
+    "stream_window_processor",
+    f"""SELECT window_start, caller AS caller_service, callee AS callee_service, call_count, error_count, {STATS_SQL} FROM (
+ SELECT p.window_start, q.service_name AS caller, p.service_name AS callee, count(*) AS call_count, count(*) FILTER (p.status_code = 2) AS error_count,
+  quantile_cont((p.end_ns - p.start_ns) / 1e6, 0.5) AS p50, quantile_cont((p.end_ns - p.start_ns) / 1e6, 0.95) AS p95, quantile_cont((p.end_ns - p.start_ns) / 1e6, 0.99) AS p99
+ FROM line_spans p JOIN line_spans q ON q.trace_id = p.trace_id AND q.window_start = p.window_start AND q.span_id = p.parent_span_id AND p.parent_span_id <> ''
+ GROUP BY ALL) WHERE window_start + 60 <= ((SELECT max(start_ns) FROM line_spans) - 30000000000) // 60000000000 * 60""",
+)
+def _(a, spark, sf):
+    store = _store(spark, "windows")
+    run = WindowProcessor(store).stream(
+        tabular.line_span_stream(spark, sf), scratch_path(spark, "offsets"), available_now=True
+    )
+    ingest.run_to_end(run)
+    return store.read("service_edges")
+
+
+@query("stream_open_incidents", f"SELECT {INCIDENT_SQL} FROM grouped")
+def _(a, spark, sf):
+    spark.conf.set(
+        "spark.sql.streaming.stateStore.providerClass",
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    )
+    source, updates = scratch_path(spark, "detections"), scratch_path(spark, "updates")
+    a.detections.select(*DETECTION).write.parquet(source)
+    stream = spark.readStream.schema(a.detections.select(*DETECTION).schema).parquet(source)
+
+    def save(df: DataFrame, batch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{updates}/batch={batch}")
+
+    out = stream_open_incidents(stream)
+    writer = out.writeStream.outputMode("update").foreachBatch(save)
+    ingest.run_to_end(ingest.start(writer, scratch_path(spark, "offsets"), available_now=True))
+    rows = spark.read.parquet(updates).drop("batch")
+    return latest_version(rows, ["incident_id"], ["window_count", "closed"]).select(*INCIDENT)

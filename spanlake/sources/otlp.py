@@ -55,7 +55,8 @@ def read_otlp(spark: SparkSession, path: str) -> DataFrame:
 def parse_otlp(lines: DataFrame, value: str = "value") -> DataFrame:
     """The same for a text column, batch or stream (e.g. the value of a topic)."""
     parsed = F.from_json(F.col(value).cast("string"), REQUEST, {"columnNameOfCorruptRecord": CORRUPT})
-    return lines.select(parsed.alias("_r")).select("_r.*")
+    # A generator keeps the parse from being repeated for every column used above it.
+    return lines.select(F.inline(F.array(parsed)))
 
 
 def split_corrupt(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
