@@ -1,9 +1,9 @@
 """Rolling robust baselines of services and call edges.
 
 A baseline as of a window is built from everything in the lookback strictly
-before it. Instead of re-reading the lookback for every window, each call is
-reduced to (target, first index, last index, duration) with its count; only
-histograms are copied to the windows they count for (see quantiles).
+before it. Instead of re-reading the lookback for every window, each call knows
+the range of windows it counts for, and only histograms of the durations are
+copied along that range (see quantiles).
 """
 
 from __future__ import annotations
@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from spanlake.functions.columns import duration_ns, int_div, floor_to, is_error, safe_ratio, target_label
 from spanlake.operators.aggregates import TARGET
-from spanlake.operators.quantiles import frequencies, median_mad_over_ranges, small_mad, small_median
+from spanlake.operators.quantiles import median_mad_over_ranges, small_mad, small_median
 from spanlake.schemas import BASELINE_LOOKBACK_SECONDS, BASELINE_MIN_SAMPLES, NS, WINDOW_SECONDS
+from spanlake.session import checkpoint
 
 START = "start_time_unix_nano"
 
@@ -103,8 +104,13 @@ def baselines(
 ) -> DataFrame:
     """One row per (as_of, target) with any call in the lookback."""
     calls = lookback_calls(spans, any_pairs, window_seconds, lookback_seconds)
-    freq = frequencies(calls, [*TARGET, "k_lo", "k_hi"], "duration_ns", ["errors"])
-    latency = median_mad_over_ranges(freq, TARGET, ["errors"]).select(
+    # Number the targets once; every later key, sort and shuffle is on integers.
+    # The list has one row per service and edge, and AQE decides how to join it.
+    targets = checkpoint(
+        calls.select(*TARGET).distinct().withColumn("target_id", F.monotonically_increasing_id())
+    )
+    coded = calls.join(targets, TARGET).select("target_id", "k_lo", "k_hi", "duration_ns", "errors")
+    latency = median_mad_over_ranges(coded, ["target_id"], "duration_ns", ["errors"]).join(targets, "target_id").select(
         *TARGET,
         (F.col("as_of_index") * window_seconds).alias("as_of"),
         F.col("n").alias("call_count_observed"),

@@ -148,7 +148,9 @@ def service_roots(incidents: DataFrame, edges: DataFrame, by: Sequence[str] = ()
             .agg(F.min("_root").alias("_root"), F.count_if(F.col("_root").isNull()).alias("_open"))
             .filter("_open = 0")
         )
-        found = F.when(F.col("loop"), F.least("_root", "self")).otherwise(F.col("_root"))
+        # least() skips NULLs, so an unsettled incident must be kept out of it.
+        end = F.when(F.col("loop"), F.least("_root", "self")).otherwise(F.col("_root"))
+        found = F.when(F.col("_root").isNotNull(), end)
         state = checkpoint(
             state.join(settled, [*by, "incident_id"], "left").select(
                 *by, "incident_id", "self", "loop", F.coalesce("root", found).alias("root")

@@ -1,10 +1,13 @@
 """Exact percentiles, medians and MADs of groups of any size.
 
 ``percentile`` keeps every distinct value of a group in one task. Here a group
-is first reduced to (value, count) pairs, then to a log-linear histogram with a
-bounded number of buckets; the histogram says which buckets hold the wanted
-ranks, and only the values of those buckets are ranked. No task ever sees more
-than one bucket or one histogram of a group, and the result is exact.
+is first reduced to a log-linear histogram with a bounded number of buckets
+(combined before the shuffle); the histogram says which buckets hold the wanted
+ranks, and only the values of those buckets are counted and ranked. The rows
+themselves are not shuffled by group, no task sees more than one bucket or one
+histogram of a group, and the result is exact.
+
+The input is read twice, so an expensive one should be a written table.
 """
 
 from __future__ import annotations
@@ -42,23 +45,31 @@ def _cumulative(keys: Sequence[str], order: str) -> Window:
     )
 
 
-def frequencies(df: DataFrame, keys: Sequence[str], value: str, sums: Sequence[str] = ()) -> DataFrame:
-    """(keys, value) with ``_n`` rows and summed extras: combined before the shuffle."""
-    return df.groupBy(*keys, F.col(value).alias("_v")).agg(
-        F.count(F.lit(1)).alias("_n"), *[F.sum(s).alias(s) for s in sums]
-    )
-
-
-def percentiles_of_frequencies(
-    freq: DataFrame, keys: Sequence[str], probs: Sequence[float], sums: Sequence[str] = ()
+def percentiles(
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    probs: Sequence[float],
+    sums: Sequence[str] = (),
+    weight: str | None = None,
 ) -> DataFrame:
-    """keys, n, summed extras, and ``p0..`` with linear interpolation at p*(n-1)."""
+    """keys, n, summed extras, and ``p0..`` with linear interpolation at p*(n-1).
+
+    ``value`` is a BIGINT; ``weight`` names a column that says how many rows a
+    row stands for (1 without it).
+    """
     keys = list(keys)
-    freq = freq.withColumn("_b", log_bucket(F.col("_v"), BITS))
+    rows = df.select(
+        *keys,
+        F.col(value).alias("_v"),
+        log_bucket(F.col(value), BITS).alias("_b"),
+        (F.col(weight) if weight else F.lit(1)).cast("bigint").alias("_n"),
+        *[F.col(s).alias(f"_s_{s}") for s in sums],
+    )
     whole = Window.partitionBy(*keys)
     hist = (
-        freq.groupBy(*keys, "_b")
-        .agg(F.sum("_n").alias("_n"), *[F.sum(s).alias(s) for s in sums])
+        rows.groupBy(*keys, "_b")
+        .agg(F.sum("_n").alias("_n"), *[F.sum(f"_s_{s}").alias(s) for s in sums])
         .withColumn("_hi", F.sum("_n").over(_cumulative(keys, "_b")))
         .withColumn("_lo", F.col("_hi") - F.col("_n"))
         .withColumn("n", F.sum("_n").over(whole))
@@ -67,8 +78,10 @@ def percentiles_of_frequencies(
     ranks = _rank_columns(F.col("n"), probs)
     wanted = hist.filter(_holds_any(ranks, "_lo", "_hi")).select(*keys, "_b", "_lo", "n", *sums)
     detail = (
-        freq.select(*keys, "_b", "_v", "_n")
+        rows.select(*keys, "_b", "_v", "_n")
         .join(wanted, [*keys, "_b"])
+        .groupBy(*keys, "_b", "_lo", "n", *sums, "_v")
+        .agg(F.sum("_n").alias("_n"))
         .withColumn("_hi", F.col("_lo") + F.sum("_n").over(_cumulative([*keys, "_b"], "_v")))
         .withColumn("_lo", F.col("_hi") - F.col("_n"))
     )
@@ -87,34 +100,31 @@ def percentiles_of_frequencies(
     return picked.select(*keys, "n", *sums, *out)
 
 
-def percentiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], sums: Sequence[str] = ()
-) -> DataFrame:
-    """Exact percentiles of a BIGINT ``value`` per group."""
-    return percentiles_of_frequencies(frequencies(df, keys, value, sums), keys, probs, sums)
-
-
 def _expand_sources(df: DataFrame) -> DataFrame:
     return df.withColumn("as_of_index", F.explode(F.sequence("k_lo", "k_hi")))
 
 
-def median_mad_over_ranges(freq: DataFrame, keys: Sequence[str], sums: Sequence[str] = ()) -> DataFrame:
-    """Exact median and MAD of ``_v`` for every (keys, as_of_index).
+def median_mad_over_ranges(
+    df: DataFrame, keys: Sequence[str], value: str, sums: Sequence[str] = ()
+) -> DataFrame:
+    """Exact median and MAD of ``value`` for every (keys, as_of_index).
 
-    A row of ``freq`` (keys, k_lo, k_hi, _v, _n, extras) counts towards every
-    index in [k_lo, k_hi]. Only histograms are copied along that range; values
-    follow only for the buckets around the median and the MAD. The result holds
-    ``n``, the extras, and both statistics doubled (``median2``, ``mad4`` is four
-    times the MAD) so that they stay integers.
+    A row of ``df`` counts towards every index in its [k_lo, k_hi]. Only
+    histograms are copied along that range; rows follow only for the buckets
+    around the median and the MAD. The result holds ``n``, the summed extras,
+    and both statistics as integers: ``median2`` is twice the median, ``mad4``
+    four times the MAD.
     """
     keys = list(keys)
     # The selective integers lead: sorts then rarely compare the other keys.
     source = ["k_lo", "k_hi", *keys]
     group = ["as_of_index", *keys]
-    freq = checkpoint(freq.filter("k_lo <= k_hi").withColumn("_b", log_bucket(F.col("_v"), RANGE_BITS)))
+    rows = df.filter("k_lo <= k_hi").select(
+        *source, F.col(value).alias("_v"), log_bucket(F.col(value), RANGE_BITS).alias("_b"), *sums
+    )
     parts = checkpoint(
-        freq.groupBy(*source, "_b").agg(
-            F.sum("_n").alias("_n"),
+        rows.groupBy(*source, "_b").agg(
+            F.count(F.lit(1)).alias("_n"),
             *[F.sum(s).alias(s) for s in sums],
             F.min("_v").alias("_min"),
             F.max("_v").alias("_max"),
@@ -132,9 +142,9 @@ def median_mad_over_ranges(freq: DataFrame, keys: Sequence[str], sums: Sequence[
     )
 
     def values_of(wanted: DataFrame) -> DataFrame:
-        """The counted values of the wanted (group, bucket) rows."""
+        """The values in the wanted buckets of the groups."""
         need = _expand_sources(parts.select(*source, "_b")).join(wanted, [*group, "_b"])
-        return freq.select(*source, "_b", "_v", "_n").join(need, [*source, "_b"])
+        return rows.select(*source, "_b", "_v").join(need, [*source, "_b"])
 
     whole = Window.partitionBy(*group)
     middle = [
@@ -152,7 +162,7 @@ def median_mad_over_ranges(freq: DataFrame, keys: Sequence[str], sums: Sequence[
     ranked = (
         values_of(wanted.select(*group, "_b", *carry))
         .groupBy(*group, "_b", *carry, "_v")
-        .agg(F.sum("_n").alias("_n"))
+        .agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_hi", F.col("_lo") + F.sum("_n").over(_cumulative([*group, "_b"], "_v")))
         .withColumn("_lo", F.col("_hi") - F.col("_n"))
     )
@@ -191,7 +201,7 @@ def median_mad_over_ranges(freq: DataFrame, keys: Sequence[str], sums: Sequence[
         values_of(bounded.select(*group, "_b", "n", "median2", "_below"))
         .withColumn("_d", F.abs(2 * F.col("_v") - F.col("median2")))
         .groupBy(*group, "n", "_below", "_d")
-        .agg(F.sum("_n").alias("_n"))
+        .agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_hi", F.col("_below") + F.sum("_n").over(_cumulative(group, "_d")))
         .withColumn("_lo", F.col("_hi") - F.col("_n"))
     )
@@ -209,8 +219,7 @@ def median_mad_over_ranges(freq: DataFrame, keys: Sequence[str], sums: Sequence[
 def median_mad(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """keys, n, ``median`` and unscaled ``mad`` of a BIGINT ``value``."""
     one = F.lit(0).cast("bigint")
-    freq = frequencies(df, keys, value).withColumns({"k_lo": one, "k_hi": one})
-    return median_mad_over_ranges(freq, keys).select(
+    return median_mad_over_ranges(df.withColumns({"k_lo": one, "k_hi": one}), keys, value).select(
         *keys, "n", (F.col("median2") / 2).alias("median"), (F.col("mad4") / 4).alias("mad")
     )
 

@@ -10,7 +10,7 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from spanlake.functions.columns import duration_ns, is_error, ns_to_timestamp
 from spanlake.operators.aggregates import as_service_stats
-from spanlake.operators.quantiles import percentiles_of_frequencies
+from spanlake.operators.quantiles import percentiles
 from spanlake.operators.windows import arrived_late, as_seen, with_window
 from spanlake.schemas import WATERMARK_SECONDS, WINDOW_SECONDS
 from spanlake.sources.tables import TableStore
@@ -88,10 +88,14 @@ def stream_service_stats(
 
     def finish(freq: DataFrame, batch: int) -> None:
         keys = ["window_start", "target_type", "caller", "callee"]
-        out = percentiles_of_frequencies(freq, keys, [0.5, 0.95, 0.99], ["error_count"])
-        ms = [(F.col(f"p{i}") / 1e6).alias(f"latency_p{p}_ms") for i, p in enumerate((50, 95, 99))]
-        stats = out.select(*keys, F.col("n").alias("call_count"), "error_count", *ms)
-        store.write("service_stats", as_service_stats(stats), batch)
+        freq = freq.persist()  # read twice; the state must be read once
+        try:
+            out = percentiles(freq, keys, "_v", [0.5, 0.95, 0.99], ["error_count"], weight="_n")
+            ms = [(F.col(f"p{i}") / 1e6).alias(f"latency_p{p}_ms") for i, p in enumerate((50, 95, 99))]
+            stats = out.select(*keys, F.col("n").alias("call_count"), "error_count", *ms)
+            store.write("service_stats", as_service_stats(stats), batch)
+        finally:
+            freq.unpersist()
 
     freq = service_frequencies(spans, window_seconds, delay_seconds)
     return start(freq.writeStream.outputMode("append").foreachBatch(finish), checkpoint, **options)
