@@ -160,7 +160,8 @@ def q_detections(
     df = incidents.filter((F.col("end_window") >= start) & (F.col("start_window") <= end))
     if target:
         df = df.filter(F.col("target") == target)
-    page = df.orderBy(F.desc("start_window"), "incident_id").limit(cap)
+    newest = [F.desc("start_window"), F.asc("incident_id")]
+    page = df.orderBy(*newest).limit(cap)
     root = page.select(F.col("incident_id").alias("root_cause_incident_id"), F.col("target").alias("root_cause_target"))
     return page.join(F.broadcast(root), "root_cause_incident_id", "left").select(
         "incident_id",
@@ -175,7 +176,7 @@ def q_detections(
         "derived",
         F.nullif(F.col("root_cause_incident_id"), F.lit("")).alias("root_cause_incident_id"),
         "root_cause_target",
-    )
+    ).orderBy(*newest)
 
 
 def q_clock_offsets(offsets: DataFrame, start: float, end: float) -> DataFrame:
