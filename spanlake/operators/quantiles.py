@@ -20,8 +20,7 @@ from pyspark.sql import functions as F
 from spanlake.functions.columns import log_bucket
 from spanlake.session import checkpoint
 
-BITS = 5
-RANGE_BITS = 4  # coarser: these histograms are copied along a lookback
+BITS = 5  # 32 buckets per octave: about 3 % wide
 
 
 def _rank_columns(total: Column, probs: Sequence[float]) -> list[Column]:
@@ -120,7 +119,7 @@ def median_mad_over_ranges(
     source = ["k_lo", "k_hi", *keys]
     group = ["as_of_index", *keys]
     rows = df.filter("k_lo <= k_hi").select(
-        *source, F.col(value).alias("_v"), log_bucket(F.col(value), RANGE_BITS).alias("_b"), *sums
+        *source, F.col(value).alias("_v"), log_bucket(F.col(value), BITS).alias("_b"), *sums
     )
     parts = checkpoint(
         rows.groupBy(*source, "_b").agg(

@@ -39,10 +39,47 @@ def resolved_pairs(spans: DataFrame, within_window: bool = True) -> DataFrame:
     return child.join(parent, [*scope, "parent_id"]).withColumnRenamed("parent_id", "parent_span_id")
 
 
-def link_kinds(spans: DataFrame) -> DataFrame:
-    """Each span with ``kind``: root, orphan or linked."""
+def parent_links(spans: DataFrame) -> DataFrame:
+    """Every non-root span with its parent in the trace, NULLs where there is none.
+
+    One outer join that both the pairs of either scope and the kinds of links
+    can be read from.
+    """
+    child = spans.filter("parent_span_id <> ''").select(
+        "trace_id",
+        "window_start",
+        F.col("parent_span_id").alias("parent_id"),
+        *[F.col(c).alias(f"child_{c}") for c in _PAIR_COLUMNS],
+    )
+    parent = spans.select(
+        "trace_id",
+        F.col("span_id").alias("parent_id"),
+        F.col("window_start").alias("parent_window_start"),
+        *[F.col(c).alias(f"parent_{c}") for c in _PAIR_COLUMNS[1:]],
+    )
+    return child.join(parent, ["trace_id", "parent_id"], "left").withColumnRenamed("parent_id", "parent_span_id")
+
+
+def pairs_of_links(links: DataFrame) -> DataFrame:
+    """The resolved pairs of a trace, of any window."""
+    return links.filter("parent_window_start IS NOT NULL")
+
+
+def link_kinds(spans: DataFrame, links: DataFrame | None = None) -> DataFrame:
+    """Each span with ``kind``: root, orphan or linked (within its window)."""
     slim = spans.select(*SCOPE, "span_id", "parent_span_id", "service_name", "start_time_unix_nano")
     roots = slim.filter("parent_span_id = ''").withColumn("kind", F.lit("root"))
+    if links is not None:
+        here = F.col("parent_window_start") == F.col("window_start")
+        rest = links.select(
+            *SCOPE,
+            F.col("child_span_id").alias("span_id"),
+            "parent_span_id",
+            F.col("child_service_name").alias("service_name"),
+            F.col("child_start_time_unix_nano").alias("start_time_unix_nano"),
+            F.when(here, "linked").otherwise("orphan").alias("kind"),
+        )
+        return roots.unionByName(rest)
     parents = slim.select(*SCOPE, F.col("span_id").alias("parent_span_id"), F.lit(True).alias("_found"))
     rest = (
         slim.filter("parent_span_id <> ''")
@@ -119,13 +156,14 @@ def _double(nodes: DataFrame) -> DataFrame:
     return state.filter("seed IS NOT NULL").select(*SCOPE, "span_id", "seed", "seed_kind", "dist")
 
 
-def span_seeds(spans: DataFrame) -> DataFrame:
+def span_seeds(spans: DataFrame, links: DataFrame | None = None) -> DataFrame:
     """Each span with its kind, ``seed`` (root or orphan it hangs off) and distance.
 
     ``seed`` is NULL exactly for spans that reach neither: cycles and whatever
     hangs off them.
     """
-    links = checkpoint(link_kinds(spans))
+    # Given links are a written table already; the join is not worth redoing per use.
+    links = link_kinds(spans, links) if links is not None else checkpoint(link_kinds(spans))
     reached = _double(internal_spans(links)).select(
         *SCOPE, F.col("span_id").alias("parent_span_id"), "seed", "seed_kind", (F.col("dist") + 1).alias("dist")
     )
@@ -195,9 +233,9 @@ def summarize(seeds: DataFrame) -> DataFrame:
     )
 
 
-def reassemble(spans: DataFrame) -> tuple[DataFrame, DataFrame]:
+def reassemble(spans: DataFrame, links: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(summaries, classifications) of all traces in all windows."""
-    seeds = checkpoint(span_seeds(spans))
+    seeds = checkpoint(span_seeds(spans, links))
     return summarize(seeds), classify(seeds)
 
 

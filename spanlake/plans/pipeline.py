@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property
 
 from pyspark.sql import DataFrame
@@ -55,19 +56,23 @@ class Analysis:
         return write_scratch(window_spine(self.spans, self.window_seconds), "spine")
 
     @cached_property
+    def links(self) -> DataFrame:
+        """Non-root spans with their parents; one join serves pairs and reassembly."""
+        return write_scratch(reassembly.parent_links(self.spans), "links")
+
+    @property
+    def any_pairs(self) -> DataFrame:
+        """Pairs within a trace."""
+        return reassembly.pairs_of_links(self.links)
+
+    @property
     def pairs(self) -> DataFrame:
         """Pairs within a window."""
         return self.any_pairs.filter("window_start = parent_window_start").drop("parent_window_start")
 
-    @cached_property
-    def any_pairs(self) -> DataFrame:
-        """Pairs within a trace; one join serves both scopes."""
-        both = reassembly.resolved_pairs(self.spans, within_window=False)
-        return write_scratch(both.withColumnRenamed("child_window_start", "window_start"), "pairs")
-
     @cached_property
     def seeds(self) -> DataFrame:
-        return write_scratch(reassembly.span_seeds(self.spans), "seeds")
+        return write_scratch(reassembly.span_seeds(self.spans, self.links), "seeds")
 
     @cached_property
     def summaries(self) -> DataFrame:
@@ -131,7 +136,19 @@ class Analysis:
         )
         return write_scratch(rolled, "rolling")
 
+    SHARED = ("spans", "spine", "links")
+    # After the shared tables these lines do not depend on each other.
+    BRANCHES = (
+        ("stats", "baselines", "detections", "grouped", "incidents", "rolling"),
+        ("seeds", "summaries"),
+        ("gaps", "offsets"),
+    )
+
     def run(self) -> None:
-        """Produce every derived table."""
-        for name in ("summaries", "stats", "offsets", "baselines", "detections", "incidents"):
+        """Produce every derived table, independent ones at the same time."""
+        for name in self.SHARED:
             getattr(self, name)
+        with ThreadPoolExecutor(len(self.BRANCHES)) as pool:
+            done = [pool.submit(lambda names=names: [getattr(self, n) for n in names]) for names in self.BRANCHES]
+            for branch in done:
+                branch.result()

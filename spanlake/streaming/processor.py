@@ -94,14 +94,12 @@ class WindowProcessor:
         store, w = self.store, self.window_seconds
         past = first - self.lookback_seconds
         spans = write_scratch(with_window(store.read("spans", past, until), w), "recent_spans")
-        any_pairs = write_scratch(
-            reassembly.resolved_pairs(spans, within_window=False).withColumnRenamed("child_window_start", "window_start"),
-            "recent_pairs",
-        )
+        links = write_scratch(reassembly.parent_links(spans), "recent_links")
+        any_pairs = reassembly.pairs_of_links(links)
         pairs = any_pairs.filter("window_start = parent_window_start").filter(F.col("window_start") >= first)
         current = spans.filter(F.col("window_start") >= first)
 
-        summaries, classes = reassembly.reassemble(current)
+        summaries, classes = reassembly.reassemble(current, links.filter(F.col("window_start") >= first))
         store.write("trace_summaries", summaries, version)
         store.write("span_classifications", classes, version)
         stats = write_scratch(aggregates.window_stats(current, pairs), "recent_stats")
