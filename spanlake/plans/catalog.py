@@ -443,6 +443,32 @@ def _(a, spark, sf):
     return skewed.select("trace_id", "span_id", "service_name", "start_time_unix_nano", "end_time_unix_nano")
 
 
+@query("fault_skew_ground_truth", f"SELECT DISTINCT service_name, ({_SKEW})::BIGINT AS offset_ns FROM spans")
+def _(a, spark, sf):
+    return faults.skew_ground_truth(a.spans, 0.5, 2 * NS, "frontend")
+
+
+@query(
+    "fault_composition",
+    f"""SELECT trace_id, span_id, start_ns + {_SKEW} AS start_time_unix_nano, ingested_ns + greatest(
+  CASE WHEN is_parent AND {u01(repr('ooo'), 'trace_id', 'span_id')} < 0.5 THEN 5000000000 ELSE 0 END,
+  CASE WHEN {u01(repr('late'), 'trace_id', 'span_id')} < 0.2 THEN 1000000000 + floor({u01(repr('late-by'), 'trace_id', 'span_id')} * 9000000000)::BIGINT ELSE 0 END) AS ingested_at_unix_nano
+FROM (SELECT s.*, p.span_id IS NOT NULL AS is_parent FROM spans s
+  LEFT JOIN (SELECT DISTINCT trace_id, parent_span_id AS span_id FROM spans WHERE parent_span_id <> '') p USING (trace_id, span_id))
+WHERE {u01(repr('drop'), 'trace_id', 'span_id')} >= 0.1""",
+)
+def _(a, spark, sf):
+    """All faults at once, in their fixed order."""
+    out = (
+        a.spans.transform(faults.fault_out_of_order, 0.5, 5 * NS)
+        .transform(faults.fault_drop, 0.1)
+        .transform(faults.fault_late_arrival, 0.2, NS, 10 * NS)
+        .transform(faults.fault_clock_skew, 0.5, 2 * NS, "frontend")
+        .transform(faults.apply_arrival)
+    )
+    return out.select("trace_id", "span_id", "start_time_unix_nano", "ingested_at_unix_nano")
+
+
 # --- windows --------------------------------------------------------------
 
 
@@ -1369,10 +1395,9 @@ def _(a, spark, sf):
 
 @query("stream_open_incidents", f"SELECT {INCIDENT_SQL} FROM grouped")
 def _(a, spark, sf):
-    spark.conf.set(
-        "spark.sql.streaming.stateStore.providerClass",
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    )
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider, None)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     source, updates = scratch_path(spark, "detections"), scratch_path(spark, "updates")
     a.detections.select(*DETECTION).write.parquet(source)
     stream = spark.readStream.schema(a.detections.select(*DETECTION).schema).parquet(source)
@@ -1382,6 +1407,12 @@ def _(a, spark, sf):
 
     out = stream_open_incidents(stream)
     writer = out.writeStream.outputMode("update").foreachBatch(save)
-    ingest.run_to_end(ingest.start(writer, scratch_path(spark, "offsets"), available_now=True))
+    try:
+        ingest.run_to_end(ingest.start(writer, scratch_path(spark, "offsets"), available_now=True))
+    finally:
+        if before is None:
+            spark.conf.unset(provider)
+        else:
+            spark.conf.set(provider, before)
     rows = spark.read.parquet(updates).drop("batch")
     return latest_version(rows, ["incident_id"], ["window_count", "closed"]).select(*INCIDENT)

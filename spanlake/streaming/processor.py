@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.utils import AnalysisException
 
 from spanlake.functions.columns import split_target, target_label
 from spanlake.operators import aggregates, baseline, clock, detect, incidents, reassembly
@@ -58,7 +59,7 @@ class WindowProcessor:
         spark = self.store.spark
         try:
             rows = spark.read.parquet(self.progress_path)
-        except Exception:  # no progress yet
+        except AnalysisException:  # no progress yet
             return None, None
         row = rows.filter(F.col("batch") < before_batch).agg(F.max("max_event_ns"), F.max("closed_to")).first()
         return row[0], row[1]
