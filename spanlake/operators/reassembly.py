@@ -126,6 +126,8 @@ def _double(nodes: DataFrame) -> DataFrame:
             F.when(~linked, F.col("kind")).alias("seed_kind"),
         )
     )
+    # Every round's union adds partitions; cap them (a plain merge, no shuffle).
+    most = 4 * state.rdd.getNumPartitions()
     open_before = state.filter("seed IS NULL").count()
     while open_before:
         target = state.select(
@@ -148,7 +150,7 @@ def _double(nodes: DataFrame) -> DataFrame:
                 F.col("_kind").alias("seed_kind"),
             )
         )
-        state = checkpoint(state.filter("seed IS NOT NULL").unionByName(moved))
+        state = checkpoint(state.filter("seed IS NOT NULL").unionByName(moved).coalesce(most))
         open_now = state.filter("seed IS NULL").count()
         if open_now == open_before:
             break
