@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanlake.operators.incidents import severity_rank, topology_edges
-from spanlake.operators.reassembly import SCOPE, internal_spans, link_kinds, span_seeds
+from spanlake.operators.reassembly import SCOPE, internal_spans, span_seeds
 from spanlake.schemas import WINDOW_SECONDS
 from spanlake.session import checkpoint
 

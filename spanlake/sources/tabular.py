@@ -163,8 +163,3 @@ def line_span_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         .parquet(sf_dir)
     )
     return _silent(line_spans(stream)).drop("key")
-
-
-def run_id(start_ns: Column) -> Column:
-    relative = int_div(start_ns - BASE_SECONDS * 1_000_000_000, RUN_SECONDS * 1_000_000_000)
-    return F.concat(F.lit("run-"), relative.cast("string"))
