@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanlake.llm import divergence, langid, mixing, simhash, toxicity
+from spanlake.llm import divergence, langid, mixing, sampling, simhash, toxicity, warc
 from spanlake.llm.tables import documents, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,18 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op4_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sampling.decode(sampling.sample(documents(spark, sf_dir)))
+    return rows.select(
+        "doc_id", "sample", "n_pieces", F.crc32("ids").alias("ids_crc32"), "log_prob", "inclusion",
+        (F.col("decoded_crc32") == F.col("text_crc32")).alias("round_trip"),
+    )
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.classes(documents(spark, sf_dir))
 
@@ -37,9 +49,20 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
+OP3_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+f AS (SELECT html, max(page_id) AS first_id FROM p WHERE strlen(html) >= 1000 GROUP BY html)
+SELECT p.page_id, CAST(strlen(p.html) AS BIGINT) AS payload_bytes, sha1(p.html) AS payload_digest,
+ CASE WHEN f.first_id IS NULL OR f.first_id = p.page_id THEN 'response' ELSE 'revisit' END AS record_type,
+ CASE WHEN f.first_id IS NULL OR f.first_id = p.page_id THEN NULL ELSE f.first_id END AS refers_to
+FROM p LEFT JOIN f ON p.html = f.html
+"""
+
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "op1_divergence": (op1_divergence, None),
     "op2_toxicity": (op2_toxicity, None),
+    "op3_warc": (op3_warc, OP3_SQL),
+    "op4_sampling": (op4_sampling, None),
     "op5_simhash": (op5_simhash, None),
     "op7_langid": (op7_langid, None),
     "op10_mixing": (op10_mixing, None),
