@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanlake.llm import divergence, langid, mixing, sampling, simhash, toxicity, warc
+from spanlake.llm import chunks, divergence, langid, mixing, repair, sampling, simhash, toxicity, warc
 from spanlake.llm.tables import documents, table
+from spanlake.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -45,6 +46,16 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op8_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "token-shards")
+    repair.write(documents(spark, sf_dir), path)
+    return repair.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op9_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.media(documents(spark, sf_dir))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "source", "size", "source_size", "target", "taken")
 
@@ -65,5 +76,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "op4_sampling": (op4_sampling, None),
     "op5_simhash": (op5_simhash, None),
     "op7_langid": (op7_langid, None),
+    "op8_repair": (op8_repair, None),
+    "op9_chunks": (op9_chunks, None),
     "op10_mixing": (op10_mixing, None),
 }

@@ -209,6 +209,7 @@ def resolved(records: DataFrame) -> DataFrame:
     page = lambda c: F.nullif(F.regexp_extract(c, r"^urn:page:(-?\d*):", 1), F.lit("")).cast("long")
     own = records.where("type = 'response'")
     of = own.groupBy(F.col("id").alias("of")).agg(F.first("bytes").alias("of_bytes"), F.first("digest").alias("of_digest"))
+    of = write_scratch(of, "responses")  # so that a payload with very many copies is split in the join
     back = records.where("type = 'revisit'").join(of, F.col("refers") == F.col("of"), "left")
     both = own.select("id", "type", F.lit(None).cast("string").alias("refers"), "claimed", "bytes", "digest").unionByName(
         back.select("id", "type", "refers", "claimed", F.col("of_bytes").alias("bytes"), F.col("of_digest").alias("digest"))
