@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanlake.llm import chunks, divergence, langid, mixing, repair, sampling, simhash, toxicity, warc
+from spanlake.llm import chunks, divergence, langid, licenses, mixing, repair, sampling, simhash, toxicity, warc
 from spanlake.llm.tables import documents, table
 from spanlake.session import scratch_path
 
@@ -40,6 +40,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.classes(documents(spark, sf_dir))
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     out = langid.predict(docs, langid.fit(docs))
@@ -75,6 +79,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "op3_warc": (op3_warc, OP3_SQL),
     "op4_sampling": (op4_sampling, None),
     "op5_simhash": (op5_simhash, None),
+    "op6_licenses": (op6_licenses, None),
     "op7_langid": (op7_langid, None),
     "op8_repair": (op8_repair, None),
     "op9_chunks": (op9_chunks, None),
