@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 
 def latest_version(df: DataFrame, keys: Sequence[str], version: str | Sequence[str]) -> DataFrame:
-    """One row per key: the highest version, remaining ties by the other columns.
+    """One row per key: the highest version, remaining ties by the other columns, maps last.
 
     ``max_by`` is combined before the shuffle, so a key redelivered any number
     of times sends one row per task.
@@ -23,5 +23,7 @@ def latest_version(df: DataFrame, keys: Sequence[str], version: str | Sequence[s
         for f in df.schema.fields
         if f.name in rest and f.name not in first and not isinstance(f.dataType, T.MapType)
     ]
-    newest = F.max_by(F.struct(*rest), F.struct(*first, *sortable)).alias("_row")
+    maps = [f.name for f in df.schema.fields if f.name in rest and isinstance(f.dataType, T.MapType)]
+    entries = [F.array_sort(F.map_entries(m)).alias(m) for m in maps]
+    newest = F.max_by(F.struct(*rest), F.struct(*first, *sortable, *entries)).alias("_row")
     return df.groupBy(*keys).agg(newest).select(*keys, "_row.*").select(*df.columns)

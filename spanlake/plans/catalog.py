@@ -939,10 +939,8 @@ _SUMMARY_COLUMNS = "trace_id, window_start, depth, span_count, root_service, com
 @query(
     "q_traces",
     f"""SELECT row_number() OVER (ORDER BY window_start DESC, trace_id)::INTEGER AS position, {_SUMMARY_COLUMNS}, duration_ms,
- n > 45 AS has_more, candidates >= 500 AS duration_filter_truncated FROM (
- SELECT *, count(*) OVER () AS n FROM (SELECT c.*, d.duration_ms, count(*) OVER () AS candidates FROM
-  (SELECT * FROM summaries WHERE window_start {RANGE_SQL} AND root_service = 'frontend' ORDER BY window_start DESC, trace_id LIMIT 500) c
-  LEFT JOIN {_DURATION} d USING (trace_id)) WHERE coalesce(duration_ms, 0) >= 450.0)
+ n > 45 AS has_more, false AS duration_filter_truncated FROM (SELECT *, count(*) OVER () AS n FROM summaries LEFT JOIN {_DURATION} d USING (trace_id)
+  WHERE window_start {RANGE_SQL} AND root_service = 'frontend' AND coalesce(duration_ms, 0) >= 450.0)
  QUALIFY position > 5 AND position <= 45""",
 )
 def _(a, spark, sf):
@@ -954,12 +952,11 @@ def _(a, spark, sf):
 @query(
     "q_traces_incomplete",
     f"""SELECT row_number() OVER (ORDER BY window_start DESC, trace_id)::INTEGER AS position, {_SUMMARY_COLUMNS}, duration_ms,
- candidates > 50 AS has_more, false AS duration_filter_truncated FROM (SELECT *, count(*) OVER () AS candidates FROM
-  (SELECT * FROM summaries WHERE window_start {RANGE_SQL} AND NOT complete ORDER BY window_start DESC, trace_id LIMIT 500))
- LEFT JOIN {_DURATION} d USING (trace_id) QUALIFY position <= 50""",
+ n > 700 AS has_more, false AS duration_filter_truncated FROM (SELECT *, count(*) OVER () AS n FROM summaries LEFT JOIN {_DURATION} d USING (trace_id)
+  WHERE window_start {RANGE_SQL} AND NOT complete) QUALIFY position <= 700""",
 )
 def _(a, spark, sf):
-    return queries.q_traces(a.summaries, a.spans, *RANGE, complete=False)
+    return queries.q_traces(a.summaries, a.spans, *RANGE, complete=False, limit=700)
 
 
 def _one_trace() -> str:
@@ -967,13 +964,22 @@ def _one_trace() -> str:
     return format(43, "x")[::-1].ljust(32, "0")
 
 
+_AS_OF = f"""(SELECT service_name, arg_max(offset_ns, window_start) AS offset_ns, arg_max(confidence, window_start) AS confidence FROM offsets
+ WHERE window_start * 1000000000 <= (SELECT min(start_ns) FROM spans WHERE trace_id = {oracle.tid('42')}) GROUP BY 1)"""
+
+
 @query(
     "q_trace_detail",
     f"""SELECT s.span_id, s.parent_span_id, s.service_name, s.span_name, s.start_ns AS start_time_unix_nano, s.end_ns AS end_time_unix_nano,
- s.status_code, c.classification FROM spans s LEFT JOIN classes c USING (trace_id, span_id) WHERE s.trace_id = {oracle.tid('42')}""",
+ s.status_code, s.attributes, c.classification, o.offset_ns, o.confidence FROM spans s LEFT JOIN classes c USING (trace_id, span_id)
+ LEFT JOIN {_AS_OF} o USING (service_name)
+WHERE s.trace_id = {oracle.tid('42')}""",
 )
 def _(a, spark, sf):
-    return queries.q_trace_detail(a.spans, a.classifications, _one_trace()).drop("attributes")
+    out = queries.q_trace_detail(a.spans, a.classifications, _one_trace(), a.offsets)
+    # Maps have no order: as sorted text.
+    pairs = F.transform(F.array_sort(F.map_entries("attributes")), lambda e: F.concat_ws("=", e["key"], e["value"]))
+    return out.withColumn("attributes", F.coalesce(F.array_join(pairs, ","), F.lit("")))
 
 
 @query(
@@ -990,8 +996,9 @@ def _(a, spark, sf):
     "q_topology",
     f"""SELECT caller AS caller_service, callee AS callee_service, sum(call_count)::BIGINT AS call_count, sum(error_count)::BIGINT AS error_count,
  round(arg_max(p50, window_start), 6) AS latency_p50_ms, round(arg_max(p95, window_start), 6) AS latency_p95_ms, round(arg_max(p99, window_start), 6) AS latency_p99_ms,
- max(window_start) AS latest_window_start, round(sum(error_count) / sum(call_count)::DOUBLE, 6) AS error_rate
-FROM stats WHERE target_type = 'edge' AND window_start {RANGE_SQL} AND (caller = 'catalog' OR callee = 'catalog') GROUP BY ALL ORDER BY 1, 2 LIMIT 500""",
+ max(window_start) AS latest_window_start, round(sum(error_count) / sum(call_count)::DOUBLE, 6) AS error_rate, false AS has_more
+FROM stats WHERE target_type = 'edge' AND window_start {RANGE_SQL}
+ AND (caller = 'catalog' OR callee = 'catalog') GROUP BY ALL""",
 )
 def _(a, spark, sf):
     return queries.q_topology(a.service_edges, *RANGE, service="catalog")
@@ -1000,10 +1007,9 @@ def _(a, spark, sf):
 @query(
     "q_detections",
     f"""SELECT p.incident_id, p.target_type, p.target, p.detector, p.peak_severity AS severity, p.start_window, p.end_window, p.window_count,
- round(p.peak_deviation, 6) AS peak_deviation, p.derived, nullif(p.root_cause_incident_id, '') AS root_cause_incident_id, r.target AS root_cause_target
-FROM (SELECT * FROM incidents WHERE end_window >= {RANGE[0]} AND start_window <= {RANGE[1]} ORDER BY start_window DESC, incident_id LIMIT 500) p
-LEFT JOIN (SELECT * FROM incidents WHERE end_window >= {RANGE[0]} AND start_window <= {RANGE[1]} ORDER BY start_window DESC, incident_id LIMIT 500) r
- ON r.incident_id = p.root_cause_incident_id""",
+ round(p.peak_deviation, 6) AS peak_deviation, p.derived, nullif(p.root_cause_incident_id, '') AS root_cause_incident_id, r.target AS root_cause_target, false AS has_more
+FROM (SELECT * FROM incidents WHERE end_window >= {RANGE[0]} AND start_window <= {RANGE[1]}) p
+LEFT JOIN (SELECT * FROM incidents WHERE end_window >= {RANGE[0]} AND start_window <= {RANGE[1]}) r ON r.incident_id = p.root_cause_incident_id""",
 )
 def _(a, spark, sf):
     return queries.q_detections(a.incidents, *RANGE)

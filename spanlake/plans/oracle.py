@@ -41,12 +41,12 @@ SELECT o_orderkey AS key, {tid('o_orderkey')} AS trace_id, {sid('o_orderkey', '0
   'frontend' AS service_name, {start_us('o_orderkey')} AS s_us,
   (350000 + (o_custkey % 1500) * 100)
     * CASE WHEN {minute(start_us('o_orderkey'))} % 23 IN (14, 15) THEN 3 ELSE 1 END AS d_us,
-  CASE WHEN o_orderkey % 50 = 0 THEN 2 ELSE 1 END AS status_code, 2000000 AS delay_us
+  CASE WHEN o_orderkey % 50 = 0 THEN 2 ELSE 1 END AS status_code, 2000000 AS delay_us, 'priority=' || o_orderpriority AS attributes
 FROM orders"""
 
 CTE["line_base"] = f"""
 SELECT *, {start_us('key')} + ln * 15000 + pk % 997 - CASE WHEN service_name = 'inventory' THEN 40000 ELSE 0 END AS s_us
-FROM (SELECT l_orderkey AS key, l_linenumber::BIGINT AS ln, l_partkey AS pk, l_suppkey AS sk, l_quantity::BIGINT AS qty,
+FROM (SELECT l_orderkey AS key, l_linenumber::BIGINT AS ln, l_partkey AS pk, l_suppkey AS sk, l_quantity::BIGINT AS qty, 'flag=' || l_returnflag AS attributes,
   CASE l_linenumber WHEN 1 THEN 'checkout' WHEN 2 THEN 'catalog'
     WHEN 3 THEN CASE WHEN l_suppkey % 2 = 0 THEN 'payments' ELSE 'inventory' END
     WHEN 4 THEN 'inventory' WHEN 5 THEN 'shipping' WHEN 6 THEN 'search' WHEN 7 THEN 'notifications' END AS service_name
@@ -63,13 +63,13 @@ SELECT key, {tid('key')} AS trace_id, {sid('key', 'ln')} AS span_id,
     * CASE WHEN {minute('s_us')} % 23 IN (14, 15) AND ln = 5 THEN 8
            WHEN {minute('s_us')} % 23 IN (14, 15) AND ln = 2 THEN 4 ELSE 1 END AS d_us,
   CASE WHEN ({minute('s_us')} % 19 = 15 AND ln = 6 AND sk % 2 = 0) OR pk % 40 = 0 THEN 2 ELSE 1 END AS status_code,
-  CASE WHEN key % 29 = 0 AND ln = 3 THEN 120000000 ELSE 2000000 + (pk % 1009) * 1000 END AS delay_us
+  CASE WHEN key % 29 = 0 AND ln = 3 THEN 120000000 ELSE 2000000 + (pk % 1009) * 1000 END AS delay_us, attributes
 FROM line_base"""
 
 _COLUMNS = """key, trace_id, span_id, parent_span_id, service_name, 'handle ' || service_name AS span_name,
-  s_us * 1000 AS start_ns, (s_us + d_us) * 1000 AS end_ns, status_code, (s_us + d_us + delay_us) * 1000 AS ingested_ns"""
+  s_us * 1000 AS start_ns, (s_us + d_us) * 1000 AS end_ns, status_code, (s_us + d_us + delay_us) * 1000 AS ingested_ns, attributes"""
 _NEWEST = """row_number() OVER (PARTITION BY trace_id, span_id ORDER BY ingested_ns DESC, parent_span_id DESC,
-  service_name DESC, span_name DESC, start_ns DESC, end_ns DESC, status_code DESC)"""
+  service_name DESC, span_name DESC, start_ns DESC, end_ns DESC, status_code DESC, attributes DESC)"""
 
 CTE["sent"] = f"SELECT {_COLUMNS} FROM (SELECT * FROM root_rows UNION ALL SELECT * FROM line_rows)"
 CTE["raw_lines"] = f"""

@@ -6,26 +6,41 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanlake.functions.columns import safe_ratio
-from spanlake.schemas import MAX_RANGE_SECONDS, MAX_ROWS, NS
+from spanlake.schemas import MAX_RANGE_SECONDS, NS
 
 
 def check_range(start: float, end: float, limit_seconds: int = MAX_RANGE_SECONDS) -> None:
     if end <= start:
         raise ValueError("end must be after start")
     if end - start > limit_seconds:
-        raise ValueError(f"time range exceeds the maximum of {limit_seconds}s")
+        raise ValueError(f"at most {limit_seconds} seconds can be queried at once")
 
 
 def check_trace_id(trace_id: str) -> str:
     if len(trace_id) != 32 or any(c not in "0123456789abcdefABCDEF" for c in trace_id):
-        raise ValueError("trace_id must be a 32-character hex string")
+        raise ValueError("a trace id has 32 hexadecimal digits")
     return trace_id.lower()
 
 
-def _page_size(limit: int, offset: int, cap: int) -> int:
-    if limit < 1 or offset < 0:
+def paged(df: DataFrame, order: list, limit: int | None, offset: int) -> DataFrame:
+    """Rows offset+1 to offset+limit in that order, with ``position`` and ``has_more``.
+
+    Without a limit all rows from the offset on, unnumbered. With one, a top-k of
+    offset + limit + 1 rows, of which limit + 1 are numbered.
+    """
+    if (limit is not None and limit < 1) or offset < 0:
         raise ValueError("limit must be at least 1 and offset at least 0")
-    return min(limit, cap)
+    if limit is None:
+        rows = df.orderBy(*order).offset(offset) if offset else df.orderBy(*order)
+        return rows.withColumn("has_more", F.lit(False))
+    page = df.orderBy(*order).limit(offset + limit + 1).offset(offset)
+    all_rows = Window.partitionBy(F.lit(1))  # limit + 1 rows at most
+    return (
+        page.withColumns(
+            {"position": F.row_number().over(all_rows.orderBy(*order)) + offset, "has_more": F.count("*").over(all_rows) > limit}
+        )
+        .filter(F.col("position") <= offset + limit)
+    )
 
 
 def q_trace_durations(spans: DataFrame) -> DataFrame:
@@ -45,41 +60,30 @@ def q_traces(
     min_duration_ms: float | None = None,
     limit: int = 50,
     offset: int = 0,
-    cap: int = MAX_ROWS,
 ) -> DataFrame:
     """A page of traces, newest first, with paging flags on every row.
 
-    The cap on candidates comes before the duration filter by definition, and
-    ``duration_filter_truncated`` says when it may have hidden matches. The
-    capped candidates are at most ``cap`` rows, which is what is broadcast.
+    The duration filter comes before the page, so nothing is hidden from it; the flag
+    ``duration_filter_truncated`` of the answer's schema is therefore never set.
     """
     check_range(start, end)
-    limit = _page_size(limit, offset, cap)
     matches = summaries.filter(F.col("window_start").between(start, end))
     if service:
         matches = matches.filter(F.col("root_service") == service)
     if complete is not None:
         matches = matches.filter(F.col("complete") == complete)
     newest = [F.desc("window_start"), F.asc("trace_id")]
-    candidates = matches.orderBy(*newest).limit(cap)
-    ids = F.broadcast(candidates.select("trace_id").distinct())
-    durations = q_trace_durations(spans.join(ids, "trace_id", "left_semi"))
-    page = candidates.join(F.broadcast(durations), "trace_id", "left")
-    # From here on there are at most ``cap`` rows.
-    everything = Window.partitionBy(F.lit(1))
-    page = page.withColumn("_candidates", F.count(F.lit(1)).over(everything))
-    truncated = F.lit(False)
-    if min_duration_ms is not None:
-        truncated = F.col("_candidates") >= cap
-        page = page.filter(F.coalesce("duration_ms", F.lit(0.0)) >= min_duration_ms)
-    page = page.withColumns(
-        {
-            "duration_filter_truncated": truncated,
-            "has_more": F.count(F.lit(1)).over(everything) > offset + limit,
-            "position": F.row_number().over(everything.orderBy(*newest)),
-        }
-    )
-    return page.filter((F.col("position") > offset) & (F.col("position") <= offset + limit)).select(
+
+    def durations(of: DataFrame) -> DataFrame:
+        return q_trace_durations(spans.join(of.select("trace_id").distinct(), "trace_id", "left_semi"))
+
+    if min_duration_ms is None:
+        page = paged(matches, newest, limit, offset)
+        page = page.join(durations(page), "trace_id", "left")
+    else:
+        long = matches.join(durations(matches), "trace_id", "left")
+        page = paged(long.filter(F.coalesce("duration_ms", F.lit(0.0)) >= min_duration_ms), newest, limit, offset)
+    return page.withColumn("duration_filter_truncated", F.lit(False)).select(
         "position",
         "trace_id",
         "window_start",
@@ -95,11 +99,12 @@ def q_traces(
     )
 
 
-def q_trace_detail(spans: DataFrame, classifications: DataFrame, trace_id: str) -> DataFrame:
-    """The spans of one trace by start; a span not yet processed has no class."""
+def q_trace_detail(spans: DataFrame, classifications: DataFrame, trace_id: str, offsets: DataFrame | None = None) -> DataFrame:
+    """The spans of one trace by start, with class (none before processing) and, given
+    ``offsets``, their services' clock offsets as of the trace's start."""
     trace_id = check_trace_id(trace_id)
     own = classifications.filter(F.col("trace_id") == trace_id).select("span_id", "classification")
-    return (
+    out = (
         spans.filter(F.col("trace_id") == trace_id)
         .select(
             "span_id",
@@ -112,8 +117,10 @@ def q_trace_detail(spans: DataFrame, classifications: DataFrame, trace_id: str)
             "attributes",
         )
         .join(own, "span_id", "left")
-        .orderBy("start_time_unix_nano", "span_id")
     )
+    if offsets is not None:
+        out = out.join(q_offsets_as_of(spans, offsets, trace_id), "service_name", "left")
+    return out.orderBy("start_time_unix_nano", "span_id")
 
 
 def q_offsets_as_of(spans: DataFrame, offsets: DataFrame, trace_id: str) -> DataFrame:
@@ -131,9 +138,9 @@ def q_offsets_as_of(spans: DataFrame, offsets: DataFrame, trace_id: str) -> Data
 
 
 def q_topology(
-    edges: DataFrame, start: float, end: float, service: str | None = None, cap: int = MAX_ROWS
+    edges: DataFrame, start: float, end: float, service: str | None = None, limit: int | None = None, offset: int = 0
 ) -> DataFrame:
-    """Summed counts per edge; percentiles are those of the edge's latest window."""
+    """Summed counts per edge, all or a page; percentiles are those of the edge's latest window."""
     check_range(start, end)
     df = edges.filter(F.col("window_start").between(start, end))
     if service:
@@ -146,24 +153,24 @@ def q_topology(
         F.max("window_start").alias("latest_window_start"),
     )
     rate = safe_ratio(F.col("error_count"), F.col("call_count"), 0.0)
-    return out.withColumn("error_rate", rate).orderBy("caller_service", "callee_service").limit(cap)
+    return paged(out.withColumn("error_rate", rate), ["caller_service", "callee_service"], limit, offset).drop("position")
 
 
 def q_detections(
-    incidents: DataFrame, start: float, end: float, target: str | None = None, cap: int = MAX_ROWS
+    incidents: DataFrame, start: float, end: float, target: str | None = None, limit: int | None = None, offset: int = 0
 ) -> DataFrame:
-    """Incidents overlapping the range, newest first.
+    """Incidents overlapping the range, newest first, all or a page.
 
-    The root cause's target is looked up among the returned rows only.
+    The root cause's target is looked up among all incidents of the range.
     """
     check_range(start, end)
     df = incidents.filter((F.col("end_window") >= start) & (F.col("start_window") <= end))
+    root = df.select(F.col("incident_id").alias("root_cause_incident_id"), F.col("target").alias("root_cause_target"))
     if target:
         df = df.filter(F.col("target") == target)
     newest = [F.desc("start_window"), F.asc("incident_id")]
-    page = df.orderBy(*newest).limit(cap)
-    root = page.select(F.col("incident_id").alias("root_cause_incident_id"), F.col("target").alias("root_cause_target"))
-    return page.join(F.broadcast(root), "root_cause_incident_id", "left").select(
+    page = paged(df, newest, limit, offset)
+    return page.join(root, "root_cause_incident_id", "left").select(
         "incident_id",
         "target_type",
         "target",
@@ -176,6 +183,7 @@ def q_detections(
         "derived",
         F.nullif(F.col("root_cause_incident_id"), F.lit("")).alias("root_cause_incident_id"),
         "root_cause_target",
+        "has_more",
     ).orderBy(*newest)
 
 

@@ -163,6 +163,5 @@ ERROR_RATE_THRESHOLD = 3.0
 ERROR_RATE_MIN_CALLS = 10
 CALL_RATE_THRESHOLD = 3.0
 ROOT_SERVICE = "frontend"
-MAX_ROWS = 500
 MAX_RANGE_SECONDS = 86_400
 STATUS_ERROR = 2

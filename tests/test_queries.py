@@ -40,20 +40,40 @@ def page(df):
 def test_paging_newest_first(traces):
     ids, row = page(queries.q_traces(*traces, 0, 600, limit=3))
     assert ids == ["t9", "t8", "t7"] and row.has_more and not row.duration_filter_truncated
+    with pytest.raises(ValueError):
+        queries.q_traces(*traces, 0, 600, limit=0)
     ids, row = page(queries.q_traces(*traces, 0, 600, limit=3, offset=8))
     assert ids == ["t1", "t0"] and not row.has_more
     ids, _ = page(queries.q_traces(*traces, 60, 120))
     assert ids == ["t2", "t1"]  # both ends belong to the range
 
 
-def test_filters_and_the_cap_before_the_duration_filter(traces):
+def test_the_duration_filter_comes_before_the_page(traces):
     assert page(queries.q_traces(*traces, 0, 600, service="front"))[0] == ["t9", "t7", "t5", "t3", "t1"]
     assert queries.q_traces(*traces, 0, 600, complete=False).count() == 0
-    ids, row = page(queries.q_traces(*traces, 0, 600, min_duration_ms=20.0, cap=9))
-    assert ids == [f"t{i}" for i in range(9, 1, -1)] and row.duration_filter_truncated
-    ids, row = page(queries.q_traces(*traces, 0, 600, min_duration_ms=20.0, cap=11))
-    assert not row.duration_filter_truncated
-    assert queries.q_traces(*traces, 0, 600, limit=100, cap=4).count() == 4
+    ids, row = page(queries.q_traces(*traces, 0, 600, min_duration_ms=20.0))
+    assert ids == [f"t{i}" for i in range(9, 1, -1)] and not row.has_more
+    ids, row = page(queries.q_traces(*traces, 0, 600, min_duration_ms=20.0, limit=3, offset=2))
+    assert ids == ["t7", "t6", "t5"] and row.has_more
+
+
+def test_more_rows_than_any_page(spark):
+    """Old matches behind thousands of short new ones, and answers of over 500 rows, are all found."""
+    n = 1200
+    summaries = spark.range(n).selectExpr("concat('t', lpad(id, 5, '0')) AS trace_id", "id AS window_start", "1 AS depth", "1L AS span_count", "'s' AS root_service", "true AS complete", "'' AS incompleteness_reason", "0L AS orphan_count")
+    df = spark.range(n).selectExpr("concat('t', lpad(id, 5, '0')) AS trace_id", "0L AS start_time_unix_nano", "if(id < 600, 9000000L, 1000L) AS end_time_unix_nano")
+    got = queries.q_traces(summaries, df, 0, n, min_duration_ms=5.0, limit=550)
+    ids, row = page(got)
+    assert len(ids) == 550 and ids[0] == "t00599" and row.has_more
+    assert queries.q_traces(summaries, df, 0, n, limit=5000).count() == n
+    edges = spark.range(n).selectExpr("0L AS window_start", "concat('a', id) AS caller_service", "'b' AS callee_service", "1L AS call_count", "0L AS error_count", "1.0D AS latency_p50_ms", "1.0D AS latency_p95_ms", "1.0D AS latency_p99_ms")
+    assert queries.q_topology(edges, 0, 60).count() == n
+    part = queries.q_topology(edges, 0, 60, limit=100, offset=n - 50).collect()
+    assert len(part) == 50 and not part[0].has_more
+    incidents = spark.range(n).selectExpr("concat('i', lpad(id, 5, '0')) AS incident_id", "'service' AS target_type", "concat('s', id) AS target", "'x' AS detector", "id AS start_window", "id AS end_window", "1L AS window_count", "'critical' AS peak_severity", "1.0D AS peak_deviation", "true AS derived", "'i00000' AS root_cause_incident_id")
+    assert queries.q_detections(incidents, 0, n).filter("root_cause_target = 's0'").count() == n
+    first = queries.q_detections(incidents, 0, n, limit=2).collect()
+    assert [r.root_cause_target for r in first] == ["s0", "s0"] and first[0].has_more
 
 
 def test_trace_without_spans_has_no_duration(spark, traces):
