@@ -61,15 +61,15 @@ def rounded(df: DataFrame) -> DataFrame:
     )
 
 
-def query(name: str, final: str | None = None):
-    """Register a function of (analysis, spark, sf_dir)."""
+def query(name: str, final: str | None = None, **instead: str):
+    """Register a function of (analysis, spark, sf_dir); ``instead``: other building blocks for its SQL."""
 
     def wrap(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             configure(spark)
             return rounded(fn(analysis(spark, sf_dir), spark, sf_dir))
 
-        REGISTRY[name] = (run, sql(final) if final else None)
+        REGISTRY[name] = (run, sql(final, **instead) if final else None)
         return fn
 
     return wrap
@@ -111,7 +111,8 @@ def otlp_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Export requests as JSON text, one per line item; every 31st order's are cut off.
 
     A request has two resources: the line's service with its span and one span
-    without an id, and a resource without a service name.
+    without an id, and a resource without a service name. Every 37th order's times are
+    no numbers and every 41st order's do not fit 64 bits.
     """
     (lineitem,) = tabular.tables(spark, sf_dir, "lineitem")
     rows = lineitem.select(
@@ -130,9 +131,9 @@ def otlp_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.struct(
             tabular.trace_id(F.col("key")).alias("traceId"),
             identity.alias("spanId"),
-            F.lit("").alias("parentSpanId"),
+            F.upper(tabular.span_id(F.col("key"), F.col("ln") - 1)).alias("parentSpanId"),
             name.alias("name"),
-            begin.cast("string").alias("startTimeUnixNano"),
+            F.when(F.col("key") % 37 == 0, "12x").when(F.col("key") % 41 == 0, "18446744073709551616").otherwise(begin.cast("string")).alias("startTimeUnixNano"),
             (begin + F.col("ln") * 1_000_000).cast("string").alias("endTimeUnixNano"),
             F.struct((F.col("ln").cast("int") % 3).alias("code")).alias("status"),
             attributes.cast(otlp.ATTRIBUTES).alias("attributes"),
@@ -215,13 +216,13 @@ def _(a, spark, sf):
 
 @query(
     "normalize_span_row",
-    f"""SELECT s.trace_id, s.span_id, '' AS parent_span_id, s.service_name, s.span_name,
+    f"""SELECT s.trace_id, s.span_id, {oracle.sid('s.key', '(s.ln - 1)')} AS parent_span_id, s.service_name, s.span_name,
  {oracle.start_us('s.key')} * 1000 AS start_time_unix_nano, {oracle.start_us('s.key')} * 1000 + s.ln * 1000000 AS end_time_unix_nano,
  (s.ln % 3)::INTEGER AS status_code,
  CASE WHEN s.span_name = 'op' THEN 'cheap=' || (l.l_extendedprice < 20000) || ';flag=' || l.l_returnflag
    || ';huge=' || (l.l_quantity * 10000000)::BIGINT || ';list=;part=' || l.l_partkey
    || ';price=' || rtrim(rtrim(printf('%.2f', l.l_extendedprice), '0'), '.') ELSE '' END AS attributes
-FROM (SELECT *, row_number() OVER () AS rid FROM {_GOOD}) l
+FROM (SELECT *, row_number() OVER () AS rid FROM {_GOOD} WHERE key % 37 <> 0 AND key % 41 <> 0) l
 JOIN LATERAL (SELECT l.key AS key, l.ln AS ln, {oracle.tid('l.key')} AS trace_id, {oracle.sid('l.key', 'l.ln')} AS span_id, 'svc-' || l.ln AS service_name, 'op' AS span_name
   UNION ALL SELECT l.key, l.ln, {oracle.tid('l.key')}, 'f' || substr({oracle.sid('l.key', 'l.ln')}, 2, 15), 'unknown_service', 'bare') s ON true""",
 )
@@ -233,13 +234,19 @@ def _(a, spark, sf):
     return rows.withColumn("attributes", text).drop("ingested_at_unix_nano")
 
 
-@query("skip_corrupt", f"SELECT count(*) FILTER (key % 31 <> 0) AS decoded, count(*) FILTER (key % 31 = 0) AS quarantined FROM {_L}")
+@query(
+    "skip_corrupt",
+    f"""SELECT count(*) FILTER (key % 31 <> 0) AS decoded, count(*) FILTER (key % 31 = 0) AS quarantined,
+ 3 * count(*) FILTER (key % 31 <> 0 AND (key % 37 = 0 OR key % 41 = 0)) AS unreadable FROM {_L}""",
+)
 def _(a, spark, sf):
     bad = F.col(otlp.CORRUPT).isNotNull()
     requests = otlp.read_otlp(spark, otlp_file(spark, sf))
-    return requests.agg(
+    counts = requests.agg(
         F.count_if(~bad & F.col("resourceSpans").isNotNull()).alias("decoded"), F.count_if(bad).alias("quarantined")
     )
+    unreadable = otlp.split_unreadable(_flat(spark, sf))[1].agg(F.count("*").alias("unreadable"))
+    return counts.join(unreadable)  # one row each
 
 
 @query("latest_version", f"SELECT {SLIM_SQL}, ingested_ns AS ingested_at_unix_nano FROM spans")
@@ -1325,78 +1332,136 @@ def _(a, spark, sf):
     return evaluate.latency_distribution(evaluate.eval_detection_latency(evaluate.eval_incident_match(true, found)))
 
 
-# --- streaming: the same results from streams over the same files ---------
+# --- streaming: the same results from streams over the same spans ----------
 
 
 def _store(spark: SparkSession, name: str) -> TableStore:
     return TableStore(spark, scratch_path(spark, name))
 
 
-@query("stream_ingest", f"SELECT {SLIM_SQL} FROM line_spans")
+_ARRIVALS: dict[tuple[str, str], str] = {}
+_PROCESSED: dict[tuple[str, str], TableStore] = {}
+
+
+def _stream(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+    """The received spans, in three files by arrival, as a stream."""
+    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
+    if key not in _ARRIVALS:
+        path = scratch_path(spark, "arrivals")
+        tabular.arrivals(spark, sf_dir, path, 3)
+        _ARRIVALS[key] = path
+    return tabular.span_stream(spark, _ARRIVALS[key], **options)
+
+
+def processed(spark: SparkSession, sf_dir: str) -> TableStore:
+    """The tables of a window processor that took a file at a time, run once per session."""
+    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
+    if key not in _PROCESSED:
+        store = _store(spark, "windows")
+        stream = _stream(spark, sf_dir, maxFilesPerTrigger=1)
+        ingest.run_to_end(WindowProcessor(store).stream(stream, scratch_path(spark, "offsets"), available_now=True))
+        _PROCESSED[key] = store
+    return _PROCESSED[key]
+
+
+@query("stream_ingest", f"SELECT {SLIM_SQL} FROM spans")
 def _(a, spark, sf):
     store = _store(spark, "stream_ingest")
-    run = ingest.stream_ingest(
-        tabular.line_span_stream(spark, sf), store, scratch_path(spark, "offsets"), available_now=True
-    )
-    ingest.run_to_end(run)
+    ingest.run_to_end(ingest.stream_ingest(_stream(spark, sf, maxFilesPerTrigger=2), store, scratch_path(spark, "offsets"), available_now=True))
     return store.read("spans").select(*SLIM)
 
 
-@query("stream_dedup", "SELECT trace_id, span_id FROM line_spans")
+@query("stream_dedup", "SELECT trace_id, span_id, min(ingested_ns) AS ingested_at_unix_nano FROM raw GROUP BY ALL")
 def _(a, spark, sf):
-    path = scratch_path(spark, "stream_dedup")
-    kept = ingest.stream_dedup(tabular.line_span_stream(spark, sf), 86_400).select("trace_id", "span_id")
-    ingest.run_to_end(
-        ingest.start(kept.writeStream.format("parquet").option("path", path), scratch_path(spark, "offsets"), available_now=True)
-    )
-    return spark.read.schema(kept.schema).parquet(path)
+    store = _store(spark, "stream_dedup")
+    ingest.run_to_end(ingest.stream_dedup(_stream(spark, sf, maxFilesPerTrigger=1), store, scratch_path(spark, "offsets"), available_now=True))
+    return store.versions("spans").select("trace_id", "span_id", "ingested_at_unix_nano")
 
 
 @query(
     "stream_service_stats",
     """SELECT window_start, service_name, count(*) AS call_count, count(*) FILTER (status_code = 2) AS error_count,
  round(quantile_cont(ms, 0.5), 6) AS latency_p50_ms, round(quantile_cont(ms, 0.95), 6) AS latency_p95_ms, round(quantile_cont(ms, 0.99), 6) AS latency_p99_ms
-FROM (SELECT start_ns // 60000000000 * 60 AS window_start, service_name, status_code, (end_ns - start_ns) / 1e6 AS ms FROM raw_lines)
-WHERE window_start + 60 + 30 <= (SELECT max(start_ns) // 1000000 / 1e3 FROM raw_lines) GROUP BY ALL""",
+FROM (SELECT start_ns // 60000000000 * 60 AS window_start, service_name, status_code, (end_ns - start_ns) / 1e6 AS ms FROM raw)
+WHERE window_start + 60 + 30 <= (SELECT max(start_ns) // 1000000 / 1e3 FROM raw) GROUP BY ALL""",
 )
 def _(a, spark, sf):
     store = _store(spark, "stream_service_stats")
-    run = ingest.stream_service_stats(
-        tabular.line_span_stream(spark, sf), store, scratch_path(spark, "offsets"), available_now=True
-    )
-    ingest.run_to_end(run)
+    ingest.run_to_end(ingest.stream_service_stats(_stream(spark, sf), store, scratch_path(spark, "offsets"), available_now=True))
     return store.read("service_stats")
 
 
 @query(
     "stream_late_side_output",
-    """SELECT trace_id, span_id, max(ingested_ns) AS ingested_at_unix_nano FROM raw_lines
+    """SELECT trace_id, span_id, max(ingested_ns) AS ingested_at_unix_nano FROM raw
 WHERE ingested_ns > (start_ns // 60000000000 * 60 + 90) * 1000000000 GROUP BY ALL""",
 )
 def _(a, spark, sf):
     late = _store(spark, "late")
     run = ingest.stream_late_side_output(
-        tabular.line_span_stream(spark, sf), _store(spark, "on_time"), late, scratch_path(spark, "offsets"), available_now=True
+        _stream(spark, sf, maxFilesPerTrigger=2), _store(spark, "on_time"), late, scratch_path(spark, "offsets"), available_now=True
     )
     ingest.run_to_end(run)
     return late.read("spans").select("trace_id", "span_id", "ingested_at_unix_nano")
 
 
+# What the processor sees, and all windows it closes, silent ones at the end included.
+_STREAMED = {
+    "raw": oracle.SEEN_RAW,
+    "spine": f"SELECT unnest(range((SELECT min(window_start) FROM spans), (SELECT until FROM closed), {oracle.W})) AS window_start",
+}
+_CLOSED = "window_start + 60 <= (SELECT until FROM closed)"
+_CLOSED_AS_OF = "as_of + 60 <= (SELECT until FROM closed)"
+
+
+def _processor_table(table: str, final: str) -> None:
+    @query(f"stream_processor_{table}", final, **_STREAMED)
+    def _(a, spark, sf):
+        return processed(spark, sf).read(table)
+
+
 @query(
     "stream_window_processor",
-    f"""SELECT window_start, caller AS caller_service, callee AS callee_service, call_count, error_count, {STATS_SQL} FROM (
- SELECT p.window_start, q.service_name AS caller, p.service_name AS callee, count(*) AS call_count, count(*) FILTER (p.status_code = 2) AS error_count,
-  quantile_cont((p.end_ns - p.start_ns) / 1e6, 0.5) AS p50, quantile_cont((p.end_ns - p.start_ns) / 1e6, 0.95) AS p95, quantile_cont((p.end_ns - p.start_ns) / 1e6, 0.99) AS p99
- FROM line_spans p JOIN line_spans q ON q.trace_id = p.trace_id AND q.window_start = p.window_start AND q.span_id = p.parent_span_id AND p.parent_span_id <> ''
- GROUP BY ALL) WHERE window_start + 60 <= ((SELECT max(start_ns) FROM line_spans) - 30000000000) // 60000000000 * 60""",
+    f"""SELECT window_start, caller AS caller_service, callee AS callee_service, call_count, error_count, {STATS_SQL}
+FROM stats WHERE target_type = 'edge' AND {_CLOSED}""",
+    **_STREAMED,
 )
 def _(a, spark, sf):
-    store = _store(spark, "windows")
-    run = WindowProcessor(store).stream(
-        tabular.line_span_stream(spark, sf), scratch_path(spark, "offsets"), available_now=True
-    )
-    ingest.run_to_end(run)
-    return store.read("service_edges")
+    return processed(spark, sf).read("service_edges")
+
+
+_processor_table("trace_summaries", f"SELECT trace_id, window_start, depth, span_count, root_service, complete, incompleteness_reason, orphan_count FROM summaries WHERE {_CLOSED}")
+_processor_table("span_classifications", f"SELECT trace_id, span_id, window_start, classification FROM classes WHERE {_CLOSED}")
+_processor_table("service_stats", f"SELECT window_start, callee AS service_name, call_count, error_count, {STATS_SQL} FROM stats WHERE target_type = 'service' AND {_CLOSED}")
+_processor_table("service_clock_offsets", f"SELECT window_start, service_name, offset_ns, confidence FROM offsets WHERE {_CLOSED}")
+_processor_table("service_baselines", f"SELECT as_of, callee AS service_name, {BASELINE_SQL} FROM baselines WHERE target_type = 'service' AND {_CLOSED_AS_OF}")
+_processor_table("edge_baselines", f"SELECT as_of, caller AS caller_service, callee AS callee_service, {BASELINE_SQL} FROM baselines WHERE target_type = 'edge' AND {_CLOSED_AS_OF}")
+_processor_table("detections", f"SELECT {DETECTION_SQL} FROM detections WHERE {_CLOSED}")
+_processor_table("topology", f"SELECT DISTINCT caller AS caller_service, callee AS callee_service FROM stats WHERE target_type = 'edge' AND {_CLOSED}")
+_processor_table(
+    "detected_incidents",
+    f"""SELECT {INCIDENT_SQL}, derived, root_cause_incident_id FROM (SELECT *, row_number() OVER (PARTITION BY incident_id ORDER BY as_of DESC) AS rn
+ FROM r_incidents WHERE {_CLOSED_AS_OF}) WHERE rn = 1""",
+)
+
+
+@query(
+    "stream_counters",
+    f"""SELECT 'late_spans' AS metric, '' AS label, count(*)::BIGINT AS value FROM received WHERE ingested_ns > (start_ns // 60000000000 * 60 + 90) * 1000000000
+UNION ALL SELECT 'traces_processed', '', count(*)::BIGINT FROM summaries WHERE {_CLOSED}
+UNION ALL SELECT 'incomplete_traces', incompleteness_reason, count(*)::BIGINT FROM summaries WHERE NOT complete AND {_CLOSED} GROUP BY 2
+UNION ALL SELECT 'orphan_spans', classification, count(*)::BIGINT FROM classes WHERE classification <> 'ok' AND {_CLOSED} GROUP BY 2
+UNION ALL SELECT 'clock_violations', callee, count(*)::BIGINT FROM pairs WHERE (c_start < p_start OR c_end > p_end) AND {_CLOSED} GROUP BY 2
+UNION ALL SELECT 'cold_baselines', target_type, count(*)::BIGINT FROM baselines WHERE NOT ready AND {_CLOSED_AS_OF} GROUP BY 2
+UNION ALL SELECT 'incidents_open', '', count(*)::BIGINT FROM r_incidents WHERE end_window = as_of AND {_CLOSED_AS_OF}
+UNION ALL SELECT 'suppressed', '', count(*)::BIGINT FROM detections d WHERE {_CLOSED} AND EXISTS (SELECT 1 FROM r_incidents r
+ WHERE r.as_of = d.window_start AND r.derived AND r.target_type = d.target_type AND r.target = d.target AND r.detector = d.detector)""",
+    **_STREAMED,
+)
+def _(a, spark, sf):
+    rows = processed(spark, sf).read("window_counters")
+    label = F.when(F.col("metric") == "late_spans", "").otherwise(F.col("label"))
+    return rows.groupBy("metric", label.alias("label")).agg(F.sum("value").alias("value"))
 
 
 @query("stream_open_incidents", f"SELECT {INCIDENT_SQL} FROM grouped")

@@ -75,6 +75,12 @@ CTE["sent"] = f"SELECT {_COLUMNS} FROM (SELECT * FROM root_rows UNION ALL SELECT
 CTE["raw_lines"] = f"""
 SELECT {_COLUMNS} FROM line_rows WHERE NOT (service_name = 'payments' AND {minute('s_us')} % 17 = 12)"""
 CTE["raw"] = f"SELECT {_COLUMNS} FROM root_rows WHERE key % 13 <> 4 UNION ALL SELECT * FROM raw_lines"
+#: For streams: only spans that had arrived when their window closed.
+SEEN_RAW = f"""
+SELECT * FROM (SELECT {_COLUMNS} FROM root_rows WHERE key % 13 <> 4 UNION ALL SELECT * FROM raw_lines)
+WHERE ingested_ns <= (start_ns // 60000000000 * 60 + 90) * 1000000000"""
+CTE["received"] = CTE["raw"]
+CTE["closed"] = "SELECT (max(ingested_ns) - 30000000000) // 60000000000 * 60 AS until FROM received"
 CTE["spans"] = f"""
 SELECT *, (start_ns // 60000000000) * 60 AS window_start
 FROM (SELECT *, {_NEWEST} AS newest FROM raw) WHERE newest = 1"""
@@ -354,18 +360,22 @@ SELECT t.callee, d.depth + 1 FROM depth_walk d JOIN topology t ON t.caller = d.s
 CTE["depths"] = "SELECT service, min(depth) AS depth FROM depth_walk GROUP BY service"
 
 
-def sql(final: str) -> str:
-    """WITH ... final, with the blocks that ``final`` needs, in definition order."""
+def sql(final: str, **instead: str) -> str:
+    """WITH ... final, with the blocks that ``final`` needs, in definition order.
+
+    ``instead`` replaces blocks by name for this text.
+    """
     needed: set[str] = set()
+    blocks_of = CTE | instead
 
     def visit(text: str) -> None:
         for word in set(re.findall(r"[A-Za-z_]+", text)):
-            if word in CTE and word not in needed:
+            if word in blocks_of and word not in needed:
                 needed.add(word)
-                visit(CTE[word])
+                visit(blocks_of[word])
 
     visit(final)
-    blocks = [f"{name} AS ({body.strip()})" for name, body in CTE.items() if name in needed]
+    blocks = [f"{name} AS ({body.strip()})" for name, body in blocks_of.items() if name in needed]
     if not blocks:
         return final
     return "WITH RECURSIVE " + ",\n".join(blocks) + "\n" + final.strip()

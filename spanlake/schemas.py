@@ -122,6 +122,8 @@ SCHEMAS: dict[str, T.StructType] = {
         derived="boolean",
         root_cause_incident_id="string",
     ),
+    "window_counters": _schema(window_start="bigint", metric="string", label="string", value="bigint"),
+    "topology": _schema(caller_service="string", callee_service="string"),
 }
 
 # The newest row per key wins; tables without a key only ever grow.
@@ -136,6 +138,8 @@ KEYS: dict[str, list[str]] = {
     "edge_baselines": ["caller_service", "callee_service", "as_of"],
     "detections": ["target_type", "target", "detector", "window_start"],
     "detected_incidents": ["incident_id"],
+    "window_counters": ["window_start", "metric", "label"],
+    "topology": ["caller_service", "callee_service"],
 }
 
 # The column (unix seconds, or nanoseconds for spans) whose day partitions a table.
@@ -150,6 +154,7 @@ TIME_COLUMN: dict[str, str] = {
     "edge_baselines": "as_of",
     "detections": "window_start",
     "detected_incidents": "start_window",
+    "window_counters": "window_start",
 }
 
 # Defaults the results depend on.

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,6 +20,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # Hash instead of sort a join whose every shuffled partition proved small.
     "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
+    # Attributes sent twice: the last one stands, as in a map assignment.
+    "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
 }
 
 
@@ -37,6 +42,7 @@ def local_session(cores: str = "8", app: str = "spanlake", **conf: str) -> Spark
         .config("spark.driver.memory", "12g")
         .config("spark.sql.shuffle.partitions", cores)
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128k")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.extraJavaOptions", "-Dlog4j2.level=ERROR")
     )
     for key, value in conf.items():
@@ -73,8 +79,42 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_SCOPES = threading.local()  # a scope belongs to the thread that opened it
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    for open_scope in getattr(_SCOPES, "open", [])[-1:]:
+        open_scope.append(path)
+    return path
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end the scratch tables written inside it."""
+    _SCOPES.open = [*getattr(_SCOPES, "open", []), []]
+    try:
+        yield
+    finally:
+        *_SCOPES.open, paths = _SCOPES.open
+        for path in paths:
+            delete(spark, path)
+
+
+def file_system(spark: SparkSession, path: str):
+    """(Hadoop file system, Hadoop path)."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, at = file_system(spark, path)
+    return fs.exists(at)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, at = file_system(spark, path)
+    fs.delete(at, True)
 
 
 def write_scratch(df: DataFrame, name: str) -> DataFrame:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from spanlake.functions.columns import int_div, seconds_to_date
 from spanlake.operators.dedup import latest_version
 from spanlake.schemas import KEYS, NS, SCHEMAS, TIME_COLUMN
+from spanlake.session import exists, file_system, scratch_scope, write_scratch
 
 
 def _day(table: str) -> Column:
@@ -19,9 +19,11 @@ def _day(table: str) -> Column:
 class TableStore:
     """The span table and the derived tables under one folder.
 
-    A write appends the rows as one numbered version, partitioned by day; a
-    repeated write of the same number replaces its own partitions, so a
-    retried micro-batch is harmless. A read returns the newest row per key.
+    A write appends the rows as one numbered version of one writer, partitioned by
+    day. A repeated write of the same number by the same writer replaces its own
+    partitions, so a retried micro-batch is harmless; other writers' rows stay.
+    A read returns the newest row per key: the later writer's, then the higher
+    version's. :meth:`compact` turns a closed day into one version.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -31,16 +33,15 @@ class TableStore:
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
 
-    def write(self, table: str, df: DataFrame, version: int) -> None:
+    def write(self, table: str, df: DataFrame, version: int, writer: str = "0") -> None:
         columns = [f.name for f in SCHEMAS[table].fields]
         rows = df.select(*columns)
+        partitions = ["writer", "version"]
         if table in TIME_COLUMN:
             rows = rows.withColumn("day", _day(table))
-            partitions = ["day", "version"]
-        else:
-            partitions = ["version"]
+            partitions = ["day", *partitions]
         (
-            rows.withColumn("version", F.lit(int(version)).cast("bigint"))
+            rows.withColumns({"writer": F.lit(writer), "version": F.lit(int(version)).cast("bigint")})
             .write.partitionBy(*partitions)
             .option("partitionOverwriteMode", "dynamic")
             .mode("overwrite")
@@ -48,27 +49,25 @@ class TableStore:
         )
 
     def exists(self, table: str) -> bool:
-        try:
-            self.spark.read.parquet(self.path(table))
-        except AnalysisException:
-            return False
-        return True
+        return exists(self.spark, self.path(table))
 
     def versions(self, table: str) -> DataFrame:
-        """Every stored row, with ``day`` and ``version``."""
+        """Every stored row, with ``day``, ``writer`` and ``version``."""
         schema = SCHEMAS[table]
-        if not self.exists(table):
-            empty = self.spark.createDataFrame([], schema)
-            return empty.withColumns({"day": F.lit(None).cast("date"), "version": F.lit(0).cast("bigint")})
-        extra = "day date, version bigint" if table in TIME_COLUMN else "version bigint"
+        extra = "writer string, version bigint"
+        if table in TIME_COLUMN:
+            extra = f"day date, {extra}"
         ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+        if not self.exists(table):
+            return self.spark.createDataFrame([], f"{ddl}, {extra}")
         return self.spark.read.schema(f"{ddl}, {extra}").parquet(self.path(table))
 
-    def read(self, table: str, low: int | None = None, high: int | None = None) -> DataFrame:
+    def read(self, table: str, low: int | None = None, high: int | None = None, where: Column | None = None) -> DataFrame:
         """Newest rows; ``low``/``high`` (unix seconds, half open) prune days first.
 
         The range may only be given where the time column is part of the key or
-        fixed by it, so that no newer version lies outside the range.
+        fixed by it, so that no newer version lies outside the range. ``where``
+        chooses among the stored rows before the newest one is taken.
         """
         df = self.versions(table)
         column = F.col(TIME_COLUMN[table]) if table in TIME_COLUMN else None
@@ -78,19 +77,45 @@ class TableStore:
             df = df.filter((F.col("day") >= day(low)) & (column >= low * scale))
         if high is not None:
             df = df.filter((F.col("day") <= day(high)) & (column < high * scale))
+        if where is not None:
+            df = df.filter(where)
+        return self._newest(table, df).drop("day", "writer", "version")
+
+    def _newest(self, table: str, df: DataFrame) -> DataFrame:
         if table not in KEYS:
-            return df.drop("day", "version")
-        newest = ["version"] if table != "spans" else ["ingested_at_unix_nano", "version"]
-        return latest_version(df.drop("day"), KEYS[table], newest).drop("version")
+            return df
+        newest = ["writer", "version"] if table != "spans" else ["ingested_at_unix_nano", "writer", "version"]
+        return latest_version(df, KEYS[table], newest)
+
+    def compact(self, table: str, day: str) -> None:
+        """One version in place of all of a day that gets no more rows.
+
+        The newest rows go to the partition of the last writer and version, in one
+        replacing write; then the others go. Rows that are there twice in between are
+        equal, and a read takes one of each key.
+        """
+        if table not in KEYS:
+            raise ValueError(f"{table} has no key to tell copies by")
+        stored = self.versions(table).filter(F.col("day") == F.lit(day).cast("date"))
+        last = stored.select("writer", "version").distinct().orderBy(F.desc("writer"), F.desc("version")).first()
+        if last is None:
+            return
+        with scratch_scope(self.spark):
+            rows = write_scratch(self._newest(table, stored), "compacted")
+            self.write(table, rows, last.version, last.writer)
+        kept = f"{self.path(table)}/day={day}/writer={last.writer}"
+        for folder, stay in ((f"{self.path(table)}/day={day}", kept), (kept, f"{kept}/version={last.version}")):
+            fs, at = file_system(self.spark, folder)
+            for status in fs.listStatus(at):
+                if status.getPath().getName() != stay.rsplit("/", 1)[1]:
+                    fs.delete(status.getPath(), True)
 
     def expired_days(self, table: str, before: str) -> DataFrame:
         return self.versions(table).filter(F.col("day") < F.lit(before).cast("date")).select("day").distinct()
 
     def retain(self, table: str, first_day: str) -> None:
         """Drop whole day partitions before ``first_day``; no data is rewritten."""
-        hadoop = self.spark._jvm.org.apache.hadoop.fs
-        base = hadoop.Path(self.path(table))
-        fs = base.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        fs, base = file_system(self.spark, self.path(table))
         if not fs.exists(base):
             return
         for status in fs.listStatus(base):

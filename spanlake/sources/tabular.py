@@ -153,13 +153,17 @@ def raw_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lost_root(root_spans(orders)).unionByName(_silent(line_spans(lineitem))).drop("key")
 
 
-def line_span_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The line spans as a stream over the same file."""
-    schema = spark.read.parquet(f"{sf_dir}/lineitem.parquet").schema
-    stream = (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", "lineitem.parquet")
-        .option("maxFilesPerTrigger", 1)
-        .parquet(sf_dir)
-    )
-    return _silent(line_spans(stream)).drop("key")
+def arrivals(spark: SparkSession, sf_dir: str, path: str, pieces: int) -> None:
+    """The received spans as files under ``path``, in ``pieces`` that follow one another by arrival."""
+    spans = raw_spans(spark, sf_dir)
+    at = F.col("ingested_at_unix_nano")
+    low, high = spans.agg(F.min(at), F.max(at)).first()
+    for i in range(pieces):
+        a, b = (low + (high - low) * k // pieces for k in (i, i + 1))
+        later = at >= a if i == 0 else at > a
+        spans.filter(later & (at <= b)).coalesce(1).write.mode("append").parquet(path)
+
+
+def span_stream(spark: SparkSession, path: str, **options) -> DataFrame:
+    """Stored arrivals as a stream; ``options`` may limit a micro-batch."""
+    return spark.readStream.schema(spark.read.parquet(path).schema).options(**options).parquet(path)

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import time
+import uuid
 
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from spanlake.functions.columns import duration_ns, is_error, ns_to_timestamp
 from spanlake.operators.aggregates import as_service_stats
+from spanlake.operators.dedup import latest_version
 from spanlake.operators.quantiles import percentiles
 from spanlake.operators.windows import arrived_late, as_seen, with_window
-from spanlake.schemas import WATERMARK_SECONDS, WINDOW_SECONDS
+from spanlake.schemas import KEYS, NS, WATERMARK_SECONDS, WINDOW_SECONDS
+from spanlake.session import exists
 from spanlake.sources.tables import TableStore
 
 BATCH_INTERVAL = "2 seconds"
@@ -24,27 +27,66 @@ def start(writer: DataStreamWriter, checkpoint: str, available_now: bool = False
     return writer.option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
+def writer_of(spark: SparkSession, checkpoint: str) -> str:
+    """The id under which the stream with that checkpoint writes; later streams sort behind.
+
+    It is kept with the checkpoint: a restart goes on as the same writer, and a new
+    checkpoint, whose batches count from 0 again, is a new one.
+    """
+    path = f"{checkpoint.rstrip('/')}/writer"
+    if not exists(spark, f"{path}/_SUCCESS"):
+        name = f"{time.time_ns() // 1_000_000:013d}-{uuid.uuid4().hex[:8]}"
+        spark.createDataFrame([(name,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    return spark.read.text(path).first()[0]
+
+
 def stream_ingest(spans: DataFrame, store: TableStore, checkpoint: str, **options) -> StreamingQuery:
     """Append every micro-batch to the span table.
 
     The batch id is the version written, so a batch repeated after a failure
     replaces itself; copies sent twice by the producers go at read time.
     """
+    writer = writer_of(store.spark, checkpoint)
     return start(
-        spans.writeStream.foreachBatch(lambda df, batch: store.write("spans", df, batch)), checkpoint, **options
+        spans.writeStream.foreachBatch(lambda df, batch: store.write("spans", df, batch, writer)), checkpoint, **options
     )
 
 
 def with_event_time(spans: DataFrame, delay_seconds: int = WATERMARK_SECONDS) -> DataFrame:
-    """Event time and watermark. The watermark follows the latest event seen, not the clock."""
+    """Event time and watermark, for aggregations that end with their windows.
+
+    The watermark follows the latest event seen, not the clock, and rows behind it are
+    dropped by the engine: what must be kept goes through :func:`stream_dedup`,
+    :func:`stream_late_side_output` or the window processor.
+    """
     return spans.withColumn("event_time", ns_to_timestamp(F.col("start_time_unix_nano"))).withWatermark(
         "event_time", f"{delay_seconds} seconds"
     )
 
 
-def stream_dedup(spans: DataFrame, delay_seconds: int = WATERMARK_SECONDS) -> DataFrame:
-    """The first copy of every (trace_id, span_id) within the watermark."""
-    return with_event_time(spans, delay_seconds).dropDuplicatesWithinWatermark(["trace_id", "span_id"])
+def stream_dedup(spans: DataFrame, store: TableStore, checkpoint: str, **options) -> StreamingQuery:
+    """The first copy of every (trace_id, span_id) to the span table, however late it comes.
+
+    A micro-batch is held against the stored spans of its own days (pruned), not
+    against state with a watermark, behind which rows would be dropped.
+    """
+    writer = writer_of(store.spark, checkpoint)
+
+    def save(df: DataFrame, batch: int) -> None:
+        first = latest_version(df.withColumn("_first", -F.col("ingested_at_unix_nano")), KEYS["spans"], "_first").drop("_first")
+        first = first.persist()
+        try:
+            low, high = first.agg(F.min("start_time_unix_nano"), F.max("start_time_unix_nano")).first()
+            if low is None:
+                return
+            days = [F.timestamp_seconds(F.lit(at // NS)).cast("date") for at in (low, high)]
+            known = store.versions("spans").filter(F.col("day").between(*days))
+            known = known.filter((F.col("writer") != writer) | (F.col("version") != batch))  # not what a retry wrote
+            store.write("spans", first.join(known.select(*KEYS["spans"]), KEYS["spans"], "left_anti"), batch, writer)
+        finally:
+            first.unpersist()
+
+    return start(spans.writeStream.foreachBatch(save), checkpoint, **options)
 
 
 def service_frequencies(
@@ -93,10 +135,11 @@ def stream_service_stats(
             out = percentiles(freq, keys, "_v", [0.5, 0.95, 0.99], ["error_count"], weight="_n")
             ms = [(F.col(f"p{i}") / 1e6).alias(f"latency_p{p}_ms") for i, p in enumerate((50, 95, 99))]
             stats = out.select(*keys, F.col("n").alias("call_count"), "error_count", *ms)
-            store.write("service_stats", as_service_stats(stats), batch)
+            store.write("service_stats", as_service_stats(stats), batch, writer)
         finally:
             freq.unpersist()
 
+    writer = writer_of(store.spark, checkpoint)
     freq = service_frequencies(spans, window_seconds, delay_seconds)
     return start(freq.writeStream.outputMode("append").foreachBatch(finish), checkpoint, **options)
 
@@ -116,11 +159,13 @@ def stream_late_side_output(
     time shows it; the engine's own watermark would drop such rows silently.
     """
 
+    writer = writer_of(on_time.spark, checkpoint)
+
     def split(df: DataFrame, batch: int) -> None:
         df = with_window(df, window_seconds).persist()
         try:
-            on_time.write("spans", as_seen(df, window_seconds, delay_seconds), batch)
-            late.write("spans", arrived_late(df, window_seconds, delay_seconds), batch)
+            on_time.write("spans", as_seen(df, window_seconds, delay_seconds), batch, writer)
+            late.write("spans", arrived_late(df, window_seconds, delay_seconds), batch, writer)
         finally:
             df.unpersist()
 

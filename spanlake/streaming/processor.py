@@ -2,19 +2,25 @@
 
 The batch operators do the work; what is kept between micro-batches is in the
 tables (including the progress), so a restart continues where it stopped.
+
+The clock is ingestion time: a window closes once a span has arrived the watermark
+or more after its end, whatever time that span claims for itself, and it is analysed
+over the spans that had arrived by then. Spans that arrive later are stored and
+counted. Without traffic :meth:`WindowProcessor.advance` moves the clock, so that
+silence is analysed, too. One processor writes to a store at a time; the version of
+its tables is the end of the windows closed, which only grows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.utils import AnalysisException
 
-from spanlake.functions.columns import split_target, target_label
+from spanlake.functions.columns import floor_to, split_target, target_label
 from spanlake.operators import aggregates, baseline, clock, detect, incidents, reassembly
 from spanlake.operators.dedup import latest_version
-from spanlake.operators.windows import with_window
+from spanlake.operators.windows import arrived_late, with_window
 from spanlake.schemas import (
     BASELINE_LOOKBACK_SECONDS,
     BASELINE_MIN_SAMPLES,
@@ -24,10 +30,11 @@ from spanlake.schemas import (
     WATERMARK_SECONDS,
     WINDOW_SECONDS,
 )
-from spanlake.session import write_scratch
+from spanlake.session import delete, exists, scratch_scope, write_scratch
 from spanlake.sources.tables import TableStore
-from spanlake.streaming.ingest import start
+from spanlake.streaming.ingest import start, writer_of
 
+_PROGRESS = "clock_ns bigint, closed_to bigint, writer string, batch bigint"
 _STATS = ["call_count", "error_count", "latency_p50_ms", "latency_p95_ms", "latency_p99_ms"]
 
 
@@ -52,61 +59,99 @@ class WindowProcessor:
         self.progress_path = f"{store.root}/_progress_of_windows"
 
     def stream(self, spans: DataFrame, checkpoint: str, **options) -> StreamingQuery:
-        return start(spans.writeStream.foreachBatch(self.process_batch), checkpoint, **options)
+        writer = writer_of(self.store.spark, checkpoint)
+        return start(
+            spans.writeStream.foreachBatch(lambda df, batch: self.process_batch(df, batch, writer)), checkpoint, **options
+        )
 
-    def _progress(self, before_batch: int) -> tuple[int | None, int | None]:
-        """(latest event, end of the closed windows) after the batches before this one."""
+    def _progress(self, but: tuple[str, int] | None = None) -> tuple[int | None, int | None]:
+        """(latest arrival, end of the closed windows); ``but``: without that (writer, batch) and later ones of it."""
         spark = self.store.spark
-        try:
-            rows = spark.read.parquet(self.progress_path)
-        except AnalysisException:  # no progress yet
+        if not exists(spark, self.progress_path):
             return None, None
-        row = rows.filter(F.col("batch") < before_batch).agg(F.max("max_event_ns"), F.max("closed_to")).first()
+        rows = spark.read.schema(_PROGRESS).parquet(self.progress_path)
+        if but is not None:
+            rows = rows.filter((F.col("writer") != but[0]) | (F.col("batch") < but[1]))
+        row = rows.agg(F.max("clock_ns"), F.max("closed_to")).first()
         return row[0], row[1]
 
-    def _save_progress(self, batch: int, max_event_ns: int | None, closed_to: int | None) -> None:
-        spark = self.store.spark
-        schema = "max_event_ns bigint, closed_to bigint, batch bigint"
-        spark.createDataFrame([(max_event_ns, closed_to, batch)], schema).coalesce(1).write.partitionBy("batch").option(
-            "partitionOverwriteMode", "dynamic"
-        ).mode("overwrite").parquet(self.progress_path)
-
-    def process_batch(self, batch_spans: DataFrame, batch: int) -> None:
-        self.store.write("spans", batch_spans, batch)
-        stored = self.store.versions("spans").filter(F.col("version") == batch)
-        low, high = stored.agg(F.min("start_time_unix_nano"), F.max("start_time_unix_nano")).first()
-        latest, closed_to = self._progress(batch)
+    def _save_progress(self, clock_ns: int | None, closed_to: int | None, writer: str, batch: int) -> None:
+        row = self.store.spark.createDataFrame([(clock_ns, closed_to, writer, batch)], _PROGRESS)
+        row.coalesce(1).write.partitionBy("writer", "batch").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(
+            self.progress_path
+        )
+        # Earlier rows of this writer say nothing more: one is left besides the last.
+        for old in range(max(0, batch - 20), batch - 1):
+            delete(self.store.spark, f"{self.progress_path}/writer={writer}/batch={old}")
+
+    def process_batch(self, batch_spans: DataFrame, batch: int, writer: str = "0") -> None:
+        self.store.write("spans", batch_spans, batch, writer)
+        stored = self.store.versions("spans").filter((F.col("writer") == writer) & (F.col("version") == batch))
+        low, first_seen, last_seen = stored.agg(
+            F.min("start_time_unix_nano"), F.min("ingested_at_unix_nano"), F.max("ingested_at_unix_nano")
+        ).first()
+        clock, closed_to = self._progress((writer, batch))
         if low is None:
-            self._save_progress(batch, latest, closed_to)
+            self._save_progress(clock, closed_to, writer, batch)
             return
+        if closed_to is None:
+            # Nothing before the lookback is analysed, however old a first span claims to be.
+            w = self.window_seconds
+            closed_to = max(low // NS, first_seen // NS - self.lookback_seconds) // w * w
+        clock = last_seen if clock is None else max(clock, last_seen)
+        late = arrived_late(with_window(stored, self.window_seconds), self.window_seconds, self.watermark_seconds)
+        closed_to = self._close(clock, closed_to, late)
+        self._save_progress(clock, closed_to, writer, batch)
+
+    def advance(self, now: float) -> None:
+        """Closes what is due at ``now`` (unix seconds) without new spans."""
+        clock, closed_to = self._progress()
+        if closed_to is None:
+            return
+        clock = max(clock or 0, int(now * NS))
+        closed_to = self._close(clock, closed_to, None)
+        self._save_progress(clock, closed_to, "clock", closed_to)
+
+    def _close(self, clock_ns: int, closed_to: int, late: DataFrame | None) -> int:
         w = self.window_seconds
-        latest = high if latest is None else max(latest, high)
-        first = closed_to if closed_to is not None else low // (w * NS) * w
-        until = (latest - self.watermark_seconds * NS) // (w * NS) * w
-        if until > first:
-            self.process_windows(first, until, batch)
-            closed_to = until
-        else:
-            closed_to = first
-        self._save_progress(batch, latest, closed_to)
+        until = (clock_ns - self.watermark_seconds * NS) // (w * NS) * w
+        with scratch_scope(self.store.spark):
+            if until > closed_to:
+                self.process_windows(closed_to, until, until)
+            if late is not None:
+                # By the window they came too late for; a later batch adds a row of its own.
+                counts = late.groupBy("window_start").agg(F.count("*").alias("value"))
+                rows = counts.select(
+                    "window_start", F.lit("late_spans").alias("metric"), F.lit(str(clock_ns)).alias("label"), "value"
+                )
+                self.store.write("window_counters", rows, clock_ns, "late")
+        return max(until, closed_to)
 
     def process_windows(self, first: int, until: int, version: int) -> None:
         """Analyse the windows starting in [first, until) and write their rows."""
         store, w = self.store, self.window_seconds
         past = first - self.lookback_seconds
-        spans = write_scratch(with_window(store.read("spans", past, until), w), "recent_spans")
+        closes = floor_to(F.col("start_time_unix_nano"), w * NS) + (w + self.watermark_seconds) * NS
+        arrived = F.col("ingested_at_unix_nano") <= closes
+        spans = write_scratch(with_window(store.read("spans", past, until, arrived), w), "recent_spans")
         links = write_scratch(reassembly.parent_links(spans), "recent_links")
         any_pairs = reassembly.pairs_of_links(links)
         pairs = any_pairs.filter("window_start = parent_window_start").filter(F.col("window_start") >= first)
         current = spans.filter(F.col("window_start") >= first)
 
+        def put(table: str, df: DataFrame) -> None:
+            store.write(table, df, version, "windows")
+
         summaries, classes = reassembly.reassemble(current, links.filter(F.col("window_start") >= first))
-        store.write("trace_summaries", summaries, version)
-        store.write("span_classifications", classes, version)
+        put("trace_summaries", summaries)
+        put("span_classifications", classes)
         stats = write_scratch(aggregates.window_stats(current, pairs), "recent_stats")
-        store.write("service_stats", aggregates.as_service_stats(stats), version)
-        store.write("service_edges", aggregates.as_service_edges(stats), version)
-        store.write("service_clock_offsets", clock.clock_offsets(pairs, self.root_service), version)
+        put("service_stats", aggregates.as_service_stats(stats))
+        edges = aggregates.as_service_edges(stats)
+        put("service_edges", edges)
+        calls = edges.select("caller_service", "callee_service").distinct()
+        put("topology", calls.join(store.read("topology"), ["caller_service", "callee_service"], "left_anti"))
+        put("service_clock_offsets", clock.clock_offsets(pairs, self.root_service))
 
         spine = store.spark.range(first, until, w).select(F.col("id").alias("window_start"))
         table = write_scratch(
@@ -115,13 +160,38 @@ class WindowProcessor:
             ),
             "recent_baselines",
         )
-        store.write("service_baselines", baseline.as_service_baselines(table), version)
-        store.write("edge_baselines", baseline.as_edge_baselines(table), version)
-        store.write("detections", detect.run_detection(stats, table), version)
+        put("service_baselines", baseline.as_service_baselines(table))
+        put("edge_baselines", baseline.as_edge_baselines(table))
+        put("detections", detect.run_detection(stats, table))
 
         recent = store.read("detections", first - self.grouping_seconds, until).select("*", *split_target())
-        rolled = incidents.rolling_incidents(recent, store.read("service_edges"), spine, w, self.grouping_seconds)
-        store.write("detected_incidents", latest_version(rolled, ["incident_id"], "as_of"), version)
+        rolled = write_scratch(incidents.rolling_incidents(recent, store.read("topology"), spine, w, self.grouping_seconds), "rolled")
+        put("detected_incidents", latest_version(rolled, ["incident_id"], "as_of"))
+        put("window_counters", self._counters(first, until, table, rolled, recent, pairs))
+
+    def _counters(self, first: int, until: int, table: DataFrame, rolled: DataFrame, recent: DataFrame, pairs: DataFrame) -> DataFrame:
+        """Per window: traces, incomplete ones by reason, spans by class, violations, cold baselines, incidents."""
+        summaries, classes = (self.store.read(t, first, until) for t in ("trace_summaries", "span_classifications"))
+        violations = clock.clock_violations(pairs).withColumnRenamed("callee_service", "label")
+        opened = incidents.incident_counters(rolled, recent.filter(F.col("window_start") >= first))
+
+        def count(df: DataFrame, metric: str, label: Column, at: str = "window_start") -> DataFrame:
+            per = df.groupBy(F.col(at).alias("window_start"), label.alias("label")).agg(F.count("*").alias("value"))
+            return per.select("window_start", F.lit(metric).alias("metric"), "label", "value")
+
+        parts = [
+            count(summaries, "traces_processed", F.lit("")),
+            count(summaries.filter("NOT complete"), "incomplete_traces", F.col("incompleteness_reason")),
+            count(classes.filter("classification <> 'ok'"), "orphan_spans", F.col("classification")),
+            count(violations, "clock_violations", F.col("label")),
+            count(table.filter("NOT ready"), "cold_baselines", F.col("target_type"), "as_of"),
+            opened.select("window_start", F.lit("incidents_open").alias("metric"), F.lit("").alias("label"), F.col("incidents_open").alias("value")),
+            opened.select("window_start", F.lit("suppressed").alias("metric"), F.lit("").alias("label"), F.col("suppressed_count").alias("value")),
+        ]
+        out = parts[0]
+        for part in parts[1:]:
+            out = out.unionByName(part)
+        return out
 
     def history(self, low: int, high: int) -> DataFrame:
         """Stored window statistics of all targets."""

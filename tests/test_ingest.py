@@ -32,6 +32,18 @@ def test_row_mapping(spark):
     assert row.attributes == {"s": "last", "b": "true", "i": "-7", "n": "8", "d": "1", "l": "", "k": "", "y": "", "e": ""}
 
 
+def test_unreadable_times_are_set_aside(spark):
+    def one(ident, start, end="1"):
+        return {"traceId": "1", "spanId": ident, "startTimeUnixNano": start, "endTimeUnixNano": end}
+
+    spans_ = [one("a", "12x"), one("b", "18446744073709551616"), one("c", "5"), one("d", None), one("e", "1", "")]
+    flat = otlp.otlp_flatten(parse(spark, request([], extra=spans_)))
+    good, bad = otlp.split_unreadable(flat)
+    assert rows(bad, "spanId") == [("a",), ("b",), ("e",)]
+    assert rows(otlp.normalize_span_row(flat), "span_id", "start_time_unix_nano")[1:] == [("c", 5), ("d", 0)]
+    assert good.count() == 3
+
+
 def test_service_name_falls_back(spark):
     df = otlp.otlp_flatten(parse(spark, request([], None), request([], "")))
     assert rows(df, "resource_service") == [("",), ("unknown_service",)]

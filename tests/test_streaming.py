@@ -51,7 +51,7 @@ def test_window_processor_equals_the_batch_plan_also_after_a_restart(spark, arri
     store, checkpoint = TableStore(spark, scratch_path(spark, "store")), scratch_path(spark, "cp")
     processor = WindowProcessor(store, **SETTINGS)
     ingest.run_to_end(processor.stream(stream(spark, path), checkpoint, available_now=True))
-    closed = (max(s[5] for s in given) - 30 * S) // (60 * S) * 60
+    closed = (max(s[9] for s in given) - 30 * S) // (60 * S) * 60
     before = store.read("service_stats").count()
     # a second start finds nothing new; redelivered spans in a new file change nothing
     spans(spark, *given[:50]).drop("window_start").coalesce(1).write.mode("append").parquet(path)
@@ -85,10 +85,68 @@ def test_ingest_keeps_every_span_once(spark, arrivals):
     ingest.run_to_end(ingest.stream_ingest(stream(spark, twice), store, checkpoint, available_now=True))
     assert store.read("spans").count() == len(given)
     assert store.versions("spans").count() == len(given) + 30
-    kept = ingest.stream_dedup(stream(spark, twice), 3600).select("trace_id", "span_id")
-    out = scratch_path(spark, "dedup")
-    ingest.run_to_end(ingest.start(kept.writeStream.format("parquet").option("path", out), scratch_path(spark, "cp"), available_now=True))
-    assert spark.read.parquet(out).count() == len(given)
+    first = TableStore(spark, scratch_path(spark, "store"))
+    ingest.run_to_end(ingest.stream_dedup(stream(spark, twice), first, scratch_path(spark, "cp"), available_now=True))
+    assert first.versions("spans").count() == len(given)
+
+
+def test_dedup_keeps_spans_of_any_age(spark):
+    """Old spans that come after newer ones, and copies of them, in later micro-batches."""
+    given = [span(f"s{i}", start=at * S, ingested=(5000 + i) * S) for i, at in enumerate((4000, 10, 3000, 20, 4999))]
+    copies = [span("s1", start=10 * S, ingested=9000 * S), span("s4", start=4999 * S, ingested=9001 * S)]
+    path = write_pieces(spark, given + copies, [0, 1, 3, 5, 7])
+    store = TableStore(spark, scratch_path(spark, "store"))
+    ingest.run_to_end(ingest.stream_dedup(stream(spark, path), store, scratch_path(spark, "cp"), available_now=True))
+    assert rows(store.versions("spans"), "span_id", "ingested_at_unix_nano") == [(s[1], s[9]) for s in given]
+
+
+def test_writers_do_not_replace_each_other(spark):
+    """Two streams on one store, and one with a new checkpoint, all beginning with batch 0."""
+    store = TableStore(spark, scratch_path(spark, "store"))
+    for i in range(3):
+        path = write_pieces(spark, [span(f"s{i}", start=i * S), span("same", start=S, ingested=(50 + i) * S)], [0, 2])
+        ingest.run_to_end(ingest.stream_ingest(stream(spark, path), store, scratch_path(spark, f"cp{i}"), available_now=True))
+    assert rows(store.read("spans"), "span_id") == [("s0",), ("s1",), ("s2",), ("same",)]
+    assert store.read("spans").filter("span_id = 'same'").first().ingested_at_unix_nano == 52 * S
+    checkpoint = scratch_path(spark, "cp")
+    assert ingest.writer_of(spark, checkpoint) == ingest.writer_of(spark, checkpoint) < ingest.writer_of(spark, scratch_path(spark, "cp"))
+
+
+def test_a_fast_clock_closes_nothing(spark, arrivals):
+    """A span stamped a day ahead, and one stamped 1970, leave the windows of the others alone."""
+    given = traffic()[:200]
+    odd = [span("ahead", start=(6000 + 86_400) * S, ingested=given[10][9] + 1), span("ancient", start=0, ingested=given[11][9] + 1)]
+    results = []
+    for more in ([], odd):
+        path = write_pieces(spark, given + more, [0, 60, 130, len(given + more)])
+        store = TableStore(spark, scratch_path(spark, "store"))
+        ingest.run_to_end(WindowProcessor(store, **SETTINGS).stream(stream(spark, path), scratch_path(spark, "cp"), available_now=True))
+        results.append(rows(store.read("service_edges"), "window_start", "caller_service", "callee_service", "call_count"))
+    assert results[0] == results[1] and len(results[0]) > 2
+    assert rows(store.read("window_counters").filter("metric = 'late_spans'"), "window_start", "value") == [(0, 1)]
+
+
+def test_silence_is_noticed_by_the_clock(spark):
+    """No span at all any more: windows close by the clock and the call-rate detector fires."""
+    given = [s for s in traffic() if s[5] < (6000 + 8 * 60) * S]
+    store = TableStore(spark, scratch_path(spark, "store"))
+    processor = WindowProcessor(store, **SETTINGS)
+    processor.advance(9_999)  # nothing known yet
+    path = write_pieces(spark, given, [0, len(given)])
+    ingest.run_to_end(processor.stream(stream(spark, path), scratch_path(spark, "cp"), available_now=True))
+    assert store.read("detections").filter("detector = 'call_rate'").count() == 0
+    end = 6000 + 8 * 60
+    processor.advance(end + 29)  # the last window is not due yet
+    before = store.read("service_stats").agg(F.max("window_start")).first()[0]
+    processor.advance(end + 3 * 60 + 30)
+    assert store.read("service_stats").agg(F.max("window_start")).first()[0] >= before
+    silent = rows(store.read("detections").filter("detector = 'call_rate'"), "window_start", "target")
+    assert {w for w, _ in silent} == {end, end + 60, end + 120} and {"frontend", "backend"} <= {t for _, t in silent}
+    counted = store.read("window_counters")
+    assert counted.filter(f"metric = 'incidents_open' AND window_start = {end + 120} AND value > 0").count() == 1
+    n = store.read("detections").count()
+    processor.advance(end + 3 * 60 + 30)
+    assert store.read("detections").count() == n
 
 
 def test_streamed_statistics_equal_batch(spark, arrivals):

@@ -86,3 +86,31 @@ def test_half_open_store_range(spark):
     assert rows(store.read("spans", 60, 180), "span_id") == [("s1",), ("s2",)]
     with pytest.raises(KeyError):
         store.write("no such table", df, 0)
+
+
+def test_a_day_of_versions_is_compacted(spark):
+    store = TableStore(spark, scratch_path(spark, "store"))
+    df = spans(spark, *[span(f"s{i}", start=MIDNIGHT * S + i * S, ingested=MIDNIGHT * S) for i in range(4)]).drop("window_start")
+    for batch in range(5):
+        for writer in ("a", "b"):
+            store.write("spans", df.withColumn("ingested_at_unix_nano", F.lit(MIDNIGHT * S + batch)), batch, writer)
+    store.write("spans", spans(spark, span("other day", start=(MIDNIGHT - 9) * S)).drop("window_start"), 0, "a")
+    before = rows(store.read("spans"), "span_id", "ingested_at_unix_nano")
+    store.compact("spans", "2024-01-02")
+    stored = store.versions("spans")
+    assert rows(store.read("spans"), "span_id", "ingested_at_unix_nano") == before and stored.count() == 5
+    assert stored.filter("day = '2024-01-02'").select(F.input_file_name()).distinct().count() <= 4
+    store.compact("spans", "2024-01-02")
+    store.compact("spans", "1999-01-01")
+    assert rows(store.read("spans"), "span_id", "ingested_at_unix_nano") == before
+    store.write("spans", df.limit(1).withColumn("ingested_at_unix_nano", F.lit(MIDNIGHT * S + 99)), 5, "a")
+    assert store.read("spans").filter(f"ingested_at_unix_nano = {MIDNIGHT * S + 99}").count() == 1
+
+
+def test_scratch_of_a_scope_is_deleted(spark):
+    from spanlake.session import exists, scratch_scope, write_scratch
+
+    with scratch_scope(spark):
+        inside = write_scratch(spark.range(3), "inside").inputFiles()[0].rsplit("/", 1)[0]
+        assert exists(spark, inside)
+    assert not exists(spark, inside)
