@@ -85,6 +85,16 @@ def test_active_incidents_compose(spark):
     assert got == [("s000", 0.2, 2.0), ("s045", 0.2, 6.0), ("s055", 0.5, 6.0), ("s099", 0.5, 3.0), ("s100", 0.5, 1.0), ("s149", 0.5, 1.0)]
 
 
+def test_many_incidents_on_one_service(spark):
+    """10,000 overlapping incidents on a service with most spans; only joins by target and cell of time."""
+    n = 10_000
+    specs = spark.range(n).selectExpr("cast(id AS string) AS id", "'error_burst' AS type", "'cart' AS target_service", "'' AS target_caller", "'' AS target_callee", "cast(id * 2 AS int) AS start_offset_s", "5 AS duration_s", "id / 10000.0D AS magnitude")
+    df = spark.range(5000).selectExpr("'t' AS trace_id", "cast(id AS string) AS span_id", "'cart' AS service_name", "1000000000L * (1000 + 4 * id) + 500000000L AS start_time_unix_nano")
+    got = {int(r.span_id): r.error_probability for r in groundtruth.active_incidents(df, specs, 1000).collect()}
+    # At second 4 i + 0.5 the latest incident that holds has the largest magnitude.
+    assert got == {i: pytest.approx(2 * i / 10_000) for i in range(5000)}
+
+
 def test_faults(spark):
     df = spans(spark, *[span(f"s{i}", "s0" if i else "", "front" if i == 0 else "cart", i, i + 5, "t") for i in range(200)])
     assert faults.fault_drop(df, 0.0).count() == 200 and faults.fault_drop(df, 1.0).count() == 0
