@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -164,11 +165,14 @@ def scan(docs: DataFrame, gap: int = GAP) -> DataFrame:
     def run(batches):
         for batch in slices(batches):
             texts = column(batch, "text")
-            low = pc.utf8_lower(texts)
+            low = pc.ascii_lower(texts)
             near = pc.match_substring(low, ANCHORS[0])
             for anchor in ANCHORS[1:]:
                 near = pc.or_(near, pc.match_substring(low, anchor))
-            rows = [matches(t, gap) if ok else [] for t, ok in zip(pc.if_else(near, texts, None).to_pylist(), near.to_pylist(), strict=True)]
+            at = np.flatnonzero(near.fill_null(False).to_numpy(zero_copy_only=False))
+            rows: list[list] = [[] for _ in range(batch.num_rows)]
+            for i, text in zip(at.tolist(), texts.take(pa.array(at)).cast(pa.binary()).to_pylist(), strict=True):
+                rows[i] = matches(text.decode(errors="replace"), gap)
             names = [list(dict.fromkeys(RULES[r][0] for r, _, _ in m)) for m in rows]
             yield pa.RecordBatch.from_arrays(
                 [
