@@ -16,7 +16,7 @@ OUTPUT = (
     "target_type string, target string, detector string, incident_id string, start_window bigint, end_window bigint, "
     "window_count bigint, peak_severity string, peak_deviation double, closed boolean"
 )
-_STATE = "start_window long, end_window long, window_count long, peak_severity string, peak_deviation double"
+_STATE = "opened long, start_window long, end_window long, window_count long, peak_severity string, peak_deviation double"
 _RANK = {"warning": 1, "critical": 2}
 
 
@@ -24,7 +24,9 @@ class OpenIncidents(StatefulProcessor):
     """One open incident per (target type, target, detector).
 
     A detection extends the open incident or, after a gap, closes it and opens
-    the next. Event time passing the end plus a window closes it, too.
+    the next. Event time passing the end plus a window closes it, too. One that
+    comes late (within the watermark) moves the start back where it joins the open
+    incident, which keeps its id, and else is a closed incident of its own.
     """
 
     def __init__(self, window_seconds: int):
@@ -35,10 +37,10 @@ class OpenIncidents(StatefulProcessor):
         self.open = handle.getValueState("open", _STATE)
 
     def _row(self, key, incident, closed: bool) -> dict:
-        start, end, count, severity, deviation = incident
+        opened, start, end, count, severity, deviation = incident
         return {
             **dict(zip(KEY, key)),
-            "incident_id": f"{':'.join(key)}:{start}",
+            "incident_id": f"{':'.join(key)}:{opened}",
             "start_window": start,
             "end_window": end,
             "window_count": count,
@@ -54,21 +56,25 @@ class OpenIncidents(StatefulProcessor):
         out = []
         for at, severity, deviation in zip(batch["window_start"], batch["severity"], batch["deviation"]):
             at, deviation = int(at), float(deviation)
-            if incident is not None and at - incident[1] > self.window_seconds:
+            alone = (at, at, at, 1, severity, deviation)
+            if incident is not None and incident[1] - at > self.window_seconds:
+                out.append(self._row(key, alone, True))
+                continue
+            if incident is not None and at - incident[2] > self.window_seconds:
                 out.append(self._row(key, incident, True))
                 incident = None
             if incident is None:
-                incident = (at, at, 1, severity, deviation)
+                incident = alone
                 continue
-            start, end, count, top, peak = incident
+            opened, start, end, count, top, peak = incident
             if (_RANK[severity], abs(deviation)) > (_RANK[top], abs(peak)):
                 top, peak = severity, deviation
-            incident = (start, max(end, at), count + 1, top, peak)
+            incident = (opened, min(start, at), max(end, at), count + 1, top, peak)
         out.append(self._row(key, incident, False))
         self.open.update(incident)
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        self.handle.registerTimer((incident[1] + self.window_seconds) * 1000)
+        self.handle.registerTimer((incident[2] + self.window_seconds) * 1000)
         yield pd.DataFrame(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:

@@ -191,3 +191,17 @@ def test_open_incidents_extend_and_close(spark):
     assert rows(got, "incident_id", "end", "n", "peak", "closed") == [
         ("service:a:x:600", 660, 2, -9.0, True), ("service:a:x:900", 900, 1, 5.0, False), ("service:b:x:600", 600, 1, 4.0, True),
     ]
+
+
+def test_late_detections_join_or_stand_alone(spark):
+    ddl = "window_start bigint, target_type string, target string, detector string, severity string, deviation double"
+    path, updates = scratch_path(spark, "detections"), scratch_path(spark, "updates")
+    for given in ([(900, "service", "a", "x", "warning", 4.0)], [(840, "service", "a", "x", "critical", 5.0)], [(660, "service", "a", "x", "warning", 6.0)]):
+        spark.createDataFrame(given, ddl).coalesce(1).write.mode("append").parquet(path)
+    source = spark.readStream.schema(ddl).option("maxFilesPerTrigger", 1).parquet(path)
+    out = stream_open_incidents(source, delay_seconds=600).writeStream.outputMode("update").foreachBatch(
+        lambda df, batch: df.write.mode("overwrite").parquet(f"{updates}/batch={batch}")
+    )
+    ingest.run_to_end(ingest.start(out, scratch_path(spark, "cp"), available_now=True))
+    last = spark.read.parquet(updates).groupBy("incident_id").agg(F.max_by(F.struct("start_window", "end_window", "window_count", "closed"), "window_count").alias("r"))
+    assert rows(last, "incident_id", "r.*") == [("service:a:x:660", 660, 660, 1, True), ("service:a:x:900", 840, 900, 2, False)]
