@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanlake.llm import chunks, divergence, langid, licenses, mixing, repair, sampling, simhash, toxicity, warc
+from spanlake.llm import chunks, divergence, langid, licenses, mixing, oracle, repair, sampling, simhash, toxicity, warc
 from spanlake.llm.tables import documents, table
 from spanlake.session import scratch_path
 
@@ -15,7 +15,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op1_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return divergence.score(documents(spark, sf_dir))
+    out = divergence.score(documents(spark, sf_dir))
+    return out.withColumns({c: F.round(c, 6) for c in ("class_distance", "word_distance")})
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,43 +66,15 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
-OP3_SQL = """
-WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
-f AS (SELECT html, max(page_id) AS first_id FROM p WHERE strlen(html) >= 1000 GROUP BY html)
-SELECT p.page_id, CAST(strlen(p.html) AS BIGINT) AS payload_bytes, sha1(p.html) AS payload_digest,
- CASE WHEN f.first_id IS NULL OR f.first_id = p.page_id THEN 'response' ELSE 'revisit' END AS record_type,
- CASE WHEN f.first_id IS NULL OR f.first_id = p.page_id THEN NULL ELSE f.first_id END AS refers_to
-FROM p LEFT JOIN f ON p.html = f.html
-"""
-
-# Sources that are filled to their limit have the lowest levels (limit * size / weight); the water
-# line is where the rest of the budget meets the weights of the others.
-OP10_SQL = r"""
-WITH m AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-  0.05 + 0.95 * pow(1 - (strlen(coalesce(text, '')) - strlen(regexp_replace(coalesce(text, ''), '[#*$%&|<>!{}\[\]\\^~_=+@]', '', 'g')))
-   / greatest(strlen(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')), 1)::DOUBLE, 2) AS weight,
-  (('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, 'null')), 1, 12))::BIGINT + 0.5) / 281474976710656.0 AS u FROM documents),
-s AS (SELECT source, sum(size)::BIGINT AS source_size, list_extract([5.0, 2.0, 1.0], ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INTEGER)::DOUBLE AS w FROM m GROUP BY source),
-l AS (SELECT *, 2 * source_size / w AS level, (1.5 * sum(source_size) OVER ())::DOUBLE AS total,
-  (sum(2 * source_size) OVER (ORDER BY 2 * source_size / w RANGE UNBOUNDED PRECEDING EXCLUDE GROUP))::DOUBLE AS filled,
-  sum(w) OVER (ORDER BY 2 * source_size / w RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_w FROM s),
-line AS (SELECT coalesce(arg_min((total - coalesce(filled, 0)) / open_w, level) FILTER ((total - coalesce(filled, 0)) / open_w <= level), max(level)) AS t FROM l),
-g AS (SELECT source, source_size, least(2.0 * source_size, (SELECT t FROM line) * w) AS target FROM l),
-r AS (SELECT m.*, g.source_size, g.target, CASE WHEN g.source_size > 0 THEN floor(g.target / g.source_size) ELSE 0 END AS epochs,
-  sum(size) OVER (PARTITION BY m.source ORDER BY -ln(u) / weight, doc_id) - size AS ahead FROM m JOIN g ON m.source IS NOT DISTINCT FROM g.source)
-SELECT doc_id, source, size, source_size, target,
- (size * (epochs + CASE WHEN target > epochs * source_size AND target - epochs * source_size - ahead >= size / 2.0 THEN 1 ELSE 0 END))::BIGINT AS taken FROM r
-"""
-
 QUERIES: dict[str, tuple[Query, str | None]] = {
-    "op1_divergence": (op1_divergence, None),
+    "op1_divergence": (op1_divergence, oracle.OP1),
     "op2_toxicity": (op2_toxicity, None),
-    "op3_warc": (op3_warc, OP3_SQL),
+    "op3_warc": (op3_warc, oracle.OP3),
     "op4_sampling": (op4_sampling, None),
     "op5_simhash": (op5_simhash, None),
     "op6_licenses": (op6_licenses, None),
     "op7_langid": (op7_langid, None),
     "op8_repair": (op8_repair, None),
     "op9_chunks": (op9_chunks, None),
-    "op10_mixing": (op10_mixing, OP10_SQL),
+    "op10_mixing": (op10_mixing, oracle.OP10),
 }
