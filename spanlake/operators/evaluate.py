@@ -398,8 +398,9 @@ def evaluate(
 ) -> DataFrame:
     """One wide row per run.
 
-    ``gt`` holds spans, edges and incidents; ``tables`` holds spans,
-    classifications, edges, incidents and detections.
+    ``gt`` holds spans, edges, incidents and offsets; ``tables`` holds spans,
+    classifications, edges, incidents, detections and offsets. The incidents one by
+    one are :func:`incident_details`.
     """
     ranges = eval_run_range(gt["spans"])
     windows = run_windows(ranges, window_seconds)
@@ -417,6 +418,7 @@ def evaluate(
         eval_incident_prf(ranges, matched, true, found, window_seconds),
         eval_root_cause(true, found, window_seconds),
         eval_healthy_rate(ranges, true, tables["detections"], windows),
+        clock_error_summary(eval_clock_error(gt["offsets"], tables["offsets"], windows)),
     ]
     out = sizes
     for part in parts:
@@ -432,10 +434,21 @@ def evaluate(
         "orphan_correct",
         "root_cause_total",
         "root_cause_correct",
+        "clock_offset_count",
     ]
     return out.fillna(0, zeros)
 
 
+def clock_error_summary(errors: DataFrame) -> DataFrame:
+    """Per run: services with a true and a detected offset, mean and largest error either way."""
+    size = F.abs("error_ns")
+    return errors.groupBy("run_id").agg(
+        F.count("*").alias("clock_offset_count"),
+        F.avg(size).alias("clock_offset_mean_error_ns"),
+        F.max(size).alias("clock_offset_max_error_ns"),
+    )
+
+
 def sweep_summary(points: DataFrame) -> DataFrame:
     """Sums over evaluation points per incident type, then the ratios of the sums."""
     sums = points.groupBy("type").agg(

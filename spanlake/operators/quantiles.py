@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanlake.functions.columns import log_bucket
-from spanlake.session import checkpoint
+from spanlake.session import checkpoint, write_scratch
 
 BITS = 5  # 32 buckets per octave: about 3 % wide
 
@@ -118,8 +118,12 @@ def median_mad_over_ranges(
     # The selective integers lead: sorts then rarely compare the other keys.
     source = ["k_lo", "k_hi", *keys]
     group = ["as_of_index", *keys]
-    rows = df.filter("k_lo <= k_hi").select(
-        *source, F.col(value).alias("_v"), log_bucket(F.col(value), BITS).alias("_b"), *sums
+    # Read three times: the histogram, and twice for the values of wanted buckets.
+    rows = write_scratch(
+        df.filter("k_lo <= k_hi").select(
+            *source, F.col(value).alias("_v"), log_bucket(F.col(value), BITS).alias("_b"), *sums
+        ),
+        "coded",
     )
     parts = checkpoint(
         rows.groupBy(*source, "_b").agg(

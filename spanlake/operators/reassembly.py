@@ -113,7 +113,8 @@ def _double(nodes: DataFrame) -> DataFrame:
     """Distance to, and id of, the seed of every internal span that has one.
 
     ``ptr`` jumps 2**i links up; a span is done when its pointer has met a
-    seed. A round that finishes no span proves the rest hang off cycles.
+    seed. A round that finishes no span proves the rest hang off cycles. Only
+    spans still open are joined and written again; what is done stays as it is.
     """
     linked = F.col("kind") == "linked"
     state = checkpoint(
@@ -126,11 +127,10 @@ def _double(nodes: DataFrame) -> DataFrame:
             F.when(~linked, F.col("kind")).alias("seed_kind"),
         )
     )
-    # Every round's union adds partitions; cap them (a plain merge, no shuffle).
-    most = 4 * state.rdd.getNumPartitions()
-    open_before = state.filter("seed IS NULL").count()
+    done, pending = state.filter("seed IS NOT NULL"), state.filter("seed IS NULL")
+    open_before = pending.count()
     while open_before:
-        target = state.select(
+        target = done.unionByName(pending).select(
             *SCOPE,
             F.col("span_id").alias("ptr"),
             F.col("ptr").alias("_ptr"),
@@ -138,10 +138,8 @@ def _double(nodes: DataFrame) -> DataFrame:
             F.col("seed").alias("_seed"),
             F.col("seed_kind").alias("_kind"),
         )
-        moved = (
-            state.filter("seed IS NULL")
-            .join(target, [*SCOPE, "ptr"], "left")
-            .select(
+        moved = checkpoint(
+            pending.join(target, [*SCOPE, "ptr"], "left").select(
                 *SCOPE,
                 "span_id",
                 F.col("_ptr").alias("ptr"),
@@ -150,12 +148,12 @@ def _double(nodes: DataFrame) -> DataFrame:
                 F.col("_kind").alias("seed_kind"),
             )
         )
-        state = checkpoint(state.filter("seed IS NOT NULL").unionByName(moved).coalesce(most))
-        open_now = state.filter("seed IS NULL").count()
+        done, pending = done.unionByName(moved.filter("seed IS NOT NULL")), moved.filter("seed IS NULL")
+        open_now = pending.count()
         if open_now == open_before:
             break
         open_before = open_now
-    return state.filter("seed IS NOT NULL").select(*SCOPE, "span_id", "seed", "seed_kind", "dist")
+    return done.select(*SCOPE, "span_id", "seed", "seed_kind", "dist")
 
 
 def span_seeds(spans: DataFrame, links: DataFrame | None = None) -> DataFrame:

@@ -1170,13 +1170,13 @@ def _(a, spark, sf):
     return evaluate.eval_attachment(gt, evaluate.eval_landed(gt, a.spans), evaluate.eval_classifications(gt, a.classifications))
 
 
-@query(
-    "eval_clock_error",
-    """SELECT g.run_id, g.service_name, g.offset_ns AS true_ns, d.offset_ns AS detected_ns, d.offset_ns - g.offset_ns AS error_ns
+_CLOCK_ERROR_SQL = """SELECT g.run_id, g.service_name, g.offset_ns AS true_ns, d.offset_ns AS detected_ns, d.offset_ns - g.offset_ns AS error_ns
 FROM gt_offsets g JOIN (SELECT *, row_number() OVER (PARTITION BY run_id, service_name ORDER BY confidence DESC, window_start DESC) AS rn
  FROM (SELECT r.run_id, o.* FROM offsets o JOIN ranges r ON o.window_start * 1000000000 BETWEEN r.from_ns AND r.to_ns)) d
-ON d.run_id = g.run_id AND d.service_name = g.service_name AND d.rn = 1""",
-)
+ON d.run_id = g.run_id AND d.service_name = g.service_name AND d.rn = 1"""
+
+
+@query("eval_clock_error", _CLOCK_ERROR_SQL)
 def _(a, spark, sf):
     gt = _ground_truth(spark, sf)
     return evaluate.eval_clock_error(gt["offsets"], a.offsets, _windows_of_runs(gt))
@@ -1273,8 +1273,10 @@ def _(a, spark, sf):
  true_edge_count, found_edge_count, edge_true_positive_count, {_PRF_SQL}, {_ATTACH_SQL},
  true_incident_count, found_incident_count, true_positive_count, {_IPRF_SQL}, coalesce(root_cause_total, 0) AS root_cause_total,
  coalesce(root_cause_correct, 0) AS root_cause_correct, round(root_cause_correct / root_cause_total::DOUBLE, 6) AS root_cause_accuracy,
- total_detection_count, round(healthy_control_detections_per_hour, 6) AS healthy_control_detections_per_hour
-FROM ranges r LEFT JOIN edges_prf USING (run_id) LEFT JOIN attachment USING (run_id) LEFT JOIN incident_prf USING (run_id)
+ total_detection_count, round(healthy_control_detections_per_hour, 6) AS healthy_control_detections_per_hour,
+ coalesce(clock_offset_count, 0) AS clock_offset_count, round(clock_offset_mean_error_ns, 6) AS clock_offset_mean_error_ns, clock_offset_max_error_ns
+FROM ranges r LEFT JOIN (SELECT run_id, count(*) AS clock_offset_count, avg(abs(error_ns)) AS clock_offset_mean_error_ns, max(abs(error_ns)) AS clock_offset_max_error_ns
+ FROM ({_CLOCK_ERROR_SQL}) GROUP BY run_id) USING (run_id) LEFT JOIN edges_prf USING (run_id) LEFT JOIN attachment USING (run_id) LEFT JOIN incident_prf USING (run_id)
 LEFT JOIN root_cause USING (run_id) LEFT JOIN healthy USING (run_id)""",
 )
 def _(a, spark, sf):
@@ -1284,6 +1286,7 @@ def _(a, spark, sf):
         "edges": a.service_edges,
         "incidents": a.incidents,
         "detections": a.detections,
+        "offsets": a.offsets,
     }
     return evaluate.evaluate(_ground_truth(spark, sf), tables)
 
