@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanlake.llm.arrays import LOWER, Words, column, flat, slices
-from spanlake.llm.tables import components, mapped, write_scratch
+from spanlake.llm.tables import components, is_small, mapped, write_scratch
 
 SHINGLE, SEED, CELL = 3, 42, 64
 ODD_BITS = 0x5555555555555555
@@ -134,7 +134,14 @@ def classes(docs: DataFrame, cell_limit: int = CELL) -> DataFrame:
 def representatives(docs: DataFrame, cell_limit: int = CELL) -> DataFrame:
     """One document of each class, the one with the smallest id, with all its columns.
 
-    Of rows that share that id one stays.
+    Documents are known by doc_id here: of rows that share one, one stays. Texts only
+    move if ids are shared, or if the ids to drop are too many to broadcast.
     """
-    kept = classes(docs, cell_limit).where("doc_id <=> component_id").select(F.col("doc_id").alias("class_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("class_id")), "left_semi").dropDuplicates(["doc_id"])
+    found = write_scratch(classes(docs, cell_limit).select("doc_id", "component_id"), "classes")
+    kept = found.where("doc_id <=> component_id").select(F.col("doc_id").alias("class_id"))
+    gone = found.join(kept, found["doc_id"].eqNullSafe(kept["class_id"]), "left_anti").select(F.col("doc_id").alias("gone_id")).distinct()
+    gone = write_scratch(gone, "near-copies")
+    gone = F.broadcast(gone) if is_small(gone) else gone
+    left = docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]), "left_anti")
+    shared = found.groupBy("doc_id").count().where("count > 1").limit(1).count()
+    return left.dropDuplicates(["doc_id"]) if shared else left
