@@ -30,9 +30,9 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = sampling.decode(sampling.sample(documents(spark, sf_dir)))
-    return rows.select(
-        "doc_id", "sample", "n_pieces", F.crc32("ids").alias("ids_crc32"), "log_prob", "inclusion",
+    rows = sampling.sample(documents(spark, sf_dir)).withColumn("ids_crc32", F.crc32("ids"))
+    return sampling.decode(rows, text=False).select(
+        "doc_id", "sample", "n_pieces", "ids_crc32", "log_prob", "inclusion",
         (F.col("decoded_crc32") == F.col("text_crc32")).alias("round_trip"),
     )
 

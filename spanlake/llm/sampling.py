@@ -89,7 +89,7 @@ class Vocabulary:
         for i in normal:
             b = np.frombuffer(self.text[i], np.uint8).astype(np.int64)
             self.pairs[b[:-1] << 8 | b[1:]] = True
-        # Per length in bytes: sorted hashes, ids, logs, and which hash heads occur.
+        # Per length in bytes: sorted hashes with an end mark, ids, logs, places of hash heads.
         self.by_length: dict[int, tuple[np.ndarray, ...]] = {}
         for length in sorted({len(self.text[i]) for i in normal}):
             at = [k for k, i in enumerate(normal) if len(self.text[i]) == length]
@@ -97,10 +97,13 @@ class Vocabulary:
             h = np.zeros(len(at), np.uint64)
             for c in range(length):
                 h = _roll(h, block[:, c])
+            h = _spread(h)
             order = np.argsort(h)
-            heads = np.zeros(1 << 18, bool)
-            heads[h >> np.uint64(46)] = True
-            self.by_length[length] = h[order], np.array(normal)[at][order], logs[at][order], heads
+            # Where hashes with the same first 18 bits begin; the array's end where there are none.
+            h = h[order]
+            heads = np.full(1 << 18, len(h), np.int32)
+            heads[(h >> np.uint64(46))[::-1]] = np.arange(len(h), dtype=np.int32)[::-1]
+            self.by_length[length] = np.append(h, np.uint64(2**64 - 1)), np.array(normal)[at][order], logs[at][order], heads
         sizes = np.array([len(t) for t in self.text])
         self.starts = np.concatenate([[0], np.cumsum(sizes)])
         self.bytes = np.frombuffer(b"".join(self.text), np.uint8)
@@ -111,6 +114,12 @@ def _roll(h: np.ndarray, byte: np.ndarray) -> np.ndarray:
         return h * np.uint64(0x100000001B3) + byte.astype(np.uint64) + np.uint64(0x9E37)
 
 
+def _spread(h: np.ndarray) -> np.ndarray:
+    """One to one, with first bits that depend on all."""
+    with np.errstate(over="ignore"):
+        return h * np.uint64(0x9E3779B97F4A7C15)
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -126,6 +135,14 @@ def _uniform(key: np.ndarray, *parts) -> np.ndarray:
     return ((key >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
+def _stable(values: np.ndarray) -> np.ndarray:
+    """Stable order of numbers under 2^32, by 16 bits at a time (which numpy sorts in linear time)."""
+    order = np.argsort((values & 0xFFFF).astype(np.uint16), kind="stable")
+    if len(values) and values.max() >> 16:
+        order = order[np.argsort((values >> 16)[order].astype(np.uint16), kind="stable")]
+    return order
+
+
 class Lattice:
     """The edges of distinct units and, at each place, the chance of each edge.
 
@@ -152,9 +169,15 @@ class Lattice:
             if length not in vocabulary.by_length:
                 continue
             hashes, ids, logs, heads = vocabulary.by_length[length]
-            ok = np.flatnonzero(heads[h >> np.uint64(46)] & begins[:live] & (left[:live] >= length))
-            place = np.minimum(np.searchsorted(hashes, h[ok]), len(hashes) - 1)
-            hit = hashes[place] == h[ok]
+            g = _spread(h)
+            place = heads[g >> np.uint64(46)]
+            ok = np.flatnonzero((place < len(ids)) & begins[:live] & (left[:live] >= length))
+            place, wanted = place[ok], g[ok]
+            more = np.flatnonzero(hashes[place] < wanted)
+            while len(more):  # a few share a head
+                place[more] += 1
+                more = more[hashes[place[more]] < wanted[more]]
+            hit = (hashes[place] == wanted) & (place < len(ids))
             ok, place = ok[hit], place[hit]
             whole = begins[np.minimum(ok + length, n - 1)] | (ok + length >= n)
             ok, place = ok[whole], place[whole]
@@ -170,10 +193,10 @@ class Lattice:
         log.append(width[bare] * vocabulary.byte_log)
         # At each place the longest piece first, most often the likeliest: a draw rarely looks further.
         src, size, piece, log = (np.concatenate(x[::-1]) for x in (src, size, piece, log))
-        order = np.argsort(src, kind="stable")
+        order = _stable(src)
         self.src, self.size, self.piece, self.log = src[order], size[order].astype(np.int32), piece[order].astype(np.int32), log[order]
         self.dst = self.src + self.size
-        self.first = np.searchsorted(self.src, np.arange(n + 1))
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(self.src, minlength=n))])
         self._chances(n, left)
         self.raw, self.end = raw, end
 
@@ -181,7 +204,7 @@ class Lattice:
         """Backward sums, from the units' ends on; then each edge's chance at its place."""
         beta = np.zeros(n + 1)
         remaining = left[self.src]
-        order = np.argsort(remaining, kind="stable")
+        order = _stable(remaining)
         cut = np.searchsorted(remaining[order], np.arange(1, int(remaining.max(initial=0)) + 2))
         at_end = self.size == remaining
         for lo, hi in zip(cut[:-1], cut[1:], strict=True):
@@ -430,22 +453,30 @@ def decoded(ids: pa.Array, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarr
     return vocabulary.bytes[source], first[offsets // 2]
 
 
-def decode(rows: DataFrame, path: str | None = None) -> DataFrame:
-    """Adds the text of each row's ids and the checksum over it with its leading space."""
+def decode(rows: DataFrame, path: str | None = None, text: bool = True) -> DataFrame:
+    """Adds the text of each row's ids and the checksum over it with its leading space.
+
+    Without ``text`` only the checksum, in place of the ids: to compare with ``text_crc32``.
+    """
     from pyspark.sql.types import LongType, StringType
 
     path = path or model_path()
-    schema = rows.select(*[c for c in rows.columns if c not in ("text", "decoded_crc32")]).schema.add("text", StringType()).add("decoded_crc32", LongType())
+    gone = {"text", "decoded_crc32"} if text else {"text", "decoded_crc32", "ids"}
+    names = [c for c in rows.columns if c not in gone]
+    schema = rows.select(*names).schema.add("decoded_crc32", LongType())
+    if text:
+        schema = schema.add("text", StringType())
 
     def run(batches):
         vocabulary = Vocabulary.load(path)
         for batch in slices(batches, "ids", TEXT_SLICE):
             data, at = decoded(column(batch, "ids"), vocabulary)
             view = memoryview(data)
-            parts = [bytes(view[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-            columns = {n: column(batch, n) for n in schema.names[:-2]}
-            columns["text"] = pa.array([p[1:].decode(errors="replace") for p in parts], pa.string())
-            columns["decoded_crc32"] = pa.array([zlib.crc32(p) for p in parts], pa.int64())
+            bounds = list(zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
+            columns = {n: column(batch, n) for n in names}
+            columns["decoded_crc32"] = pa.array([zlib.crc32(view[a:b]) for a, b in bounds], pa.int64())
+            if text:
+                columns["text"] = pa.array([bytes(view[a + 1 : b]).decode(errors="replace") for a, b in bounds], pa.string())
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     return mapped(rows, run, schema)
