@@ -32,10 +32,12 @@ from pyspark.sql import functions as F
 from spanlake.llm.arrays import Words, column, flat, slices
 from spanlake.llm.tables import is_small, mapped, write_scratch
 
-END_ID, SHARD, LEAST, ROUNDS, RULES = 2, 1 << 21, 64, 6, 8192
+END_ID, SHARD, LEAST, ROUNDS, RULES = 2, 1 << 20, 64, 6, 8192
 MAGIC = b"RPR1"
 #: Distinct words whose ids a Python worker remembers.
-REMEMBERED = 800_000
+REMEMBERED = 600_000
+#: Bytes of text that are encoded at once.
+TEXT_SLICE = 2 << 20
 SCHEMA = "part int, nth int, doc_ids array<long>, n_tokens long, shard binary"
 
 
@@ -248,7 +250,7 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, shard: int =
                 names=["part", "nth", "doc_ids", "n_tokens", "shard"],
             )
 
-        for batch in slices(batches):
+        for batch in slices(batches, limit=TEXT_SLICE):
             ids, at = encoder.encode(column(batch, "text"))
             n = np.diff(at)
             ended = np.insert(ids, at[1:], END_ID)
