@@ -9,7 +9,9 @@ words of a language are its most frequent words of up to ``WORD_CHARS`` code poi
 counted exactly before the shuffle).
 
 A document fails if it is too far from every reference in either histogram. Below
-the minimum lengths a histogram says nothing and is not looked at.
+the minimum lengths a histogram says nothing and is not looked at. A document with fewer
+common words than a reference is too far from ``LACK`` of the distance that a text
+without any common word has from it, since none can be further off on that side.
 
 Defined results: null and empty texts have no words and fail the base rules; a null
 language tag is the tag ``und``; an empty table gives no rows; without any
@@ -31,6 +33,9 @@ from spanlake.llm.tables import mapped, write_scratch
 WORD_CHARS, COMMON, WINDOW = 5, 64, 5
 #: Least length for each histogram, and the largest distance that passes.
 MIN_CHARS, MIN_WORDS, MAX_CLASS, MAX_WORD = 200, 60, 0.19, 0.52
+#: Largest distance of a document short of common words, as a share of that of a text without any; only for
+#: references whose common words are LEAST_COMMON of all: of MIN_WORDS words a dozen are to be expected then.
+LACK, LEAST_COMMON = 0.96, 0.2
 #: Rounds of references: each later one is counted over the documents that the one before lets pass.
 ROUNDS = 2
 #: A common word has at least this share of its language's words: at most 1 / COMMON_SHARE are sorted.
@@ -230,6 +235,7 @@ def _verdicts(texts: Texts, refs: dict) -> dict[str, np.ndarray]:
     shares = texts.classes / np.maximum(chars, 1)[:, None]
     codes, short = texts.short_words()
     of_class, of_word = np.zeros((rows, len(names))), np.zeros((rows, len(names)))
+    most = np.full((rows, len(names)), MAX_WORD)
     for k, name in enumerate(names):
         kinds, common, share = refs[name]
         of_class[:, k] = distance(shares, kinds)
@@ -237,11 +243,15 @@ def _verdicts(texts: Texts, refs: dict) -> dict[str, np.ndarray]:
         where = np.append(found.to_numpy(zero_copy_only=False).astype(np.int64), len(common))
         key = texts.words.row * (len(common) + 1) + where[codes]
         n = np.bincount(key, minlength=rows * (len(common) + 1)).reshape(rows, -1)
-        of_word[:, k] = distance(n / np.maximum(texts.n_words, 1)[:, None], share)
+        n = n / np.maximum(texts.n_words, 1)[:, None]
+        of_word[:, k] = distance(n, share)
+        if 1 - share[-1] >= LEAST_COMMON:
+            none = distance(np.eye(len(share))[-1:], share)[0]
+            most[n[:, -1] > share[-1], k] = min(MAX_WORD, LACK * none)
     long_chars, long_words = chars >= MIN_CHARS, texts.n_words >= MIN_WORDS
     far = np.zeros(rows, bool)
     if names:
-        far = ~(((of_class <= MAX_CLASS) | ~long_chars[:, None]) & ((of_word <= MAX_WORD) | ~long_words[:, None])).any(axis=1)
+        far = ~(((of_class <= MAX_CLASS) | ~long_chars[:, None]) & ((of_word <= most) | ~long_words[:, None])).any(axis=1)
     best = np.argmin(of_class + of_word, axis=1) if names else np.zeros(rows, int)
     at = np.arange(rows)
     return {

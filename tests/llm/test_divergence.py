@@ -66,6 +66,20 @@ def test_verdicts_and_references(corpus):
     assert got[401].base_failed and got[402].base_failed and got[400].base_failed
 
 
+def test_text_without_common_words_fails():
+    """Two texts with the same counts of letters and blanks: only one of them has the language's common words."""
+    rng = np.random.default_rng(5)
+    common = ["the", "of", "and", "to", "in"]
+    prose = rng.choice([*common, *(f"longer{chr(97 + i)}" for i in range(20))], 300, p=[0.066] * 5 + [0.67 / 20] * 20).tolist()
+    salad = [{"the": "xqv", "of": "zk", "and": "vwx", "to": "qj", "in": "kz"}.get(w, w) for w in prose]
+    kinds = D.Texts(pa.array([" ".join(prose)])).classes[0]
+    refs = {"en": (kinds / kinds.sum(), [w.encode() for w in common], np.array([0.066] * 5 + [0.67]))}
+    found = D.judged(pa.array([" ".join(t) for t in (prose, salad, salad[:50])]), refs)
+    assert found["class_distance"][:2].max() < 1e-6 and found["word_distance"].max() < D.MAX_WORD
+    assert not found["base_failed"].any()
+    assert found["kept"].tolist() == [True, False, True]  # the last has too few words to tell
+
+
 def test_keep_has_all_columns_and_whole_rows(corpus):
     kept = D.keep(corpus)
     assert kept.schema == corpus.schema
