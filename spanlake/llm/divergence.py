@@ -13,6 +13,11 @@ the minimum lengths a histogram says nothing and is not looked at. A document wi
 common words than a reference is too far from ``LACK`` of the distance that a text
 without any common word has from it, since none can be further off on that side.
 
+Long numbers and tokens: ``keep`` also measures the character classes without the words
+that hold a digit, if these are ``NUMBERS`` of all words at most, and takes the nearer of
+both, so that prose is not dropped for a phone number or a key. ``score`` reports the plain
+distance and verdict, which are those of the query's SQL.
+
 Defined results: null and empty texts have no words and fail the base rules; a null
 language tag is the tag ``und``; an empty table gives no rows; without any
 reference only the base rules count; repeated rows are judged alike.
@@ -36,6 +41,8 @@ MIN_CHARS, MIN_WORDS, MAX_CLASS, MAX_WORD = 200, 60, 0.19, 0.52
 #: Largest distance of a document short of common words, as a share of that of a text without any; only for
 #: references whose common words are LEAST_COMMON of all: of MIN_WORDS words a dozen are to be expected then.
 LACK, LEAST_COMMON = 0.96, 0.2
+#: Largest share of words with a digit that ``keep`` may leave out.
+NUMBERS = 1 / 6
 #: Rounds of references: each later one is counted over the documents that the one before lets pass.
 ROUNDS = 2
 #: A common word has at least this share of its language's words: at most 1 / COMMON_SHARE are sorted.
@@ -72,6 +79,7 @@ class Texts:
         row = np.repeat(np.arange(words.rows, dtype=np.int32) * 8, np.diff(offsets))
         kinds = row[begins] + CLASS[raw[begins]]
         self.classes = np.bincount(kinds, minlength=words.rows * 8).reshape(-1, 8)
+        self.raw, self.begins, self.kinds = raw, begins, kinds
         if base:
             self.word_chars = self.classes.sum(axis=1) - self.classes[:, 3]
             self.n_symbols = sums(SYMBOL[raw], offsets)
@@ -79,6 +87,20 @@ class Texts:
             self.n_repeat_words = self._repeats()
             self.base_failed |= 100 * self.n_repeat_words > 20 * self.n_words
 
+    def plain_classes(self):
+        """Character classes without words that hold a digit; as they are where these are over NUMBERS of the words."""
+        words = self.words
+        digits = np.concatenate([[0], np.cumsum(CLASS[self.raw] == 2)])
+        held = np.flatnonzero(digits[words.end] > digits[words.start])
+        few = np.bincount(words.row[held], minlength=words.rows) <= NUMBERS * self.n_words
+        held = held[few[words.row[held]]]
+        edge = np.zeros(len(self.raw) + 1, np.int8)
+        edge[words.start[held]] = 1
+        edge[words.end[held]] -= 1
+        inside = np.cumsum(edge[:-1], dtype=np.int8).astype(bool)
+        left_out = np.bincount(self.kinds[inside[self.begins]], minlength=words.rows * 8).reshape(-1, 8)
+        return self.classes - left_out
+
     @staticmethod
     def _dup_lines(raw, offsets):
         """Lines with a word that repeat an earlier line of their row."""
@@ -223,22 +245,29 @@ def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.sqrt(np.clip((left + right) / 2, 0, 1))
 
 
-def judged(values: pa.Array, refs: dict) -> dict[str, np.ndarray]:
-    """All result columns of each text."""
-    return _verdicts(Texts(values), refs)
+def judged(values: pa.Array, refs: dict, plain: bool = False) -> dict[str, np.ndarray]:
+    """All result columns of each text; ``plain`` for a verdict that leaves out words with digits, too."""
+    return _verdicts(Texts(values), refs, plain)
 
 
-def _verdicts(texts: Texts, refs: dict) -> dict[str, np.ndarray]:
+def _verdicts(texts: Texts, refs: dict, plain: bool = False) -> dict[str, np.ndarray]:
     rows = texts.words.rows
     names = sorted(refs)
     chars = texts.classes.sum(axis=1)
     shares = texts.classes / np.maximum(chars, 1)[:, None]
+    near = np.zeros((rows, len(names)), bool)
+    if plain:
+        without = texts.plain_classes()
+        without = without / np.maximum(without.sum(axis=1), 1)[:, None]
     codes, short = texts.short_words()
     of_class, of_word = np.zeros((rows, len(names))), np.zeros((rows, len(names)))
     most = np.full((rows, len(names)), MAX_WORD)
     for k, name in enumerate(names):
         kinds, common, share = refs[name]
         of_class[:, k] = distance(shares, kinds)
+        near[:, k] = of_class[:, k] <= MAX_CLASS
+        if plain:
+            near[:, k] |= distance(without, kinds) <= MAX_CLASS
         found = pc.index_in(short, pa.array(common, pa.large_binary())).fill_null(len(common))
         where = np.append(found.to_numpy(zero_copy_only=False).astype(np.int64), len(common))
         key = texts.words.row * (len(common) + 1) + where[codes]
@@ -251,7 +280,7 @@ def _verdicts(texts: Texts, refs: dict) -> dict[str, np.ndarray]:
     long_chars, long_words = chars >= MIN_CHARS, texts.n_words >= MIN_WORDS
     far = np.zeros(rows, bool)
     if names:
-        far = ~(((of_class <= MAX_CLASS) | ~long_chars[:, None]) & ((of_word <= most) | ~long_words[:, None])).any(axis=1)
+        far = ~((near | ~long_chars[:, None]) & ((of_word <= most) | ~long_words[:, None])).any(axis=1)
     best = np.argmin(of_class + of_word, axis=1) if names else np.zeros(rows, int)
     at = np.arange(rows)
     return {
@@ -293,6 +322,6 @@ def keep(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in slices(batches):
-            yield batch.filter(pa.array(judged(column(batch, "text"), refs)["kept"]))
+            yield batch.filter(pa.array(judged(column(batch, "text"), refs, plain=True)["kept"]))
 
     return mapped(docs, run, docs.schema)

@@ -86,6 +86,20 @@ def test_keep_has_all_columns_and_whole_rows(corpus):
     assert sorted(r.doc_id for r in kept.collect()) == sorted([0, *range(120)])
 
 
+def test_keep_leaves_out_single_numbers_and_tokens(spark):
+    rng = np.random.default_rng(3)
+    vocabulary = ["the", "of", "and", "to", "in", *(f"longer{chr(97 + i)}" for i in range(20))]
+    draw = lambda n: rng.choice(vocabulary, n, p=[0.066] * 5 + [0.67 / 20] * 20).tolist()
+    token = "0b96a8c8d79c4a5085c919698889f59b72ab7bb6"
+    short = draw(40)
+    texts = [" ".join(draw(150)) for _ in range(100)]
+    texts += [" ".join([*short[:20], *more, *short[20:]]) for more in ([token], [token, "1232810148878564", "+1", "(826)", "555-4081"])]
+    texts += [" ".join(w for x in short for w in (x, f"{rng.integers(10**9, 10**10)}")), " | ".join(short) + " | $ % & # " * 10 + token]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    assert [d.kept for d in D.score(docs).collect() if d.doc_id >= 100] == [False] * 4
+    assert {d.doc_id for d in D.keep(docs).collect()} == set(range(102))
+
+
 def test_empty_and_untagged_tables(spark, corpus):
     assert D.score(corpus.limit(0)).count() == 0 and D.keep(corpus.limit(0)).count() == 0
     only = spark.createDataFrame([(1, "too short", None, "s")], corpus.schema)
