@@ -19,8 +19,8 @@ both, so that prose is not dropped for a phone number or a key. ``score`` report
 distance and verdict, which are those of the query's SQL.
 
 Defined results: null and empty texts have no words and fail the base rules; a null
-language tag is the tag ``und``; an empty table gives no rows; without any
-reference only the base rules count; repeated rows are judged alike.
+language tag is the tag ``und``; an empty table gives no rows; for documents of a
+tag without a reference only the base rules count; repeated rows are judged alike.
 """
 
 from __future__ import annotations
@@ -47,8 +47,8 @@ NUMBERS = 1 / 6
 ROUNDS = 2
 #: A common word has at least this share of its language's words: at most 1 / COMMON_SHARE are sorted.
 COMMON_SHARE = 0.0002
-#: A language tag is a reference if it has this share of all words: at most 1 / SHARE references.
-SHARE = 0.01
+#: A language tag is a reference if it has this share of all words, or this number of them.
+SHARE, TAG_WORDS = 0.01, 5_000
 
 CLASSES = ("lower", "upper", "digit", "white", "sentence", "symbol", "other", "beyond")
 CLASS = np.full(256, 6, np.uint8)
@@ -163,12 +163,16 @@ class Texts:
         return again[self.codes], names
 
 
+def _tags(batch) -> pa.Array:
+    return column(batch, "lang").cast(pa.large_string()).fill_null("und")
+
+
 def _counts(batches, refs: dict):
     """Per slice and language: character classes and short words of documents that pass the rules so far."""
     for batch in slices(batches):
         texts = Texts(column(batch, "text"), base=False)
-        langs, names = coded(column(batch, "lang").cast(pa.large_string()).fill_null("und").cast(pa.large_binary()))
-        good = _verdicts(texts, refs)["kept"]
+        langs, names = coded(_tags(batch).cast(pa.large_binary()))
+        good = _verdicts(texts, refs, tags=_tags(batch))["kept"]
         out = []
         codes, short = texts.short_words()
         of_word = langs[texts.words.row] if len(langs) else langs
@@ -196,7 +200,8 @@ def _counts(batches, refs: dict):
 def references(docs: DataFrame) -> dict[str, tuple[np.ndarray, list[bytes], np.ndarray]]:
     """Per language tag: class shares, common words, shares of these and of all other words.
 
-    Counted over all documents that pass. The result is bounded: 1 / SHARE languages of COMMON words.
+    Counted over all documents that pass. The result has COMMON words of each tag with SHARE of all words or
+    TAG_WORDS of them: it is as many as the corpus has such tags, and so is the work for a document.
     """
     refs: dict = {}
     for _ in range(ROUNDS):
@@ -209,8 +214,8 @@ def _round(docs: DataFrame, refs: dict) -> dict:
     counts = write_scratch(counts.groupBy("lang", "key").agg(F.sum("n").alias("n")), "histograms")
     words = counts.where("key = 'words' AND n > 0")
     total = words.agg(F.sum("n")).first()[0] or 0
-    large = words.where(F.col("n") >= SHARE * total).select("lang", F.col("n").alias("words"))
-    kept = counts.join(F.broadcast(large), "lang")  # at most 1 / SHARE rows
+    large = words.where(F.col("n") >= min(SHARE * total, TAG_WORDS)).select("lang", F.col("n").alias("words"))
+    kept = counts.join(F.broadcast(large), "lang")  # a row a tag
     common = (
         kept.where(F.col("key").startswith("word:") & (F.col("n") >= COMMON_SHARE * F.col("words")))
         .groupBy("lang")
@@ -245,12 +250,16 @@ def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.sqrt(np.clip((left + right) / 2, 0, 1))
 
 
-def judged(values: pa.Array, refs: dict, plain: bool = False) -> dict[str, np.ndarray]:
-    """All result columns of each text; ``plain`` for a verdict that leaves out words with digits, too."""
-    return _verdicts(Texts(values), refs, plain)
+def judged(values: pa.Array, refs: dict, plain: bool = False, tags: pa.Array | None = None) -> dict[str, np.ndarray]:
+    """All result columns of each text.
+
+    ``plain`` for a verdict that leaves out words with digits, too; with ``tags``, texts whose tag has no reference
+    are judged by the base rules.
+    """
+    return _verdicts(Texts(values), refs, plain, tags)
 
 
-def _verdicts(texts: Texts, refs: dict, plain: bool = False) -> dict[str, np.ndarray]:
+def _verdicts(texts: Texts, refs: dict, plain: bool = False, tags: pa.Array | None = None) -> dict[str, np.ndarray]:
     rows = texts.words.rows
     names = sorted(refs)
     chars = texts.classes.sum(axis=1)
@@ -281,6 +290,8 @@ def _verdicts(texts: Texts, refs: dict, plain: bool = False) -> dict[str, np.nda
     far = np.zeros(rows, bool)
     if names:
         far = ~((near | ~long_chars[:, None]) & ((of_word <= most) | ~long_words[:, None])).any(axis=1)
+    if names and tags is not None:
+        far &= pc.is_in(tags, pa.array(names, pa.large_string())).to_numpy(zero_copy_only=False)
     best = np.argmin(of_class + of_word, axis=1) if names else np.zeros(rows, int)
     at = np.arange(rows)
     return {
@@ -299,7 +310,7 @@ def score(docs: DataFrame, refs: dict | None = None) -> DataFrame:
 
     def run(batches):
         for batch in slices(batches):
-            found = judged(column(batch, "text"), refs)
+            found = judged(column(batch, "text"), refs, tags=_tags(batch))
             yield pa.RecordBatch.from_arrays(
                 [
                     column(batch, "doc_id").cast(pa.int64()),
@@ -313,7 +324,7 @@ def score(docs: DataFrame, refs: dict | None = None) -> DataFrame:
                 names=[x.split()[0] for x in SCORE_SCHEMA.split(",")],
             )
 
-    return mapped(docs.select("doc_id", "text"), run, SCORE_SCHEMA)
+    return mapped(docs.select("doc_id", "text", "lang"), run, SCORE_SCHEMA)
 
 
 def keep(docs: DataFrame) -> DataFrame:
@@ -322,6 +333,6 @@ def keep(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in slices(batches):
-            yield batch.filter(pa.array(judged(column(batch, "text"), refs, plain=True)["kept"]))
+            yield batch.filter(pa.array(judged(column(batch, "text"), refs, plain=True, tags=_tags(batch))["kept"]))
 
     return mapped(docs, run, docs.schema)

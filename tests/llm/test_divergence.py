@@ -100,6 +100,22 @@ def test_keep_leaves_out_single_numbers_and_tokens(spark):
     assert {d.doc_id for d in D.keep(docs).collect()} == set(range(102))
 
 
+def test_minor_languages_are_kept(spark):
+    """Greek has 0.7 % of the words, Georgian a few texts only."""
+    rng = np.random.default_rng(4)
+    latin = ["the", "of", "and", "to", "in", *(f"longer{chr(97 + i)}" for i in range(20))]
+    greek = ["και", "το", "να", "του", "με", *(f"λέξεις{chr(0x3B1 + i)}" for i in range(20))]
+    georgian = [f"სიტყვა{chr(0x10D0 + i)}" for i in range(25)]
+    draw = lambda v, n: " ".join(rng.choice(v, n, p=[0.066] * 5 + [0.67 / 20] * 20))
+    rows = [(i, draw(latin, 8_000), "en") for i in range(100)] + [(1000 + i, draw(greek, 200), "el") for i in range(28)]
+    rows += [(2000 + i, draw(georgian, 100), "ka") for i in range(3)] + [(3000, "| % $ # " * 100, "el"), (3001, "few " * 300, "ka")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    want = {d for d, *_ in rows if d < 3000}
+    assert set(D.references(docs)) == {"en", "el"}
+    assert {d.doc_id for d in D.score(docs).collect() if d.kept} == want
+    assert {d.doc_id for d in D.keep(docs).collect()} == want
+
+
 def test_empty_and_untagged_tables(spark, corpus):
     assert D.score(corpus.limit(0)).count() == 0 and D.keep(corpus.limit(0)).count() == 0
     only = spark.createDataFrame([(1, "too short", None, "s")], corpus.schema)
