@@ -7,6 +7,7 @@ sentences, of which one may follow the one before within ``GAP`` sentences. A ma
 all belong to a longer match is part of that one and not reported.
 
 Every known sentence has one of the words of ``ANCHORS``; a text without any is not cut at all.
+``All rights reserved`` is a rule without a licence: it is a match, in ``rules`` and ``spans``, and adds none to ``licenses``.
 
 Defined results: null and empty texts, and texts without a match, have one row with no
 licences; a rule that matches several times is listed each time; repeated rows get
@@ -67,9 +68,50 @@ SENTENCES = {
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
         "Licensed under the Mozilla Public License, version 2.0",
     ],
+    "gpl2-name": ["Licensed under the GNU General Public License, version 2", "This work is licensed under the GNU General Public License, version 2"],
+    "gpl2-free": [
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version"
+    ],
+    "lgpl3-name": ["Licensed under the GNU Lesser General Public License, version 3", "This work is licensed under the GNU Lesser General Public License, version 3"],
+    "lgpl21-name": ["Licensed under the GNU Lesser General Public License, version 2.1", "This work is licensed under the GNU Lesser General Public License, version 2.1"],
+    "lgpl21-free": [
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version"
+    ],
+    "lgpl3-free": [
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    ],
+    "lgpl-warranty": [
+        "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE"
+    ],
+    "lgpl-details": ["See the GNU Lesser General Public License for more details"],
+    "agpl3-name": ["Licensed under the GNU Affero General Public License, version 3", "This work is licensed under the GNU Affero General Public License, version 3"],
+    "agpl-free": [
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"
+    ],
+    "agpl-details": ["See the GNU Affero General Public License for more details"],
+    "isc-name": ["Licensed under the ISC License", "Released under the ISC License", "This project is licensed under the ISC License"],
+    "isc-grant": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
+        "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
+    ],
+    "isc-warranty": [
+        "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS"
+    ],
+    **{
+        f"by-{kind}-name": [f"Licensed under CC BY-{kind.upper()} 4.0", f"This work is licensed under CC BY-{kind.upper()} 4.0", f"This work is licensed under a Creative Commons Attribution-{name} 4.0 International License"]
+        for kind, name in (("sa", "ShareAlike"), ("nd", "NoDerivatives"), ("nc-sa", "NonCommercial-ShareAlike"), ("nc-nd", "NonCommercial-NoDerivatives"))
+    },
+    "cc0-name": ["Licensed under CC0 1.0", "Released under CC0 1.0", "This work is licensed under CC0 1.0", "This work is dedicated to the public domain under CC0 1.0", "CC0 1.0 Universal"],
+    "unlicense-name": ["Released under the Unlicense", "Licensed under the Unlicense", "This project is licensed under the Unlicense"],
+    "unlicense-free": ["This is free and unencumbered software released into the public domain"],
+    "unlicense-anyone": [
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means"
+    ],
+    "all-rights": ["All rights reserved"],
 }
 
-# Rules, each a licence and its sentences in order.
+# Rules, each a licence and its sentences in order; one without a licence states that none is given.
 RULES = {
     "mit-reference": ("MIT", ["mit-name"]),
     "mit-text": ("MIT", ["mit-grant", "mit-notice", "mit-warranty"]),
@@ -82,10 +124,27 @@ RULES = {
     "bsd-2-clause-text": ("BSD-2-Clause", ["bsd-intro", "bsd-source", "bsd-binary"]),
     "bsd-3-clause-text": ("BSD-3-Clause", ["bsd-intro", "bsd-source", "bsd-binary", "bsd-names"]),
     "mpl-2.0-reference": ("MPL-2.0", ["mpl2-name"]),
+    "gpl-2.0-reference": ("GPL-2.0", ["gpl2-name"]),
+    "gpl-2.0-header": ("GPL-2.0-or-later", ["gpl2-free", "gpl-warranty", "gpl-details"]),
+    "lgpl-2.1-reference": ("LGPL-2.1", ["lgpl21-name"]),
+    "lgpl-2.1-header": ("LGPL-2.1-or-later", ["lgpl21-free", "lgpl-warranty", "lgpl-details"]),
+    "lgpl-3.0-reference": ("LGPL-3.0", ["lgpl3-name"]),
+    "lgpl-3.0-program-header": ("LGPL-3.0-or-later", ["lgpl3-free", "gpl-warranty", "lgpl-details"]),
+    "lgpl-3.0-library-header": ("LGPL-3.0-or-later", ["lgpl3-free", "lgpl-warranty", "lgpl-details"]),
+    "agpl-3.0-reference": ("AGPL-3.0", ["agpl3-name"]),
+    "agpl-3.0-header": ("AGPL-3.0-or-later", ["agpl-free", "gpl-warranty", "agpl-details"]),
+    "isc-reference": ("ISC", ["isc-name"]),
+    "isc-text": ("ISC", ["isc-grant", "isc-warranty"]),
+    "cc-by-sa-4.0-reference": ("CC-BY-SA-4.0", ["by-sa-name"]),
+    "cc-by-nd-4.0-reference": ("CC-BY-ND-4.0", ["by-nd-name"]),
+    "cc-by-nc-sa-4.0-reference": ("CC-BY-NC-SA-4.0", ["by-nc-sa-name"]),
+    "cc-by-nc-nd-4.0-reference": ("CC-BY-NC-ND-4.0", ["by-nc-nd-name"]),
+    "cc0-1.0-reference": ("CC0-1.0", ["cc0-name"]),
+    "unlicense-reference": ("Unlicense", ["unlicense-name"]),
+    "unlicense-text": ("Unlicense", ["unlicense-free", "unlicense-anyone"]),
+    "all-rights-reserved": ("", ["all-rights"]),
 }
 
-ANCHORS = ("licen", "permission", "copyright", "warrant", "redistribut")
-
 _CUT = re.compile(r"(?<=[.;:!?])[\"')\]]*(?=\s|$)|\n|\r|$")
 _WORD = re.compile(r"[^\W_]+")
 
@@ -97,6 +156,19 @@ def normal(sentence: str) -> str:
 KNOWN = {normal(s): name for name, texts in SENTENCES.items() for s in texts}
 
 
+def _anchors() -> tuple[str, ...]:
+    """Words of which every known sentence holds one: the one in most sentences first, then of those left."""
+    left, out = set(KNOWN), []
+    while left:
+        words = {w for k in left for w in k.split() if len(w) >= min(5, max(map(len, k.split())))}
+        out.append(min(words, key=lambda w: (-sum(w in k for k in left), -len(w), w)))
+        left = {k for k in left if out[-1] not in k}
+    return tuple(out)
+
+
+ANCHORS = _anchors()
+
+
 def sentences(text: str) -> list[str]:
     """Normalised sentences that have a word. A line break ends one, as do . ; : ! ? before white space."""
     out, last = [], 0
@@ -173,7 +245,7 @@ def scan(docs: DataFrame, gap: int = GAP) -> DataFrame:
             rows: list[list] = [[] for _ in range(batch.num_rows)]
             for i, text in zip(at.tolist(), texts.take(pa.array(at)).cast(pa.binary()).to_pylist(), strict=True):
                 rows[i] = matches(text.decode(errors="replace"), gap)
-            names = [list(dict.fromkeys(RULES[r][0] for r, _, _ in m)) for m in rows]
+            names = [list(dict.fromkeys(RULES[r][0] for r, _, _ in m if RULES[r][0])) for m in rows]
             yield pa.RecordBatch.from_arrays(
                 [
                     column(batch, "doc_id").cast(pa.int64()), pa.array([len(m) for m in rows], pa.int32()), pa.array([",".join(n) for n in names], pa.string()),

@@ -69,3 +69,26 @@ def test_edge_rows(spark):
     got = sorted(((r.doc_id, r.n_matches, r.licenses) for r in L.scan(docs).collect()), key=repr)
     assert got == sorted([(1, 0, ""), (2, 0, ""), (None, 1, "MIT"), (3, 1, "MIT"), (3, 0, ""), (3, 0, "")], key=repr)
     assert L.scan(docs.limit(0)).count() == 0
+
+
+def test_rights_reserved_is_told_apart(spark):
+    rows = [(1, "words.\nAll rights reserved."), (2, "words."), (3, "Copyright 2020 X. ALL RIGHTS\nRESERVED! Released under the MIT License."), (4, "Released into the public domain: CC0 1.0 Universal.")]
+    got = {r.doc_id: (r.n_matches, r.licenses, r.rules) for r in L.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (1, "", "all-rights-reserved"), 2: (0, "", ""), 3: (2, "MIT", "all-rights-reserved,mit-reference"), 4: (1, "CC0-1.0", "cc0-1.0-reference")}
+
+
+def test_common_licences_are_known():
+    header = """# This program is free software; you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation; either version 2 of the License, or
+# (at your option) any later version.
+#
+# This program is distributed in the hope that it will be useful,
+# but WITHOUT ANY WARRANTY; without even the implied warranty of
+# MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+# GNU General Public License for more details."""
+    assert rules(header) == ["gpl-2.0-header"]
+    assert rules("This work is licensed under CC BY-SA 4.0.") == ["cc-by-sa-4.0-reference"]
+    licences = {licence for licence, _ in L.RULES.values()}
+    assert licences >= {"GPL-2.0", "LGPL-2.1-or-later", "LGPL-3.0-or-later", "AGPL-3.0-or-later", "ISC", "CC-BY-SA-4.0", "CC-BY-ND-4.0", "CC0-1.0", "Unlicense"}
+    assert all(name in L.SENTENCES for _, names in L.RULES.values() for name in names)
