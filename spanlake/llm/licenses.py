@@ -3,7 +3,8 @@
 A text is cut into sentences, each sentence is normalised (lower case, letters and
 digits only, single blanks) and looked up among known licence sentences. The sequence
 of known sentences is then matched against rules: a rule is an ordered list of
-sentences, of which one may follow the one before within ``GAP`` sentences. A match whose sentences
+sentences, of which one may follow the one before within ``GAP`` sentences; of several
+occurrences of a sentence the nearest from which the rule can be completed counts. A match whose sentences
 all belong to a longer match is part of that one and not reported.
 
 Every known sentence has one of the words of ``ANCHORS``; a text without any is not cut at all.
@@ -211,16 +212,18 @@ def matches(text: str, gap: int = GAP) -> list[tuple[str, int, int]]:
         at.setdefault(name, []).append(i)
     found = []
     for rule, (_, wanted) in RULES.items():
-        for first in at.get(wanted[0], ()):
+        # From the last sentence back: occurrences from which the rest of the rule is reached, and the next one of each.
+        steps: list[dict[int, int]] = []
+        later = at.get(wanted[-1], [])
+        for name in wanted[-2::-1]:
+            nearest = ((i, bisect_right(later, i)) for i in at.get(name, ()))
+            steps.append({i: later[k] for i, k in nearest if k < len(later) and hits[later[k]][0] - hits[i][1] <= gap})
+            later = list(steps[-1])
+        for first in later:
             path = [first]
-            for name in wanted[1:]:
-                later = at.get(name, ())
-                k = bisect_right(later, path[-1])
-                if k == len(later) or hits[later[k]][0] - hits[path[-1]][1] > gap:
-                    break
-                path.append(later[k])
-            if len(path) == len(wanted):
-                found.append((path, rule))
+            for step in reversed(steps):
+                path.append(step[path[-1]])
+            found.append((path, rule))
     found.sort(key=lambda f: (-len(f[0]), f[0], f[1]))
     used: set[int] = set()
     kept = []

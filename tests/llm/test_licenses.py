@@ -1,3 +1,5 @@
+import itertools
+import random
 import re
 
 import pyarrow.parquet as pq
@@ -92,3 +94,23 @@ def test_common_licences_are_known():
     licences = {licence for licence, _ in L.RULES.values()}
     assert licences >= {"GPL-2.0", "LGPL-2.1-or-later", "LGPL-3.0-or-later", "AGPL-3.0-or-later", "ISC", "CC-BY-SA-4.0", "CC-BY-ND-4.0", "CC0-1.0", "Unlicense"}
     assert all(name in L.SENTENCES for _, names in L.RULES.values() for name in names)
+
+
+def test_repeated_middle_sentence():
+    a, b, c = (L.SENTENCES[n][0] for n in ("bsd-intro", "bsd-source", "bsd-binary"))
+    assert L.matches(f"{a}. {b}. x. {b}. y. {c}.") == [("bsd-2-clause-text", 0, 5)]
+    assert rules(f"{a}. {b}. x. y. z. {b}. z. {c}.") == []  # the second is too far from the first sentence
+    assert L.matches(f"{a}. {b}. {c}. {b}. {c}.") == [("bsd-2-clause-text", 0, 2)]
+
+
+def test_matches_against_all_paths():
+    """A first sentence has a match exactly where some ordered choice of occurrences keeps every gap."""
+    names = L.RULES["bsd-3-clause-text"][1]
+    rng = random.Random(3)
+    for _ in range(300):
+        order = [rng.choice([*names, None]) for _ in range(12)]
+        place = {n: [i for i, x in enumerate(order) if x == n] for n in names}
+        want = {p[0] for p in itertools.product(*place.values()) if all(0 < y - x <= 3 for x, y in itertools.pairwise(p))}
+        text = " ".join((L.SENTENCES[n][0] if n else "words") + "." for n in order)
+        got = {m[1] for m in L.matches(text) if m[0] == "bsd-3-clause-text"}
+        assert got <= want and bool(got) == bool(want)
