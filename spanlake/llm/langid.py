@@ -4,8 +4,8 @@ Texts are lower-cased and every character that is no letter counts as a blank.
 n-grams of 1 to 3 characters are hashed to ``SIZE`` features; a feature's value is
 its share of the text's n-grams times its inverse document frequency over *all*
 training documents. Weights are learned by follow-the-regularised-leader with
-elastic-net penalties on a bounded sample (``PER_CLASS`` rows a language,
-``SAMPLE`` in all), a fifth of which sets the temperature instead.
+elastic-net penalties on a bounded sample (``PER_CLASS`` rows a language, or an equal
+share of ``SAMPLE`` with many languages), a fifth of which sets the temperature instead.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0, as is
 everything where there is nothing to learn from; repeated rows are scored alike; an
@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanlake.llm.arrays import column, grouped, letter_table, lowered, slices
@@ -28,8 +28,8 @@ from spanlake.llm.tables import mapped
 BITS = 15
 SIZE = 1 << BITS
 PER_CLASS, SAMPLE, EPOCHS = 800, 8000, 3
-#: Languages with fewer training documents than this share are not learned: at most 1 / RARE classes.
-RARE = 0.002
+#: Languages are learned that have this share of the training documents, or this number of them.
+RARE, ROWS = 0.002, 20
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 0.002, 0.0005
 SCALE = 30.0
 MIN_SCORE = 0.5
@@ -119,14 +119,11 @@ def fit(docs: DataFrame) -> Model | None:
     rows = docs.where("text IS NOT NULL AND lang IS NOT NULL").where(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang")
     per = rows.groupBy("lang").count()
     total = per.agg(F.sum("count")).first()[0] or 0
-    known = {r["lang"]: r["count"] for r in per.where(F.col("count") >= RARE * total).collect()}
+    known = {r["lang"]: r["count"] for r in per.where(F.col("count") >= min(RARE * total, ROWS)).collect()}
     if not known:
         return None
-    # Sampled by a hash of the id: the same rows each time, about PER_CLASS of each language.
-    part = F.pmod(F.xxhash64(F.lit("langid"), F.col("doc_id")), F.lit(1_000_000))
-    wanted = F.create_map(*[F.lit(x) for k, n in known.items() for x in (k, int(1_000_000 * min(1.0, PER_CLASS / n)) + 1)])
-    chosen = rows.where(part < F.element_at(wanted, F.col("lang")))
-    sample = mapped(chosen, _sparse, "lang string, features array<int>, counts array<int>").limit(SAMPLE).collect()
+    quota = max(1, min(PER_CLASS, SAMPLE // len(known)))
+    sample = mapped(sampled(rows, known, quota), _sparse, "lang string, features array<int>, counts array<int>").collect()
     df = np.zeros(SIZE)
     n_docs = 1
     for r in mapped(rows.select("text"), _frequencies, "feature int, docs long").groupBy("feature").agg(F.sum("docs").alias("docs")).collect():
@@ -138,6 +135,18 @@ def fit(docs: DataFrame) -> Model | None:
     return learned(sorted(known), sorted((r.lang, r.features, r.counts) for r in sample), idf)
 
 
+def sampled(rows: DataFrame, known: dict[str, int], quota: int) -> DataFrame:
+    """The first ``quota`` rows of each language by a hash of the id (of the text for null ids): the same rows each time."""
+    h = F.when(F.col("doc_id").isNull(), F.xxhash64(F.lit("langid"), F.col("text"))).otherwise(F.xxhash64(F.lit("langid"), F.col("doc_id")))
+    part = F.pmod(h, F.lit(1_000_000))
+    # A share that holds the quota with near certainty goes to the sort.
+    most = quota + 8 * quota**0.5 + 16
+    wanted = F.create_map(*[F.lit(x) for k, n in known.items() for x in (k, int(1_000_000 * min(1.0, most / n)) + 1)])
+    some = rows.where(part < F.element_at(wanted, F.col("lang"))).withColumns({"part": part, "second": F.xxhash64("text")})
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("part", "second", "doc_id"))
+    return some.withColumn("nth", nth).where(F.col("nth") <= quota).select("text", "lang")
+
+
 def learned(langs: list[str], sample: list[tuple], idf: np.ndarray) -> Model:
     data = []
     for lang, features, counts in sample:

@@ -57,6 +57,23 @@ def test_held_out_languages_are_not_learned(spark):
     assert L.fit(docs).langs == ["de"]
 
 
+def test_rare_and_many_languages_are_learned(spark, monkeypatch):
+    """Greek is 0.14 % of the rows; of 12 languages, in the table's order, each gets its share of the sample."""
+    rows = [(d, f"the words of it {d}", "en") for d in range(28_000)] + [(100_000 + d, f"και το λέξεις {'αβγδε'[d % 5]}", "el") for d in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = L.fit(docs)
+    assert model.langs == ["el", "en"]
+    assert {r.lang_pred for r in L.predict(docs.where("lang = 'el'"), model).collect()} == {"el"}
+    monkeypatch.setattr(L, "SAMPLE", 120)
+    many = spark.createDataFrame([(i, f"word{chr(97 + i // 50) * 4}", f"l{i // 50:02}") for i in range(600)], docs.schema).coalesce(1)
+    seen = []
+    monkeypatch.setattr(L, "learned", lambda langs, sample, idf: seen.append((langs, [s[0] for s in sample])))
+    L.fit(many)
+    L.fit(many.repartition(7))
+    assert seen[0] == seen[1]
+    assert {k: seen[0][1].count(k) for k in seen[0][0]} == {f"l{i:02}": 10 for i in range(12)}
+
+
 def test_edge_rows(spark):
     rows = [(1, None, "en", 1.0), (2, "", "en", 1.0), (3, "12 34 !!", "en", 1.0), (None, "plain words", None, 1.0), (4, "plain words " * 40_000, "en", 1.0), (5, "der die das", "de", 1.0), (5, "der die das", "de", 1.0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double")
