@@ -11,7 +11,8 @@ counted exactly before the shuffle).
 A document fails if it is too far from every reference in either histogram. Below
 the minimum lengths a histogram says nothing and is not looked at. A document with fewer
 common words than a reference is too far from ``LACK`` of the distance that a text
-without any common word has from it, since none can be further off on that side.
+without any common word has from it, since none can be further off on that side. This
+bound is for verdicts; references are learned without it, as in the query's SQL.
 
 Long numbers and tokens: ``keep`` also measures the character classes without the words
 that hold a digit, if these are ``NUMBERS`` of all words at most, and takes the nearer of
@@ -172,7 +173,7 @@ def _counts(batches, refs: dict):
     for batch in slices(batches):
         texts = Texts(column(batch, "text"), base=False)
         langs, names = coded(_tags(batch).cast(pa.large_binary()))
-        good = _verdicts(texts, refs, tags=_tags(batch))["kept"]
+        good = _verdicts(texts, refs, tags=_tags(batch), learning=True)["kept"]
         out = []
         codes, short = texts.short_words()
         of_word = langs[texts.words.row] if len(langs) else langs
@@ -259,7 +260,7 @@ def judged(values: pa.Array, refs: dict, plain: bool = False, tags: pa.Array | N
     return _verdicts(Texts(values), refs, plain, tags)
 
 
-def _verdicts(texts: Texts, refs: dict, plain: bool = False, tags: pa.Array | None = None) -> dict[str, np.ndarray]:
+def _verdicts(texts: Texts, refs: dict, plain: bool = False, tags: pa.Array | None = None, learning: bool = False) -> dict[str, np.ndarray]:
     rows = texts.words.rows
     names = sorted(refs)
     chars = texts.classes.sum(axis=1)
@@ -283,7 +284,7 @@ def _verdicts(texts: Texts, refs: dict, plain: bool = False, tags: pa.Array | No
         n = np.bincount(key, minlength=rows * (len(common) + 1)).reshape(rows, -1)
         n = n / np.maximum(texts.n_words, 1)[:, None]
         of_word[:, k] = distance(n, share)
-        if 1 - share[-1] >= LEAST_COMMON:
+        if not learning and 1 - share[-1] >= LEAST_COMMON:
             none = distance(np.eye(len(share))[-1:], share)[0]
             most[n[:, -1] > share[-1], k] = min(MAX_WORD, LACK * none)
     long_chars, long_words = chars >= MIN_CHARS, texts.n_words >= MIN_WORDS
