@@ -90,3 +90,26 @@ r AS (SELECT m.*, g.source_size, g.target, CASE WHEN g.source_size > 0 THEN floo
 SELECT doc_id, source, size, source_size, target,
  (size * (epochs + CASE WHEN target > epochs * source_size AND target - epochs * source_size - ahead >= size / 2.0 THEN 1 ELSE 0 END))::BIGINT AS taken FROM r
 """
+
+#: Cosine of all pairs of a label, then the smallest id over the links. Vectors without a direction take no part.
+OP12 = """
+WITH RECURSIVE usable AS MATERIALIZED (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, v -> v IS NULL OR NOT isfinite(v))) = 0
+    AND len(list_filter(embedding, v -> v <> 0)) > 0
+), pairs AS MATERIALIZED (
+  SELECT p.vec_id AS a, q.vec_id AS b FROM usable p JOIN usable q USING (label)
+  WHERE p.vec_id <> q.vec_id AND len(p.x) = len(q.x)
+    AND list_inner_product(p.x, q.x) / sqrt(list_inner_product(p.x, p.x) * list_inner_product(q.x, q.x)) >= 0.98
+), reach AS (
+  SELECT a, b FROM pairs
+  UNION
+  SELECT r.a, p.b FROM reach r JOIN pairs p ON r.b = p.a
+), least AS (SELECT a, min(b) AS b FROM reach GROUP BY a
+), n AS (SELECT a, count(*) AS n FROM pairs GROUP BY a)
+SELECT e.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, least(e.vec_id, coalesce(l.b, e.vec_id)) AS component_id,
+       e.vec_id = least(e.vec_id, coalesce(l.b, e.vec_id)) AS kept
+FROM embeddings e LEFT JOIN n ON n.a = e.vec_id LEFT JOIN least l ON l.a = e.vec_id
+ORDER BY ALL
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanlake.llm import chunks, divergence, langid, licenses, mixing, oracle, repair, sampling, simhash, toxicity, warc
+from spanlake.llm import chunks, divergence, langid, licenses, mixing, oracle, periodic, quantised, repair, sampling, simhash, toxicity, variants, warc
 from spanlake.llm.tables import documents, table
 from spanlake.session import scratch_path
 
@@ -66,6 +66,19 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
+def op11_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = variants.counts(documents(spark, sf_dir), modulus=31)
+    return variants.forms(words).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op12_quantised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quantised.classes(table(spark, sf_dir, "embeddings"))
+
+
+def op13_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(periodic.find(documents(spark, sf_dir), tails=True))
+
+
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "op1_divergence": (op1_divergence, oracle.OP1),
     "op2_toxicity": (op2_toxicity, None),
@@ -77,4 +90,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "op8_repair": (op8_repair, None),
     "op9_chunks": (op9_chunks, None),
     "op10_mixing": (op10_mixing, oracle.OP10),
+    "op11_variants": (op11_variants, None),
+    "op12_quantised": (op12_quantised, oracle.OP12),
+    "op13_periodic": (op13_periodic, None),
 }
