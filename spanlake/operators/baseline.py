@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from spanlake.functions.columns import duration_ns, int_div, floor_to, is_error, safe_ratio, target_label
 from spanlake.operators.aggregates import TARGET
 from spanlake.operators.quantiles import median_mad_over_ranges, small_mad, small_median
+from spanlake.operators.windows import fetch_window
 from spanlake.schemas import BASELINE_LOOKBACK_SECONDS, BASELINE_MIN_SAMPLES, NS, WINDOW_SECONDS
 from spanlake.session import checkpoint
 
@@ -29,8 +30,7 @@ def as_of_range(first_ns: Column, last_ns: Column, window_seconds: int, lookback
 
 def lookback_spans(spans: DataFrame, as_of: float, lookback_seconds: int = BASELINE_LOOKBACK_SECONDS) -> DataFrame:
     """The spans one baseline is built from: [as_of - L, as_of)."""
-    low, high = int((as_of - lookback_seconds) * NS), int(as_of * NS)
-    return spans.filter((F.col(START) >= low) & (F.col(START) < high))
+    return fetch_window(spans, as_of - lookback_seconds, as_of)
 
 
 def lookback_calls(spans: DataFrame, any_pairs: DataFrame, window_seconds: int, lookback_seconds: int) -> DataFrame:

@@ -7,9 +7,7 @@ from pyspark.sql import functions as F
 
 from spanlake.operators.quantiles import percentiles
 from spanlake.schemas import ROOT_SERVICE
-from spanlake.session import checkpoint
-
-_HOPS_PER_CHECKPOINT = 4
+from spanlake.session import checkpoint, configure
 
 
 def clock_violations(pairs: DataFrame) -> DataFrame:
@@ -76,44 +74,31 @@ def clock_offsets(pairs: DataFrame, root_service: str = ROOT_SERVICE) -> DataFra
 
 
 def offsets_from_gaps(gaps: DataFrame, root_service: str = ROOT_SERVICE) -> DataFrame:
-    zero = F.lit(0).cast("bigint")
-    roots = gaps.select("window_start").distinct().select(
-        "window_start", F.lit(root_service).alias("service_name"), zero.alias("offset_ns"), zero.alias("confidence")
+    """One recursive query walks down from the root of every window at once.
+
+    A service has one primary caller, so each is met once and a ring of services that
+    the root does not reach is never entered.
+    """
+    links = primary_callers(gaps).join(typical_gaps(gaps), "window_start")
+    links = links.filter((F.col("callee_service") != root_service) & (F.col("caller_service") != F.col("callee_service"))).select(
+        "window_start",
+        F.col("callee_service").alias("service_name"),
+        "caller_service",
+        (F.col("median_gap_ns") - F.col("typical_gap_ns")).alias("delta_ns"),
+        F.col("n").alias("confidence"),
     )
-    state = checkpoint(
-        primary_callers(gaps)
-        .join(typical_gaps(gaps), "window_start")
-        .filter((F.col("callee_service") != root_service) & (F.col("caller_service") != F.col("callee_service")))
-        .select(
-            "window_start",
-            F.col("callee_service").alias("service_name"),
-            "caller_service",
-            (F.col("median_gap_ns") - F.col("typical_gap_ns")).alias("delta_ns"),
-            F.when(F.col("caller_service") == root_service, zero).alias("caller_offset"),
-            F.col("n").alias("confidence"),
+    spark = configure(gaps.sparkSession)
+    return spark.sql(
+        """
+        WITH RECURSIVE known (window_start, service_name, offset_ns, confidence) AS (
+          SELECT DISTINCT window_start, :root AS service_name, CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM {gaps}
+          UNION ALL
+          SELECT l.window_start, l.service_name, CAST(bround(CAST(k.offset_ns AS DOUBLE) + l.delta_ns, 0) AS BIGINT), l.confidence
+          FROM known k JOIN {links} l ON l.window_start = k.window_start AND l.caller_service = k.service_name
         )
+        SELECT * FROM known
+        """,
+        args={"root": root_service},
+        gaps=gaps,
+        links=checkpoint(links),
     )
-    offset = F.bround(F.col("caller_offset").cast("double") + F.col("delta_ns"), 0).cast("bigint")
-    open_before = state.filter("caller_offset IS NULL").count()
-    while open_before:
-        for _ in range(_HOPS_PER_CHECKPOINT):
-            known = state.filter("caller_offset IS NOT NULL").select(
-                "window_start", F.col("service_name").alias("caller_service"), offset.alias("_known")
-            )
-            state = state.join(known, ["window_start", "caller_service"], "left").select(
-                "window_start",
-                "service_name",
-                "caller_service",
-                "delta_ns",
-                F.coalesce("caller_offset", "_known").alias("caller_offset"),
-                "confidence",
-            )
-        state = checkpoint(state)
-        open_now = state.filter("caller_offset IS NULL").count()
-        if open_now == open_before:
-            break
-        open_before = open_now
-    found = state.filter("caller_offset IS NOT NULL").select(
-        "window_start", "service_name", offset.alias("offset_ns"), "confidence"
-    )
-    return roots.unionByName(found)

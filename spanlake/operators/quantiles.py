@@ -4,8 +4,12 @@
 is first reduced to a log-linear histogram with a bounded number of buckets
 (combined before the shuffle); the histogram says which buckets hold the wanted
 ranks, and only the values of those buckets are counted and ranked. The rows
-themselves are not shuffled by group, no task sees more than one bucket or one
-histogram of a group, and the result is exact.
+themselves are not shuffled by group, and the result is exact.
+
+A wanted bucket that still holds more than ``RANKED`` rows is split further, round
+after round (radix selection): its values fall into ``2**DIGITS`` cells of equal width,
+whose counts name the cells with the wanted ranks. No task sees more than one
+histogram, or ``RANKED`` rows, or copies of one value.
 
 The input is read twice, so an expensive one should be a written table.
 """
@@ -21,6 +25,8 @@ from spanlake.functions.columns import log_bucket
 from spanlake.session import checkpoint, write_scratch
 
 BITS = 5  # 32 buckets per octave: about 3 % wide
+#: Rows of a bucket that one task may rank; bits of a value that a further round looks at.
+RANKED, DIGITS = 1_000_000, 14
 
 
 def _rank_columns(total: Column, probs: Sequence[float]) -> list[Column]:
@@ -44,6 +50,44 @@ def _cumulative(keys: Sequence[str], order: str) -> Window:
     )
 
 
+def _ranked(rows: DataFrame, group: Sequence[str], ranks: list[Column], value: str, largest: int | None) -> DataFrame:
+    """Distinct values ``_x`` of each group, at least those that hold ``ranks``, with the ranks [_lo, _hi) they take.
+
+    A row stands for ``_n`` copies of its value; ``_lo`` is the number of the group's
+    values below all the rows given. ``group`` determines ``_lo`` and ``ranks``;
+    ``largest`` is the number of rows of its largest group.
+    """
+    group = list(group)
+    if (largest or 0) > RANKED:
+        rows = write_scratch(rows.withColumn("_cell", F.lit(0).cast("bigint")), "to-rank")
+        low, high = rows.agg(F.min(value), F.max(value)).first()
+        shift = (high - low).bit_length()
+        while largest > RANKED and shift > 0:
+            shift = max(0, shift - DIGITS)
+            cells = rows.withColumns({"_up": F.col("_cell"), "_cell": F.shiftright(value, shift)})
+            counts = (
+                cells.groupBy(*group, "_up", "_cell")
+                .agg(F.sum("_n").alias("_n"), F.count("*").alias("_rows"), F.min("_lo").alias("_lo"))
+                .withColumn("_hi", F.col("_lo") + F.sum("_n").over(_cumulative([*group, "_up"], "_cell")))
+                .withColumn("_lo", F.col("_hi") - F.col("_n"))
+            )
+            picked = checkpoint(counts.filter(_holds_any(ranks, "_lo", "_hi")).select(*group, "_cell", "_lo", "_rows"))
+            largest = picked.agg(F.max("_rows")).first()[0]
+            rows = write_scratch(cells.drop("_lo", "_up").join(picked.drop("_rows"), [*group, "_cell"]), "to-rank")
+        group.append("_cell")
+    return (
+        rows.groupBy(*group, "_lo", F.col(value).alias("_x"))
+        .agg(F.sum("_n").alias("_n"))
+        .withColumn("_hi", F.col("_lo") + F.sum("_n").over(_cumulative(group, "_x")))
+        .withColumn("_lo", F.col("_hi") - F.col("_n"))
+    )
+
+
+def _picks(ranks: list[Column]) -> list[Column]:
+    """The value at each rank, as ``_r0``, ``_r1``, ... of a group's ranked values."""
+    return [F.max(F.when((r >= F.col("_lo")) & (r < F.col("_hi")), F.col("_x"))).alias(f"_r{i}") for i, r in enumerate(ranks)]
+
+
 def percentiles(
     df: DataFrame,
     keys: Sequence[str],
@@ -68,29 +112,18 @@ def percentiles(
     whole = Window.partitionBy(*keys)
     hist = (
         rows.groupBy(*keys, "_b")
-        .agg(F.sum("_n").alias("_n"), *[F.sum(f"_s_{s}").alias(s) for s in sums])
+        .agg(F.sum("_n").alias("_n"), F.count("*").alias("_rows"), *[F.sum(f"_s_{s}").alias(s) for s in sums])
         .withColumn("_hi", F.sum("_n").over(_cumulative(keys, "_b")))
         .withColumn("_lo", F.col("_hi") - F.col("_n"))
         .withColumn("n", F.sum("_n").over(whole))
         .withColumns({s: F.sum(s).over(whole) for s in sums})
     )
     ranks = _rank_columns(F.col("n"), probs)
-    wanted = hist.filter(_holds_any(ranks, "_lo", "_hi")).select(*keys, "_b", "_lo", "n", *sums)
-    detail = (
-        rows.select(*keys, "_b", "_v", "_n")
-        .join(wanted, [*keys, "_b"])
-        .groupBy(*keys, "_b", "_lo", "n", *sums, "_v")
-        .agg(F.sum("_n").alias("_n"))
-        .withColumn("_hi", F.col("_lo") + F.sum("_n").over(_cumulative([*keys, "_b"], "_v")))
-        .withColumn("_lo", F.col("_hi") - F.col("_n"))
-    )
-    picks = [
-        F.max(F.when((r >= F.col("_lo")) & (r < F.col("_hi")), F.col("_v"))).alias(f"_r{i}")
-        for i, r in enumerate(ranks)
-    ]
-    picked = detail.groupBy(*keys).agg(
-        F.max("n").alias("n"), *[F.max(s).alias(s) for s in sums], *picks
-    )
+    wanted = checkpoint(hist.filter(_holds_any(ranks, "_lo", "_hi")).select(*keys, "_b", "_lo", "n", *sums, "_rows"))
+    held = rows.select(*keys, "_b", "_v", "_n").join(wanted.drop("_rows"), [*keys, "_b"])
+    largest = wanted.agg(F.max("_rows")).first()[0]
+    ranked = _ranked(held, [*keys, "_b", "n", *sums], ranks, "_v", largest)
+    picked = ranked.groupBy(*keys).agg(F.max("n").alias("n"), *[F.max(s).alias(s) for s in sums], *_picks(ranks))
     out = []
     for i, p in enumerate(probs):
         r = F.lit(float(p)) * (F.col("n") - 1)
@@ -161,24 +194,13 @@ def median_mad_over_ranges(
         .withColumns({s: F.sum(s).over(whole) for s in sums})
         .filter(_holds_any(middle, "_lo", "_hi"))
     )
-    carry = ["_lo", "n", *sums]
-    ranked = (
-        values_of(wanted.select(*group, "_b", *carry))
-        .groupBy(*group, "_b", *carry, "_v")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_hi", F.col("_lo") + F.sum("_n").over(_cumulative([*group, "_b"], "_v")))
-        .withColumn("_lo", F.col("_hi") - F.col("_n"))
-    )
-    medians = ranked.groupBy(*group).agg(
-        F.max("n").alias("n"),
-        *[F.max(s).alias(s) for s in sums],
-        *[
-            F.max(F.when((r >= F.col("_lo")) & (r < F.col("_hi")), F.col("_v"))).alias(f"_m{i}")
-            for i, r in enumerate(middle)
-        ],
-    )
+    wanted = checkpoint(wanted.select(*group, "_b", "_lo", "n", *sums, "_n"))
+    held = values_of(wanted.drop("_n")).withColumn("_n", F.lit(1).cast("bigint"))
+    largest = wanted.agg(F.max("_n")).first()[0]
+    ranked = _ranked(held, [*group, "_b", "n", *sums], middle, "_v", largest)
+    medians = ranked.groupBy(*group).agg(F.max("n").alias("n"), *[F.max(s).alias(s) for s in sums], *_picks(middle))
     medians = checkpoint(
-        medians.select(*group, "n", *sums, (F.col("_m0") + F.col("_m1")).alias("median2"))
+        medians.select(*group, "n", *sums, (F.col("_r0") + F.col("_r1")).alias("median2"))
     )
 
     # Bounds of |2v - median2| inside each bucket, then of the wanted ranks.
@@ -200,22 +222,14 @@ def median_mad_over_ranges(
         )
         .filter((F.col("_dhi") >= F.col("_floor")) & (F.col("_dlo") <= F.col("_ceil")))
     )
-    deviations = (
-        values_of(bounded.select(*group, "_b", "n", "median2", "_below"))
-        .withColumn("_d", F.abs(2 * F.col("_v") - F.col("median2")))
-        .groupBy(*group, "n", "_below", "_d")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_hi", F.col("_below") + F.sum("_n").over(_cumulative(group, "_d")))
-        .withColumn("_lo", F.col("_hi") - F.col("_n"))
-    )
-    mads = deviations.groupBy(*group).agg(
-        *[
-            F.max(F.when((r >= F.col("_lo")) & (r < F.col("_hi")), F.col("_d"))).alias(f"_m{i}")
-            for i, r in enumerate(middle)
-        ]
+    bounded = checkpoint(bounded.select(*group, "_b", "n", "median2", F.col("_below").alias("_lo"), "_n"))
+    largest = bounded.groupBy(*group).agg(F.sum("_n").alias("_n")).agg(F.max("_n")).first()[0]
+    held = values_of(bounded.drop("_n")).select(
+        *group, "n", "_lo", F.abs(2 * F.col("_v") - F.col("median2")).alias("_d"), F.lit(1).cast("bigint").alias("_n")
     )
+    mads = _ranked(held, [*group, "n"], middle, "_d", largest).groupBy(*group).agg(*_picks(middle))
     return medians.join(
-        mads.select(*group, (F.col("_m0") + F.col("_m1")).alias("mad4")), group
+        mads.select(*group, (F.col("_r0") + F.col("_r1")).alias("mad4")), group
     )
 
 

@@ -9,6 +9,8 @@ splits it.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -109,15 +111,15 @@ def internal_spans(links: DataFrame) -> DataFrame:
     return links.join(children, [*SCOPE, "span_id"])
 
 
-def _double(nodes: DataFrame) -> DataFrame:
+def _double(nodes: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Distance to, and id of, the seed of every internal span that has one.
 
     ``ptr`` jumps 2**i links up; a span is done when its pointer has met a
     seed. A round that finishes no span proves the rest hang off cycles. Only
-    spans still open are joined and written again; what is done stays as it is.
+    spans still open are joined and written again, by ``keep``; what is done stays as it is.
     """
     linked = F.col("kind") == "linked"
-    state = checkpoint(
+    state = keep(
         nodes.select(
             *SCOPE,
             "span_id",
@@ -138,7 +140,7 @@ def _double(nodes: DataFrame) -> DataFrame:
             F.col("seed").alias("_seed"),
             F.col("seed_kind").alias("_kind"),
         )
-        moved = checkpoint(
+        moved = keep(
             pending.join(target, [*SCOPE, "ptr"], "left").select(
                 *SCOPE,
                 "span_id",
@@ -156,15 +158,16 @@ def _double(nodes: DataFrame) -> DataFrame:
     return done.select(*SCOPE, "span_id", "seed", "seed_kind", "dist")
 
 
-def span_seeds(spans: DataFrame, links: DataFrame | None = None) -> DataFrame:
+def span_seeds(spans: DataFrame, links: DataFrame | None = None, keep: Callable[[DataFrame], DataFrame] = checkpoint) -> DataFrame:
     """Each span with its kind, ``seed`` (root or orphan it hangs off) and distance.
 
     ``seed`` is NULL exactly for spans that reach neither: cycles and whatever
-    hangs off them.
+    hangs off them. ``keep`` stores what a round found; one that keeps tables bucketed
+    by trace saves the rounds their shuffles.
     """
     # Given links are a written table already; the join is not worth redoing per use.
     links = link_kinds(spans, links) if links is not None else checkpoint(link_kinds(spans))
-    reached = _double(internal_spans(links)).select(
+    reached = _double(internal_spans(links), keep).select(
         *SCOPE, F.col("span_id").alias("parent_span_id"), "seed", "seed_kind", (F.col("dist") + 1).alias("dist")
     )
     seeds = links.filter("kind <> 'linked'").withColumns(

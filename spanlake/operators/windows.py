@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spanlake.functions.columns import int_div, ns_to_timestamp, window_start
 from spanlake.schemas import NS, WATERMARK_SECONDS, WINDOW_SECONDS
+from spanlake.sources.layout import in_days
 
 START = "start_time_unix_nano"
 
@@ -45,10 +46,7 @@ def fetch_window(spans: DataFrame, start: float, end: float) -> DataFrame:
     """
     low, high = int(start * NS), int(end * NS)
     out = spans.filter((F.col(START) >= low) & (F.col(START) < high))
-    if "start_date" in spans.columns:
-        days = [F.timestamp_seconds(F.lit(ns // NS)).cast("date") for ns in (low, high)]
-        out = out.filter(F.col("start_date").between(*days))
-    return out
+    return in_days(out, "start_date", start, end)
 
 
 def window_spine(
@@ -81,7 +79,11 @@ def late_check_boundary(now: float, window_seconds: int = WINDOW_SECONDS, waterm
 
 
 def late_spans(spans: DataFrame, boundary: float, since: float) -> DataFrame:
-    """Spans ingested after ``since`` that belong to an already closed window."""
+    """Spans ingested after ``since`` that belong to an already closed window.
+
+    Days of arrival before ``since`` and days of start behind the boundary are not read.
+    """
+    spans = in_days(in_days(spans, "arrival_date", low=since), "start_date", high=boundary)
     return spans.filter(
         (F.col("ingested_at_unix_nano") > int(since * NS)) & (F.col(START) < int(boundary * NS))
     ).select("trace_id", "span_id", "service_name", START, "ingested_at_unix_nano")

@@ -357,7 +357,7 @@ def _ground_truth(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
 _GROUND_TRUTH: dict[tuple, dict[str, DataFrame]] = {}
 
 
-@query("ground_truth_rows", "SELECT run_id, trace_id, caller_service, callee_service, generated_at FROM gt_edges")
+@query("ground_truth_rows", "SELECT run_id, trace_id, caller_service, callee_service, generated_at FROM gt_edges ORDER BY ALL")
 def _(a, spark, sf):
     return _ground_truth(spark, sf)["edges"]
 
@@ -517,12 +517,12 @@ def _(a, spark, sf):
 # --- reassembly -----------------------------------------------------------
 
 
-@query("resolved_pairs", f"SELECT {PAIRS_SQL} FROM pairs")
+@query("resolved_pairs", f"SELECT {PAIRS_SQL} FROM pairs ORDER BY ALL")
 def _(a, spark, sf):
     return reassembly.resolved_pairs(a.spans).select(*PAIRS)
 
 
-@query("resolved_pairs_any_window", f"SELECT {PAIRS_SQL} FROM any_pairs")
+@query("resolved_pairs_any_window", f"SELECT {PAIRS_SQL} FROM any_pairs ORDER BY ALL")
 def _(a, spark, sf):
     return a.any_pairs.select(*PAIRS)
 
@@ -532,7 +532,7 @@ def _(a, spark, sf):
     return reassembly.root_detect(a.spans).select(*SLIM)
 
 
-@query("orphan_detect", f"SELECT {SLIM_SQL} FROM kinds WHERE kind = 'orphan'")
+@query("orphan_detect", f"SELECT {SLIM_SQL} FROM kinds WHERE kind = 'orphan' ORDER BY ALL")
 def _(a, spark, sf):
     return reassembly.orphan_detect(a.spans).select(*SLIM)
 
@@ -760,7 +760,7 @@ def _(a, spark, sf):
 @query(
     "clock_violations",
     """SELECT trace_id, window_start, parent_id AS parent_span_id, child_id AS child_span_id, caller AS caller_service, callee AS callee_service,
- CASE WHEN c_start < p_start THEN 'starts_before_parent' ELSE 'ends_after_parent' END AS kind FROM pairs WHERE c_start < p_start OR c_end > p_end""",
+ CASE WHEN c_start < p_start THEN 'starts_before_parent' ELSE 'ends_after_parent' END AS kind FROM pairs WHERE c_start < p_start OR c_end > p_end ORDER BY ALL""",
 )
 def _(a, spark, sf):
     return clock.clock_violations(a.pairs)
@@ -1467,7 +1467,11 @@ def _(a, spark, sf):
     return rows.groupBy("metric", label.alias("label")).agg(F.sum("value").alias("value"))
 
 
-@query("stream_open_incidents", f"SELECT {INCIDENT_SQL} FROM grouped")
+@query(
+    "stream_open_incidents",
+    # Event time has passed the end by more than a window and the watermark's 30 seconds.
+    f"SELECT {INCIDENT_SQL}, end_window + 60 <= (SELECT max(window_start) FROM detections) - 30 AS closed FROM grouped",
+)
 def _(a, spark, sf):
     provider = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(provider, None)
@@ -1489,4 +1493,4 @@ def _(a, spark, sf):
         else:
             spark.conf.set(provider, before)
     rows = spark.read.parquet(updates).drop("batch")
-    return latest_version(rows, ["incident_id"], ["window_count", "closed"]).select(*INCIDENT)
+    return latest_version(rows, ["incident_id"], ["window_count", "closed"]).select(*INCIDENT, "closed")

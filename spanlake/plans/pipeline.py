@@ -18,7 +18,8 @@ from spanlake.schemas import (
     ROOT_SERVICE,
     WINDOW_SECONDS,
 )
-from spanlake.session import write_scratch
+from spanlake.session import checkpoint, write_scratch
+from spanlake.sources.layout import Layout, span_days
 
 
 class Analysis:
@@ -45,11 +46,20 @@ class Analysis:
         self.grouping_seconds = grouping_seconds
         self.root_service = root_service
 
+    @cached_property
+    def layout(self) -> Layout:
+        return Layout.of(self.raw)
+
     @cached_property
     def spans(self) -> DataFrame:
-        """Newest version of every span, with its window."""
-        newest = latest_version(self.raw, KEYS["spans"], "ingested_at_unix_nano")
-        return write_scratch(with_window(newest, self.window_seconds), "spans")
+        """Newest version of every span, with its window, by trace and day.
+
+        Dealt by trace this is the only time that spans move: copies of a span meet in
+        the bucket, and the tables up to the summaries stay in theirs.
+        """
+        newest = latest_version(self.layout.dealt(self.raw), KEYS["spans"], "ingested_at_unix_nano")
+        days = span_days()
+        return self.layout.write(with_window(newest, self.window_seconds).withColumns(days), "spans", list(days))
 
     @cached_property
     def spine(self) -> DataFrame:
@@ -58,7 +68,7 @@ class Analysis:
     @cached_property
     def links(self) -> DataFrame:
         """Non-root spans with their parents; one join serves pairs and reassembly."""
-        return write_scratch(reassembly.parent_links(self.spans), "links")
+        return self.layout.write(reassembly.parent_links(self.spans), "links")
 
     @property
     def any_pairs(self) -> DataFrame:
@@ -72,11 +82,12 @@ class Analysis:
 
     @cached_property
     def seeds(self) -> DataFrame:
-        return write_scratch(reassembly.span_seeds(self.spans, self.links), "seeds")
+        keep = (lambda df: self.layout.write(df, "doubled")) if self.layout.buckets else checkpoint
+        return self.layout.write(reassembly.span_seeds(self.spans, self.links, keep), "seeds")
 
     @cached_property
     def summaries(self) -> DataFrame:
-        return write_scratch(reassembly.summarize(self.seeds), "trace_summaries")
+        return self.layout.write(reassembly.summarize(self.seeds), "trace_summaries")
 
     @property
     def classifications(self) -> DataFrame:

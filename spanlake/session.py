@@ -20,6 +20,11 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # Hash instead of sort a join whose every shuffled partition proved small.
     "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
+    # Tables bucketed by trace join on (trace, span) without a shuffle.
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
+    # Recursive queries end by themselves: every service of a window is met once.
+    "spark.sql.cteRecursionRowLimit": "-1",
+    "spark.sql.cteRecursionLevelLimit": "-1",
     # Attributes sent twice: the last one stands, as in a map assignment.
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
 }

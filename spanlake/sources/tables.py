@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanlake.functions.columns import int_div, seconds_to_date
+from spanlake.functions.columns import seconds_to_date
 from spanlake.operators.dedup import latest_version
 from spanlake.schemas import KEYS, NS, SCHEMAS, TIME_COLUMN
 from spanlake.session import exists, file_system, scratch_scope, write_scratch
+from spanlake.sources.layout import BLOOM, day
 
 
 def _day(table: str) -> Column:
     column = F.col(TIME_COLUMN[table])
-    return seconds_to_date(int_div(column, NS) if table == "spans" else column)
+    return day(column) if table == "spans" else seconds_to_date(column)
 
 
 class TableStore:
@@ -40,9 +41,13 @@ class TableStore:
         if table in TIME_COLUMN:
             rows = rows.withColumn("day", _day(table))
             partitions = ["day", *partitions]
+        rows = rows.withColumns({"writer": F.lit(writer), "version": F.lit(int(version)).cast("bigint")})
+        if "trace_id" in columns:
+            # Sorted files with Bloom filters: a look-up of one trace skips what cannot hold it.
+            rows = rows.sortWithinPartitions(*partitions, "trace_id")
         (
-            rows.withColumns({"writer": F.lit(writer), "version": F.lit(int(version)).cast("bigint")})
-            .write.partitionBy(*partitions)
+            rows.write.partitionBy(*partitions)
+            .options(**(BLOOM if "trace_id" in columns else {}))
             .option("partitionOverwriteMode", "dynamic")
             .mode("overwrite")
             .parquet(self.path(table))

@@ -30,7 +30,7 @@ from spanlake.schemas import (
     WATERMARK_SECONDS,
     WINDOW_SECONDS,
 )
-from spanlake.session import delete, exists, scratch_scope, write_scratch
+from spanlake.session import delete, exists, file_system, scratch_scope, write_scratch
 from spanlake.sources.tables import TableStore
 from spanlake.streaming.ingest import start, writer_of
 
@@ -81,7 +81,10 @@ class WindowProcessor:
             self.progress_path
         )
         # Earlier rows of this writer say nothing more: one is left besides the last.
-        for old in range(max(0, batch - 20), batch - 1):
+        fs, at = file_system(self.store.spark, f"{self.progress_path}/writer={writer}")
+        names = [status.getPath().getName() for status in fs.listStatus(at)]
+        earlier = sorted(int(n.removeprefix("batch=")) for n in names if n.startswith("batch="))
+        for old in [n for n in earlier if n < batch][:-1]:
             delete(self.store.spark, f"{self.progress_path}/writer={writer}/batch={old}")
 
     def process_batch(self, batch_spans: DataFrame, batch: int, writer: str = "0") -> None:
@@ -100,7 +103,8 @@ class WindowProcessor:
             closed_to = max(low // NS, first_seen // NS - self.lookback_seconds) // w * w
         clock = last_seen if clock is None else max(clock, last_seen)
         late = arrived_late(with_window(stored, self.window_seconds), self.window_seconds, self.watermark_seconds)
-        closed_to = self._close(clock, closed_to, late)
+        closed_to = self._close(clock, closed_to)
+        self._count_late(late, writer, batch)
         self._save_progress(clock, closed_to, writer, batch)
 
     def advance(self, now: float) -> None:
@@ -109,24 +113,28 @@ class WindowProcessor:
         if closed_to is None:
             return
         clock = max(clock or 0, int(now * NS))
-        closed_to = self._close(clock, closed_to, None)
+        closed_to = self._close(clock, closed_to)
         self._save_progress(clock, closed_to, "clock", closed_to)
 
-    def _close(self, clock_ns: int, closed_to: int, late: DataFrame | None) -> int:
+    def _close(self, clock_ns: int, closed_to: int) -> int:
         w = self.window_seconds
         until = (clock_ns - self.watermark_seconds * NS) // (w * NS) * w
-        with scratch_scope(self.store.spark):
-            if until > closed_to:
+        if until > closed_to:
+            with scratch_scope(self.store.spark):
                 self.process_windows(closed_to, until, until)
-            if late is not None:
-                # By the window they came too late for; a later batch adds a row of its own.
-                counts = late.groupBy("window_start").agg(F.count("*").alias("value"))
-                rows = counts.select(
-                    "window_start", F.lit("late_spans").alias("metric"), F.lit(str(clock_ns)).alias("label"), "value"
-                )
-                self.store.write("window_counters", rows, clock_ns, "late")
         return max(until, closed_to)
 
+    def _count_late(self, late: DataFrame, writer: str, batch: int) -> None:
+        """The batch's late spans by the window they came too late for.
+
+        Rows and version are the batch's own: one repeated after a failure replaces
+        its counts, and one that does not move the clock adds to those before.
+        """
+        counts = late.groupBy("window_start").agg(F.count("*").alias("value"))
+        label = F.lit(f"{writer}:{batch}")
+        rows = counts.select("window_start", F.lit("late_spans").alias("metric"), label.alias("label"), "value")
+        self.store.write("window_counters", rows, batch, f"late-{writer}")
+
     def process_windows(self, first: int, until: int, version: int) -> None:
         """Analyse the windows starting in [first, until) and write their rows."""
         store, w = self.store, self.window_seconds

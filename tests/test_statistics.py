@@ -27,6 +27,51 @@ def test_exact_percentiles_and_mad_of_skewed_groups(spark, spread):
         assert mads[k]["median"] == median and mads[k]["mad"] == np.median(np.abs(values - median))
 
 
+@pytest.mark.parametrize("spread", [3, 10**4, 2**61])
+def test_full_buckets_are_split_further(spark, monkeypatch, spread):
+    """One bucket with far more values than a task may rank, and many copies of one value."""
+    monkeypatch.setattr(quantiles, "RANKED", 40)
+    monkeypatch.setattr(quantiles, "DIGITS", 3)
+    seen = []
+    original = quantiles._cumulative
+    monkeypatch.setattr(quantiles, "_cumulative", lambda keys, order: (seen.append(order), original(keys, order))[1])
+    rng = np.random.default_rng(7)
+    data = {
+        "hot": 2**62 + rng.integers(0, spread, 1500),  # one bucket
+        "both": np.concatenate([rng.integers(-spread, spread, 700), np.full(600, 5)]),
+        "few": np.array([3, 9]),
+    }
+    df = spark.createDataFrame([(k, int(v)) for k, vs in data.items() for v in vs], "k string, v bigint")
+    got = {r.k: r for r in quantiles.percentiles(df, ["k"], "v", [0.25, 0.5, 0.99]).collect()}
+    assert seen.count("_cell") >= (2 if spread > 40 else 1)
+    for k, values in data.items():
+        want = np.percentile(np.array(values, object), [25, 50, 99])
+        assert np.allclose([got[k][f"p{i}"] for i in range(3)], [float(w) for w in want], rtol=1e-12)
+    if spread > 2**60:
+        return  # four times a deviation is beyond a BIGINT
+    small = df.filter("k <> 'hot'").union(df.filter("k = 'hot'").selectExpr("k", "v - 4611686018427387904 + 1048576"))
+    mads = {r.k: r for r in quantiles.median_mad(small, ["k"], "v").collect()}
+    for k, values in data.items():
+        values = values - 2**62 + 2**20 if k == "hot" else values
+        assert mads[k]["median"] == np.median(values) and mads[k]["mad"] == np.median(np.abs(values - np.median(values)))
+
+
+def test_no_task_ranks_more_than_the_bound(spark, monkeypatch):
+    monkeypatch.setattr(quantiles, "RANKED", 100)
+    monkeypatch.setattr(quantiles, "DIGITS", 4)
+    values = spark.range(20_000).selectExpr("1 AS g", "id * 7919 % 65536 AS v", "CAST(1 AS BIGINT) AS _n", "CAST(0 AS BIGINT) AS _lo", "CAST(20000 AS BIGINT) AS n")
+    from pyspark.sql import functions as F
+
+    ranks = [F.lit(137), F.lit(9_999)]
+    out = quantiles._ranked(values, ["g", "n"], ranks, "v", 20_000).collect()
+    want = np.sort(np.arange(20_000) * 7919 % 65536)
+    assert {r._x for r in out if any(r._lo <= k < r._hi for k in (137, 9_999))} == {want[137], want[9_999]}
+    per_task = {}
+    for r in out:
+        per_task[r._cell] = per_task.get(r._cell, 0) + 1
+    assert len(per_task) == 2 and max(per_task.values()) <= 100
+
+
 def test_service_and_edge_stats(spark):
     df = spans(
         spark,
