@@ -96,8 +96,8 @@ OP12 = """
 WITH RECURSIVE usable AS MATERIALIZED (
   SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
   WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
-    AND len(list_filter(embedding, v -> v IS NULL OR NOT isfinite(v))) = 0
-    AND len(list_filter(embedding, v -> v <> 0)) > 0
+    AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0
+    AND len(list_filter(embedding, lambda v: v <> 0)) > 0
 ), pairs AS MATERIALIZED (
   SELECT p.vec_id AS a, q.vec_id AS b FROM usable p JOIN usable q USING (label)
   WHERE p.vec_id <> q.vec_id AND len(p.x) = len(q.x)
