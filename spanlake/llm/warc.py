@@ -11,6 +11,8 @@ doubles the known part of the chain in each round of equi-joins and keeps only w
 reachable, so a magic inside a payload is no record, whatever follows it. Only
 numbers take part in that; payloads stay where they were read, and are digested there.
 The pieces of a payload that holds a magic are put together again, record by record.
+Those that look like records themselves are read a second time for that, and known by
+file and content: the order in which a second reading meets them says nothing.
 
 Defined results: a null payload is empty; a null page id or url is an absent
 header; among equal payloads the largest id is the response (without any id all are
@@ -80,7 +82,7 @@ def write(pages: DataFrame, path: str, compression: str = "gzip") -> None:
 
 
 def numbered(df: DataFrame) -> DataFrame:
-    """(file, nth, value): pieces between magics with their order in the file. The same for every scan of it."""
+    """(file, nth, value): pieces between magics with their order in the file, which holds for one reading only."""
     nth = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
     return df.select(F.col("_metadata.file_path").alias("file"), nth.alias("nth"), "value")
 
@@ -121,6 +123,7 @@ def candidates(df: DataFrame) -> DataFrame:
     return rows.select(
         "file", "nth", "n", "type", "id", "refers", "claimed", "head_n", "length", "span", "whole",
         F.when(F.col("whole"), F.sha1(payload)).alias("digest"),
+        F.when(F.col("whole"), F.sha1("head")).alias("head_digest"),
         F.when(~F.col("whole"), body).alias("body"),
     )
 
@@ -172,16 +175,35 @@ def _assembled(df: DataFrame, pieces: DataFrame, placed: DataFrame, broken: Data
     parts = marks.where("NOT whole").join(pieces.where("body IS NOT NULL").select("file", "nth", "body"), ["file", "nth"])
     forged = marks.where("whole")
     if forged.limit(1).count():
-        again = numbered(df).select("file", "nth", F.col("value").cast("binary").alias("body"))
-        parts = parts.unionByName(again.join(F.broadcast(forged) if is_small(forged) else forged, ["file", "nth"]).select(parts.columns))
+        bodies = _read_again(df, forged)
+        parts = parts.unionByName(forged.join(bodies, ["file", "n", "head_digest", "digest"]).select(parts.columns))
     magic = F.lit(MAGIC).cast("binary")
     whole = parts.groupBy("file", "start").agg(
-        *[F.first(c).alias(c) for c in ("head_n", "id", "type", "refers", "claimed", "bytes")],
+        *[F.first(c).alias(c) for c in ("head_n", "id", "type", "refers", "claimed", "bytes", "stop")],
         F.array_sort(F.collect_list(F.struct("piece", "body"))).alias("parts"),  # one record's bytes
     )
     text = F.aggregate("parts", F.lit("").cast("binary"), lambda a, x: F.when(F.length(a) == 0, x["body"]).otherwise(F.concat(a, magic, x["body"])))
-    payload = F.substring(text, (F.col("head_n") + len(END) + 1).cast("int"), F.col("bytes").cast("int"))
-    return whole.select("id", "type", "refers", "claimed", "bytes", F.sha1(payload).alias("digest"))
+    whole = whole.withColumn("text", text)
+    complete = F.length("text") + len(MAGIC) >= F.col("stop") - F.col("start")
+    payload = F.substring("text", (F.col("head_n") + len(END) + 1).cast("int"), F.col("bytes").cast("int"))
+    digest = F.when(complete, F.sha1(payload)).otherwise(F.raise_error(F.concat(F.lit("parts missing of "), F.col("id"))).cast("string"))
+    return whole.select("id", "type", "refers", "claimed", "bytes", digest.alias("digest"))
+
+
+def _read_again(df: DataFrame, forged: DataFrame) -> DataFrame:
+    """(file, n, head_digest, digest, body) of the pieces with these contents, each content once."""
+    sizes = forged.select("file", "n").distinct()
+    rows = df.select(F.col("_metadata.file_path").alias("file"), "value").withColumn("n", F.octet_length("value").cast("long"))
+    rows = rows.join(F.broadcast(sizes) if is_small(sizes) else sizes, ["file", "n"], "left_semi")
+    at = F.instr("value", END)
+    body = F.col("value").cast("binary")
+    head_n = F.octet_length(F.substring("value", F.lit(1), at - 1))
+    payload = F.substring(body, head_n + len(END) + 1, (F.col("n") - head_n - 2 * len(END)).cast("int"))
+    keyed = rows.where(at > 0).select(
+        "file", "n", F.sha1(F.substring("value", F.lit(1), at - 1)).alias("head_digest"), F.sha1(payload).alias("digest"), body.alias("body")
+    )
+    keys = forged.select("file", "n", "head_digest", "digest").distinct()
+    return keyed.join(keys, ["file", "n", "head_digest", "digest"], "left_semi").dropDuplicates(["file", "n", "head_digest", "digest"])
 
 
 def _covering(placed: DataFrame, broken: DataFrame, fields: list) -> DataFrame:
@@ -190,7 +212,7 @@ def _covering(placed: DataFrame, broken: DataFrame, fields: list) -> DataFrame:
     starts = placed.join(marks, ["file", "at"], "left").withColumn("start", F.when(F.col("stop").isNotNull(), F.col("at")))
     before = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     spread = starts.select(
-        "file", "nth", "whole", F.col("at").alias("piece"), F.last("start", ignorenulls=True).over(before).alias("start"), F.last("stop", ignorenulls=True).over(before).alias("stop")
+        "file", "nth", "whole", "n", "head_digest", "digest", F.col("at").alias("piece"), F.last("start", ignorenulls=True).over(before).alias("start"), F.last("stop", ignorenulls=True).over(before).alias("stop")
     ).where("piece < stop")
     return spread.join(broken.select("file", F.col("at").alias("start"), "head_n", *fields), ["file", "start"])
 

@@ -48,6 +48,24 @@ def test_magic_inside_payloads_is_no_record(spark):
     assert got(W.round_trip(pages(spark, rows))) == expected(rows)
 
 
+def test_another_split_of_the_second_reading(spark, monkeypatch, tmp_path):
+    """Forged records are found again however the files are dealt to tasks by then."""
+    rows = [(i, "u", f"page {i} " + FORGED * (i % 4)) for i in range(40)]
+    W.write(pages(spark, rows).repartition(6), str(tmp_path / "w"), compression="none")
+    name, before = "spark.sql.files.maxPartitionBytes", spark.conf.get("spark.sql.files.maxPartitionBytes")
+    original = W._read_again
+
+    def again(df, forged):
+        spark.conf.set(name, "700")
+        return original(df, forged)
+
+    monkeypatch.setattr(W, "_read_again", again)
+    try:
+        assert got(W.resolved(W.read(W.lines(spark, str(tmp_path / "w"))))) == expected(rows)
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_many_records_of_one_file(spark):
     rows = [(i, "u", f"page {i} " * (i % 40)) for i in range(300)]
     assert got(W.round_trip(pages(spark, rows).coalesce(1))) == expected(rows)
