@@ -40,6 +40,7 @@ def main() -> None:
         timings["branches"] = round(time.perf_counter() - begin, 3)
     total = round(sum(timings[s] for s in (*tables.SHARED, "branches")), 3)
     stored = tables.spans.count()
+    catalog.arrivals(spark, sf_dir)  # the stream's input files
     for name in ["stream_ingest", *READS]:
         run = catalog.REGISTRY[name][0]
         timed(name, lambda: run(spark, sf_dir).write.format("noop").mode("overwrite").save())

@@ -1346,14 +1346,19 @@ _ARRIVALS: dict[tuple[str, str], str] = {}
 _PROCESSED: dict[tuple[str, str], TableStore] = {}
 
 
-def _stream(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
-    """The received spans, in three files by arrival, as a stream."""
+def arrivals(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with the received spans in three files by arrival."""
     key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
     if key not in _ARRIVALS:
         path = scratch_path(spark, "arrivals")
         tabular.arrivals(spark, sf_dir, path, 3)
         _ARRIVALS[key] = path
-    return tabular.span_stream(spark, _ARRIVALS[key], **options)
+    return _ARRIVALS[key]
+
+
+def _stream(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+    """The received spans as a stream."""
+    return tabular.span_stream(spark, arrivals(spark, sf_dir), **options)
 
 
 def processed(spark: SparkSession, sf_dir: str) -> TableStore:

@@ -186,13 +186,29 @@ def normalize_span_row(flat: DataFrame, ingested_at_ns: Column | None = None) ->
     )
 
 
-def span_topic(spark: SparkSession, servers: str, topic: str, **options) -> DataFrame:
+BATCH_SPANS, BATCH_SECONDS = 5000, 2.0
+
+
+def topic_options(servers: str, topic: str, batch_size: int = BATCH_SPANS, batch_seconds: float = BATCH_SECONDS, **options) -> dict[str, str]:
+    """Options of the Kafka source: a micro-batch begins once ``batch_size`` records wait or the first has
+    waited ``batch_seconds``, whichever comes first. ``options`` go over these."""
+    own = {
+        "kafka.bootstrap.servers": servers,
+        "subscribe": topic,
+        "minOffsetsPerTrigger": str(batch_size),
+        "maxTriggerDelay": f"{round(batch_seconds * 1000)}ms",
+    }
+    return own | {name: str(value) for name, value in options.items()}
+
+
+def span_topic(spark: SparkSession, servers: str, topic: str, batch_size: int = BATCH_SPANS, batch_seconds: float = BATCH_SECONDS, **options) -> DataFrame:
     """Export requests from a Kafka topic (needs the Kafka connector on the class path).
 
-    A micro-batch takes all that has arrived unless ``options`` limit it.
+    The source itself waits for a batch's size or time, so start its stream with an
+    interval well below ``batch_seconds``.
     """
-    stream = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic)
-    return parse_otlp(stream.options(**options).load())
+    stream = spark.readStream.format("kafka").options(**topic_options(servers, topic, batch_size, batch_seconds, **options))
+    return parse_otlp(stream.load())
 
 
 def any_value(**kinds: Column) -> Column:

@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanlake.functions.columns import seconds_to_date
 from spanlake.operators.dedup import latest_version
 from spanlake.schemas import KEYS, NS, SCHEMAS, TIME_COLUMN
-from spanlake.session import exists, file_system, scratch_scope, write_scratch
-from spanlake.sources.layout import BLOOM, day
+from spanlake.session import delete, exists, file_system, scratch_scope, write_scratch
+from spanlake.sources.layout import BLOOM
+from spanlake.sources.layout import day as day_of
 
 
 def _day(table: str) -> Column:
     column = F.col(TIME_COLUMN[table])
-    return day(column) if table == "spans" else seconds_to_date(column)
+    return day_of(column) if table == "spans" else seconds_to_date(column)
 
 
 class TableStore:
@@ -115,6 +118,41 @@ class TableStore:
                 if status.getPath().getName() != stay.rsplit("/", 1)[1]:
                     fs.delete(status.getPath(), True)
 
+    def merge_batches(self, table: str, writer: str, before: int, count: int) -> None:
+        """One version in place of the last ``count`` versions of a writer below ``before``, day by day.
+
+        Only that writer may call it, between two of its batches: no batch below
+        ``before`` is written again. Newest rows stay, as in :meth:`compact`.
+        """
+        if table not in KEYS or "day" not in self.versions(table).columns:
+            raise ValueError(f"{table} has no key and day to merge by")
+        for day in self._names(self.path(table), "day="):
+            folder = f"{self.path(table)}/day={day}/writer={writer}"
+            mine = sorted(int(v) for v in self._names(folder, "version="))
+            mine = [v for v in mine if before - count <= v < before]
+            if len(mine) < 2:
+                continue
+            stored = self.versions(table).filter(
+                (F.col("day") == F.lit(day).cast("date")) & (F.col("writer") == writer) & F.col("version").between(mine[0], mine[-1])
+            )
+            with scratch_scope(self.spark):
+                self.write(table, write_scratch(self._newest(table, stored), "merged"), mine[-1], writer)
+            for version in mine[:-1]:
+                delete(self.spark, f"{folder}/version={version}")
+
+    def _names(self, folder: str, prefix: str) -> list[str]:
+        fs, at = file_system(self.spark, folder)
+        if not fs.exists(at):
+            return []
+        names = [status.getPath().getName() for status in fs.listStatus(at)]
+        return sorted(name.removeprefix(prefix) for name in names if name.startswith(prefix))
+
+    def keep_days(self, table: str, days: int) -> None:
+        """:meth:`retain` counted back from the newest day that has rows."""
+        stored = self._names(self.path(table), "day=")
+        if stored:
+            self.retain(table, str(date.fromisoformat(stored[-1]) - timedelta(days)))
+
     def expired_days(self, table: str, before: str) -> DataFrame:
         return self.versions(table).filter(F.col("day") < F.lit(before).cast("date")).select("day").distinct()
 

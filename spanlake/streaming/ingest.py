@@ -5,11 +5,11 @@ from __future__ import annotations
 import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
-from spanlake.functions.columns import duration_ns, is_error, ns_to_timestamp
+from spanlake.functions.columns import duration_ns, floor_to, is_error, ns_to_timestamp
 from spanlake.operators.aggregates import as_service_stats
 from spanlake.operators.dedup import latest_version
 from spanlake.operators.quantiles import percentiles
@@ -19,6 +19,9 @@ from spanlake.session import exists
 from spanlake.sources.tables import TableStore
 
 BATCH_INTERVAL = "2 seconds"
+MERGE_EVERY, RETENTION_DAYS = 100, 30
+#: Ranges of start times that a batch is compared with.
+RANGES = 32
 
 
 def start(writer: DataStreamWriter, checkpoint: str, available_now: bool = False, interval: str = BATCH_INTERVAL) -> StreamingQuery:
@@ -40,16 +43,36 @@ def writer_of(spark: SparkSession, checkpoint: str) -> str:
     return spark.read.text(path).first()[0]
 
 
-def stream_ingest(spans: DataFrame, store: TableStore, checkpoint: str, **options) -> StreamingQuery:
-    """Append every micro-batch to the span table.
+def maintain(store: TableStore, table: str, writer: str, batch: int, every: int = MERGE_EVERY, days: int | None = RETENTION_DAYS) -> None:
+    """What a stream does for its table between two batches.
+
+    After every ``every`` batches those become one version, after ``every`` times as
+    many these do, and so on: a day of batches leaves less than ``every`` versions a
+    level, and a row is rewritten once a level. Days past the retention are dropped.
+    """
+    size, merged = every, False
+    while batch and batch % size == 0:
+        store.merge_batches(table, writer, batch, size)
+        size, merged = size * every, True
+    if merged and days is not None:
+        store.keep_days(table, days)
+
+
+def stream_ingest(
+    spans: DataFrame, store: TableStore, checkpoint: str, merge_every: int = MERGE_EVERY, retention_days: int | None = RETENTION_DAYS, **options
+) -> StreamingQuery:
+    """Append every micro-batch to the span table, and keep the table in order.
 
     The batch id is the version written, so a batch repeated after a failure
     replaces itself; copies sent twice by the producers go at read time.
     """
     writer = writer_of(store.spark, checkpoint)
-    return start(
-        spans.writeStream.foreachBatch(lambda df, batch: store.write("spans", df, batch, writer)), checkpoint, **options
-    )
+
+    def save(df: DataFrame, batch: int) -> None:
+        maintain(store, "spans", writer, batch, merge_every, retention_days)
+        store.write("spans", df, batch, writer)
+
+    return start(spans.writeStream.foreachBatch(save), checkpoint, **options)
 
 
 def with_event_time(spans: DataFrame, delay_seconds: int = WATERMARK_SECONDS) -> DataFrame:
@@ -64,23 +87,27 @@ def with_event_time(spans: DataFrame, delay_seconds: int = WATERMARK_SECONDS) ->
     )
 
 
-def stream_dedup(spans: DataFrame, store: TableStore, checkpoint: str, **options) -> StreamingQuery:
+def stream_dedup(
+    spans: DataFrame, store: TableStore, checkpoint: str, merge_every: int = MERGE_EVERY, retention_days: int | None = RETENTION_DAYS, **options
+) -> StreamingQuery:
     """The first copy of every (trace_id, span_id) to the span table, however late it comes.
 
-    A micro-batch is held against the stored spans of its own days (pruned), not
-    against state with a watermark, behind which rows would be dropped.
+    A micro-batch is held against the stored spans that start when its own do, not
+    against state with a watermark, behind which rows would be dropped. Files are from
+    a batch or a few, so of a day only those of the batch's ranges of time are read,
+    however much the day holds.
     """
     writer = writer_of(store.spark, checkpoint)
 
     def save(df: DataFrame, batch: int) -> None:
+        maintain(store, "spans", writer, batch, merge_every, retention_days)
         first = latest_version(df.withColumn("_first", -F.col("ingested_at_unix_nano")), KEYS["spans"], "_first").drop("_first")
         first = first.persist()
         try:
-            low, high = first.agg(F.min("start_time_unix_nano"), F.max("start_time_unix_nano")).first()
-            if low is None:
+            ranges = start_ranges(first)
+            if not ranges:
                 return
-            days = [F.timestamp_seconds(F.lit(at // NS)).cast("date") for at in (low, high)]
-            known = store.versions("spans").filter(F.col("day").between(*days))
+            known = store.versions("spans").filter(_within(ranges))
             known = known.filter((F.col("writer") != writer) | (F.col("version") != batch))  # not what a retry wrote
             store.write("spans", first.join(known.select(*KEYS["spans"]), KEYS["spans"], "left_anti"), batch, writer)
         finally:
@@ -89,6 +116,26 @@ def stream_dedup(spans: DataFrame, store: TableStore, checkpoint: str, **options
     return start(spans.writeStream.foreachBatch(save), checkpoint, **options)
 
 
+def start_ranges(spans: DataFrame, most: int = RANGES, cell_seconds: int = 600) -> list[tuple[int, int]]:
+    """Ranges of start times (ns, inclusive) that cover all spans; the narrowest gaps are closed first."""
+    cell = floor_to(F.col("start_time_unix_nano"), cell_seconds * NS)
+    cells = spans.groupBy(cell.alias("cell")).agg(F.min("start_time_unix_nano").alias("low"), F.max("start_time_unix_nano").alias("high"))
+    # A row per ten minutes of what one batch covers.
+    ranges = sorted((r.low, r.high) for r in cells.collect())
+    while len(ranges) > most:
+        k = min(range(len(ranges) - 1), key=lambda i: ranges[i + 1][0] - ranges[i][1])
+        ranges[k : k + 2] = [(ranges[k][0], ranges[k + 1][1])]
+    return ranges
+
+
+def _within(ranges: list[tuple[int, int]]) -> Column:
+    out = F.lit(False)
+    for low, high in ranges:
+        days = [F.timestamp_seconds(F.lit(at // NS)).cast("date") for at in (low, high)]
+        out = out | (F.col("day").between(*days) & F.col("start_time_unix_nano").between(low, high))
+    return out
+
+
 def service_frequencies(
     spans: DataFrame, window_seconds: int = WINDOW_SECONDS, delay_seconds: int = WATERMARK_SECONDS
 ) -> DataFrame:

@@ -32,7 +32,7 @@ from spanlake.schemas import (
 )
 from spanlake.session import delete, exists, file_system, scratch_scope, write_scratch
 from spanlake.sources.tables import TableStore
-from spanlake.streaming.ingest import start, writer_of
+from spanlake.streaming.ingest import RETENTION_DAYS, maintain, start, writer_of
 
 _PROGRESS = "clock_ns bigint, closed_to bigint, writer string, batch bigint"
 _STATS = ["call_count", "error_count", "latency_p50_ms", "latency_p95_ms", "latency_p99_ms"]
@@ -48,8 +48,10 @@ class WindowProcessor:
         min_samples: int = BASELINE_MIN_SAMPLES,
         grouping_seconds: int = GROUPING_LOOKBACK_SECONDS,
         root_service: str = ROOT_SERVICE,
+        retention_days: int | None = RETENTION_DAYS,
     ):
         self.store = store
+        self.retention_days = retention_days
         self.window_seconds = window_seconds
         self.watermark_seconds = watermark_seconds
         self.lookback_seconds = lookback_seconds
@@ -88,6 +90,7 @@ class WindowProcessor:
             delete(self.store.spark, f"{self.progress_path}/writer={writer}/batch={old}")
 
     def process_batch(self, batch_spans: DataFrame, batch: int, writer: str = "0") -> None:
+        maintain(self.store, "spans", writer, batch, days=self.retention_days)
         self.store.write("spans", batch_spans, batch, writer)
         stored = self.store.versions("spans").filter((F.col("writer") == writer) & (F.col("version") == batch))
         low, first_seen, last_seen = stored.agg(

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from spanlake.operators import incidents, windows
 from spanlake.plans.pipeline import Analysis
 from spanlake.session import scratch_path
+from spanlake.sources import otlp
 from spanlake.sources.tables import TableStore
 from spanlake.streaming import ingest
 from spanlake.streaming.incidents import stream_open_incidents
@@ -205,3 +206,63 @@ def test_late_detections_join_or_stand_alone(spark):
     ingest.run_to_end(ingest.start(out, scratch_path(spark, "cp"), available_now=True))
     last = spark.read.parquet(updates).groupBy("incident_id").agg(F.max_by(F.struct("start_window", "end_window", "window_count", "closed"), "window_count").alias("r"))
     assert rows(last, "incident_id", "r.*") == [("service:a:x:660", 660, 660, 1, True), ("service:a:x:900", 840, 900, 2, False)]
+
+
+def test_a_day_of_micro_batches_leaves_few_files(spark):
+    """Every batch is a file at first; merged by level, their number stays bounded and no span is lost."""
+    path, n = scratch_path(spark, "arrivals"), 11
+    given = [span(f"s{k % 6}", start=k * S, ingested=k * S, trace=f"t{k % 6}") for k in range(n)]
+    given += [span("old", start=-40 * 86_400 * S, ingested=0)]
+    for row in given:
+        spans(spark, row).drop("window_start").coalesce(1).write.mode("append").parquet(path)
+    store = TableStore(spark, scratch_path(spark, "store"))
+    run = ingest.stream_ingest(stream(spark, path), store, scratch_path(spark, "cp"), merge_every=3, available_now=True)
+    ingest.run_to_end(run)
+    assert rows(store.read("spans").filter("span_id <> 'old'"), "span_id", "ingested_at_unix_nano") == sorted(
+        (f"s{k % 6}", k * S) for k in range(n - 6, n)
+    )
+    assert store.versions("spans").filter("start_time_unix_nano >= 0").select("version").distinct().count() <= 5
+
+
+def test_merging_goes_on_after_a_failure(spark):
+    store = TableStore(spark, scratch_path(spark, "store"))
+    df = spans(spark, *[span(f"s{k}", start=k * S) for k in range(4)]).drop("window_start")
+    for version in range(4):
+        store.write("spans", df.withColumn("ingested_at_unix_nano", F.lit(version).cast("bigint")), version, "w")
+    store.write("spans", df, 7, "other")
+    before = rows(store.read("spans"), *COLUMNS)
+    # as if it had ended before the merged versions were deleted
+    store.write("spans", store.versions("spans").filter("writer = 'w' AND version = 3").drop("day", "writer", "version"), 3, "w")
+    ingest.maintain(store, "spans", "w", 4, every=4, days=None)
+    ingest.maintain(store, "spans", "w", 4, every=4, days=None)
+    assert rows(store.read("spans"), *COLUMNS) == before
+    assert rows(store.versions("spans").select("writer", "version").distinct(), "writer", "version") == [("other", 7), ("w", 3)]
+
+
+def test_size_or_time_at_the_topic():
+    options = otlp.topic_options("broker:9092", "spans", startingOffsets="earliest", maxOffsetsPerTrigger=9000)
+    assert options["minOffsetsPerTrigger"] == "5000" and options["maxTriggerDelay"] == "2000ms"
+    assert options["maxOffsetsPerTrigger"] == "9000" and options["startingOffsets"] == "earliest" and options["subscribe"] == "spans"
+
+
+def test_dedup_reads_the_batches_own_ranges_of_time(spark):
+    hours = [span("x", start=h * 3600 * S) for h in range(50)]
+    assert len(ingest.start_ranges(spans(spark, *hours))) == ingest.RANGES
+    df = spans(spark, span("a", start=5 * S), span("b", start=9 * S), span("c", start=86_400 * S + 1))
+    assert ingest.start_ranges(df) == [(5 * S, 9 * S), (86_400 * S + 1, 86_400 * S + 1)]
+    assert ingest.start_ranges(df.limit(0)) == []
+
+
+def test_late_spans_of_batches_at_one_clock_add_up(spark):
+    """Late spans that arrived out of order do not move the clock; a repeated batch counts once."""
+    store = TableStore(spark, scratch_path(spark, "store"))
+    processor = WindowProcessor(store, **SETTINGS)
+    one = lambda name, arrived: spans(spark, span(name, start=10 * S, ingested=arrived * S)).drop("window_start")
+    processor.process_batch(spans(spark, span("r", start=895 * S, ingested=900 * S)).drop("window_start"), 0, "w")
+    processor.process_batch(one("a", 300), 1, "w")
+    processor.process_batch(one("b", 310).union(one("c", 320)), 2, "w")
+    processor.process_batch(one("b", 310).union(one("c", 320)), 2, "w")
+    late = store.read("window_counters").filter("metric = 'late_spans'")
+    assert late.agg(F.sum("value")).first()[0] == 3
+    names = store._names(f"{processor.progress_path}/writer=w", "batch=")
+    assert names == ["1", "2"]
