@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanlake.llm.arrays import column, flat, slices
-from spanlake.llm.tables import is_small, mapped, write_scratch
+from spanlake.llm.tables import mapped, split_by_keys, write_scratch
 from spanlake.session import scratch_path
 
 UNIT, LEAST, MOST, MASK = 576, 1024, 16_384, (1 << 12) - 1 << 20
@@ -44,7 +44,7 @@ DIGEST = 32
 #: Gear values: a fixed random number for each byte.
 GEAR = np.random.Generator(np.random.PCG64(576)).integers(0, 1 << 32, 256, dtype=np.uint32)
 
-MANIFESTS = "doc_id long, object binary, n_bytes long, digests array<binary>, lengths array<int>"
+MANIFESTS = "doc_id long, row_hash long, object binary, n_bytes long, digests array<binary>, lengths array<int>"
 STORED = "object binary, manifest binary, own binary, n_shared int"
 FEATURES = "object binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
@@ -114,10 +114,10 @@ def _manifests(batches):
         rows = [(o, n, d, np.diff(b).tolist()) for _, b, d, o, n in _described(column(batch, "text"))]
         yield pa.RecordBatch.from_arrays(
             [
-                column(batch, "doc_id").cast(pa.int64()), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int64()),
+                column(batch, "doc_id").cast(pa.int64()), column(batch, "row_hash"), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int64()),
                 pa.array([r[2] for r in rows], pa.list_(pa.binary())), pa.array([r[3] for r in rows], pa.list_(pa.int32())),
             ],
-            names=["doc_id", "object", "n_bytes", "digests", "lengths"],
+            names=["doc_id", "row_hash", "object", "n_bytes", "digests", "lengths"],
         )
 
 
@@ -153,7 +153,8 @@ def _stored(batches):
 
 def write(docs: DataFrame, path: str) -> DataFrame:
     """Stores the payloads under ``path``; returns (doc_id, object, n_bytes) of every row."""
-    rows = write_scratch(mapped(docs.select("doc_id", "text"), _manifests, MANIFESTS), "manifests")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.col("doc_id").cast("long"), "text").alias("row_hash"))
+    rows = write_scratch(mapped(texts, _manifests, MANIFESTS), "manifests")
     # One row per distinct payload: the row that keeps it, and its chunks.
     objects = rows.groupBy("object").agg(F.min("doc_id").alias("keeper"), F.first("digests").alias("digests"))
     objects = write_scratch(objects, "objects")
@@ -168,27 +169,21 @@ def write(docs: DataFrame, path: str) -> DataFrame:
     plan = shared.groupBy("object").agg(F.collect_list("place").alias("shared"), F.collect_list(F.when(gives, F.col("place"))).alias("gives"))
     # Rows that differ from the rule "kept, nothing shared": copies of kept payloads, and objects with shared chunks.
     kept = write_scratch(objects.select("object", "keeper").join(plan, "object", "left"), "kept")
-    odd = rows.select("doc_id", "object").join(kept, "object").withColumn("keeps", F.col("doc_id").eqNullSafe(F.col("keeper")))
-    odd = odd.where("NOT keeps OR shared IS NOT NULL").select(F.col("doc_id").alias("odd_id"), "object", "keeps", "shared", "gives").distinct()
-    odd = write_scratch(odd, "decisions")
-    # Keyed by id and content, so that rows with one id and several texts stay apart.
-    texts = docs.select("doc_id", "text").withColumn("content", _content(F.col("text")))
-    odd = F.broadcast(odd) if is_small(odd) else odd
-    planned = texts.join(odd, texts["doc_id"].eqNullSafe(odd["odd_id"]) & (texts["content"] == odd["object"]), "left")
-    planned = planned.select("text", "object", F.coalesce("keeps", F.lit(True)).alias("keeps"), "shared", "gives")
+    odd = rows.select("doc_id", "row_hash", "object").join(kept, "object").withColumn("keeps", F.col("doc_id").eqNullSafe(F.col("keeper")))
+    odd = odd.where("NOT keeps OR shared IS NOT NULL").select(
+        F.col("doc_id").alias("odd_id"), F.col("row_hash").alias("odd_hash"), "object", "keeps", "shared", "gives"
+    )
+    odd = write_scratch(odd.distinct(), "decisions")
+    # Keyed by id and text, so that rows with one id and several texts stay apart.
+    stay, asked = split_by_keys(texts, F.col("r.row_hash"), odd.select("odd_hash"))
+    asked = asked.join(odd.hint("merge"), (F.col("row_hash") == F.col("odd_hash")) & F.col("doc_id").eqNullSafe(F.col("odd_id")), "left")
+    asked = asked.select("text", "object", F.coalesce("keeps", F.lit(True)).alias("keeps"), "shared", "gives")
+    none = lambda c: F.lit(None).cast(asked.schema[c].dataType).alias(c)
+    planned = stay.select("text", none("object"), F.lit(True).alias("keeps"), none("shared"), none("gives")).unionByName(asked)
     mapped(planned, _stored, STORED).write.option("compression", "zstd").parquet(path)
     return rows.select("doc_id", "object", "n_bytes")
 
 
-def _content(text):
-    """The digest of a padded payload, on the JVM."""
-    body = F.coalesce(text, F.lit("")).cast("binary")
-    n = F.octet_length(body)
-    pad = F.greatest(F.ceil(n / UNIT), F.lit(1)) * UNIT - n
-    fill = F.substring(F.unhex(F.lit("FF" * UNIT)), F.lit(1), pad.cast("int"))
-    return F.unhex(F.sha2(F.concat(body, fill), 256))
-
-
 def _featured(batches):
     """Rebuilds payloads from manifest, own bytes and the shared chunks that came along, and describes them."""
     for batch in batches:

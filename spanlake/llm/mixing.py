@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spanlake.llm.arrays import WHITE, column, flat, slices, sums
 from spanlake.llm.tables import is_small, mapped, write_scratch
@@ -205,10 +206,24 @@ def mix(docs: DataFrame, seed: str = SEED, **shares) -> DataFrame:
 def repeated(docs: DataFrame, seed: str = SEED, **shares) -> DataFrame:
     """The documents of the mix with all their columns, as often as it takes them.
 
-    Documents are known by doc_id here: rows that share one are taken alike.
+    Every row is decided by itself, where it is read: its size, weight and key are worked
+    out again and held against its source's cut. Texts do not move, and rows that share
+    an id (and so a key) are taken alike.
     """
-    taken = mix(docs, seed, **shares).where("copies > 0").groupBy(F.col("doc_id").alias("mix_id")).agg(F.max("copies").alias("mix_copies"))
-    taken = write_scratch(taken, "taken")
-    plain = docs.columns
-    out = docs.join(_hint(taken), docs["doc_id"].eqNullSafe(F.col("mix_id")))
-    return out.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int")))).select(*[docs[c] for c in plain])
+    rows = write_scratch(keyed(measured(docs), seed), "measured")
+    cut = cuts(rows, targets(rows, **shares))
+    # The columns as one struct, so that no name of theirs can clash with one used here.
+    plain = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    schema = T.StructType(
+        [T.StructField("row", plain.schema["row"].dataType), *[T.StructField(n, t) for n, t in (("doc_id", T.LongType()), ("source", T.StringType()), ("size", T.LongType()), ("weight", T.DoubleType()))]]
+    )
+
+    def run(batches):
+        names = ["doc_id", "source", "text"]
+        opened = (pa.RecordBatch.from_arrays([column(b, "row"), *[column(b, "row").field(n) for n in names]], names=["row", *names]) for b in batches)
+        for batch in slices(opened):
+            (found,) = _measured([batch])
+            yield pa.RecordBatch.from_arrays([column(batch, "row"), *found.columns], names=["row", *found.schema.names])
+
+    taken = decided(keyed(mapped(plain, run, schema), seed), cut).where("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select("row.*")

@@ -22,7 +22,7 @@ def op1_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = documents(spark, sf_dir), table(spark, sf_dir, "labels")
     out = toxicity.score(docs, toxicity.fit(docs, labels))
-    return out.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return out.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "swapped_score")
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

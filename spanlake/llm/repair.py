@@ -2,14 +2,15 @@
 
 Documents are range-partitioned and sorted by id, encoded, and cut into shards of
 about ``SHARD`` ids. In a shard, frequent pairs of neighbouring symbols are replaced
-by new symbols, round after round, until no pair occurs ``LEAST`` times (or after
-``ROUNDS``). A round takes many pairs at once: of overlapping occurrences the more
-frequent pair wins. No pair reaches over a document's end, so each document is a run
+by new symbols, round after round, until no pair occurs ``LEAST`` times in the shard.
+A round takes all such pairs at once: of overlapping occurrences the more frequent
+pair wins. No pair reaches over a document's end, so each document is a run
 of symbols of its own, and its place and the expansion lengths of the rules are
 stored: one document, or one range of its ids, is decoded without the rest.
 
-A shard is one binary value (little-endian): magic ``RPR1``; vocabulary size, numbers of
-rules, documents and symbols, bytes a symbol (u32 each); expansion lengths (u32); first
+A shard is one binary value (little-endian): magic ``RPR2``; numbers of distinct ids,
+rules, documents and symbols, bytes a symbol (u32 each); the distinct ids, which symbols
+count from 0; expansion lengths (u32); first
 symbol of each document and one past the last (u32); ids per document (u32); rules as
 pairs of symbols; symbols (u16, or u32 where the numbers need it). Shards are rows of a Parquet table with their document ids and order.
 
@@ -19,7 +20,6 @@ in the order of their texts; null ids come first; an empty table gives no rows.
 
 from __future__ import annotations
 
-import re
 import struct
 from array import array
 
@@ -32,12 +32,14 @@ from pyspark.sql import functions as F
 from spanlake.llm.arrays import Words, column, flat, slices
 from spanlake.llm.tables import is_small, mapped, write_scratch
 
-END_ID, SHARD, LEAST, ROUNDS, RULES = 2, 1 << 20, 64, 6, 8192
-MAGIC = b"RPR1"
-#: Distinct words whose ids a Python worker remembers.
-REMEMBERED = 600_000
+END_ID, SHARD, LEAST = 2, 1 << 20, 8
+MAGIC = b"RPR2"
+#: Buckets of pairs that are counted before pairs themselves are; a prime.
+CELLS = 4_194_301
+#: Words whose ids a Python worker remembers: twice as many at most, those not met for that long go.
+REMEMBERED = 700_000
 #: Bytes of text that are encoded at once.
-TEXT_SLICE = 2 << 20
+TEXT_SLICE = 6 << 20
 SCHEMA = "part int, nth int, doc_ids array<long>, n_tokens long, shard binary"
 
 
@@ -56,8 +58,10 @@ class Encoder:
     """
 
     _loaded: dict[str, Encoder] = {}
-    _TAIL = re.compile(rb"^(.*[a-z0-9])([!-/:-@\[-`{-~]+)$", re.S)
-    _LETTERS = re.compile(rb"^[a-z]+$")
+    _MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
+    # The model reads a byte as a character: itself where it is printable, else one from 256 on.
+    _PRINTED = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    _READ = {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - set(_PRINTED)))}
 
     @classmethod
     def load(cls, path: str) -> Encoder:
@@ -71,31 +75,39 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size()
         self.known: dict[bytes, bytes] = {}
+        self.earlier: dict[bytes, bytes] = {}
 
     def _ids(self, word: bytes) -> bytes:
         """The ids of a word as u32, as bytes."""
-        found = self.known.get(word)
-        if found is None:
-            tail = self._TAIL.match(word)
-            if tail:
-                found = self._ids(tail[1]) + self._ids(tail[2])
-            elif self._LETTERS.match(word):
-                # Letters alone are one unit to the model: nothing to normalise or divide.
-                found = _u32([t.id for t in self.tokenizer.model.tokenize(word.decode())])
-            else:
-                text = word.decode(errors="replace")
-                found = _u32(self.tokenizer.encode(text, add_special_tokens=False).ids)
-            if len(self.known) < REMEMBERED:
-                self.known[word] = found
+        found = self.known.get(word) or self.earlier.get(word) or self._new(word)
+        if len(self.known) >= REMEMBERED:
+            self.known, self.earlier = {}, self.known
+        self.known[word] = found
         return found
 
+    def _new(self, word: bytes) -> bytes:
+        if word.isalpha():
+            # Letters alone are one unit to the model: nothing to normalise or divide.
+            return self._unit(word.decode())
+        head = word.rstrip(self._MARKS)
+        if head and len(head) < len(word) and (head[-1:].isalnum() or head[-2:-1] == b"\xc3" and head[-1] not in (0x97, 0xB7)):
+            # A unit ends with the letter or digit; the marks behind it are the next one.
+            found = self.known.get(head) or self.earlier.get(head) or self._new(head)
+            return found + self._ids(word[len(head) :])
+        text = word.decode(errors="replace")
+        if text.isalpha() and max(text) <= "ÿ":  # letters of Latin-1 have one form, only to be lowered
+            return self._unit(text.lower().encode().decode("latin-1").translate(self._READ))
+        return _u32(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _unit(self, text: str) -> bytes:
+        return _u32([t.id for t in self.tokenizer.model.tokenize(text)])
+
     def encode(self, values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets), without end ids."""
         raw, offsets = flat(values)
         words = Words(raw, offsets)
         codes, names = words.coded(lower=True)
-        known = self.known
-        each = [known.get(w) or self._ids(w) for w in names.to_pylist()]
+        each = [self.known.get(w) or self._ids(w) for w in names.to_pylist()]
         size = np.fromiter(map(len, each), np.int64, len(each)) // 4
         start = np.concatenate([[0], np.cumsum(size)])
         store = np.frombuffer(b"".join(each), "<u4").astype(np.int64)
@@ -122,51 +134,61 @@ def _rows_with(raw: np.ndarray, offsets: np.ndarray, two: bytes) -> np.ndarray:
     return np.unique(np.searchsorted(offsets, at, "right") - 1)
 
 
-def compress(ids: np.ndarray, docs: np.ndarray, size: int, least: int = LEAST, rounds: int = ROUNDS):
-    """(rules, expansion lengths, symbols, document offsets) of ids < size; ``docs`` are offsets."""
-    a = ids.astype(np.int64)
+def compress(ids: np.ndarray, docs: np.ndarray, size: int, least: int = LEAST):
+    """(rules, expansion lengths, symbols, document offsets) of ids < size; ``docs`` are offsets.
+
+    ``least`` is 2 or more. Every round replaces the most frequent pair at least, so they end.
+    """
+    a = ids.astype(np.int32)
     last = np.zeros(len(a), bool)  # of its document
     last[docs[1:][np.diff(docs) > 0] - 1] = True
     rules = np.zeros((0, 2), np.int64)
     lengths = np.zeros(0, np.int64)
-    for _ in range(rounds):
-        if len(a) < 2:
-            break
+    lost = np.zeros(0, bool)  # begins a frequent pair that was not taken
+    newest = size
+    while len(a) > 1:
         base = size + len(rules)
-        key = a[:-1] << 32 | a[1:]
-        with np.errstate(over="ignore"):
-            bucket = (key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(43)
-        bucket = bucket.astype(np.int64)
-        bucket[last[:-1]] = 1 << 21
-        heavy = np.bincount(bucket, minlength=(1 << 21) + 1) >= least
-        heavy[1 << 21] = False
-        at = np.flatnonzero(heavy[bucket])  # every frequent pair is in a heavy bucket
+        if len(rules):
+            # Counts of pairs only fall, but for those with a new symbol.
+            at = np.flatnonzero(((a[:-1] >= newest) | (a[1:] >= newest) | lost[:-1]) & ~last[:-1])
+        else:
+            # Every frequent pair is in a heavy bucket; with few ids a pair has one of its own.
+            bucket = (a[:-1].astype(np.int64) * size + a[1:]) % CELLS
+            bucket[last[:-1]] = CELLS
+            heavy = np.bincount(bucket, minlength=CELLS + 1) >= least
+            heavy[CELLS] = False
+            at = np.flatnonzero(heavy[bucket])
         if not len(at):
             break
-        order = np.argsort(key[at], kind="stable")
-        ordered = key[at][order]
+        key = a[at].astype(np.int64) << 32 | a[at + 1]
+        order = np.argsort(key)
+        ordered = key[order]
         first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
         n = np.diff(np.append(first, len(ordered)))
-        best = np.argsort(-n, kind="stable")[:RULES]
+        best = np.argsort(-n, kind="stable")
         best = best[n[best] >= least]
         if not len(best):
             break
-        rank = np.full(len(first), -1, np.int64)
+        rank = np.full(len(first), -1, np.int32)
         rank[best] = np.arange(len(best))
-        mine = np.empty(len(at), np.int64)
+        mine = np.empty(len(at), np.int32)
         mine[order] = np.repeat(rank, n)
         at, mine = at[mine >= 0], mine[mine >= 0]
-        far = len(best)
-        full = np.full(len(a) + 1, far, np.int64)
+        full = np.full(len(a) + 2, len(best), np.int32)
         full[at + 1] = mine
         # An occurrence is taken if neither overlapping one is more frequent; of a row of equals every second.
         fresh = np.concatenate([[True], (at[1:] != at[:-1] + 1) | (mine[1:] != mine[:-1])])
         place = np.arange(len(at))
         even = (place - np.maximum.accumulate(np.where(fresh, place, 0))) % 2 == 0
-        take = even & (full[at] >= mine) & (np.append(full, far)[at + 2] >= mine)
+        take = even & (full[at] >= mine) & (full[at + 2] >= mine)
+        lost = np.zeros(len(a), bool)
+        lost[at[~take]] = True
         at, mine = at[take], mine[take]
-        used, mine = np.unique(mine, return_inverse=True)
-        pairs = np.stack([ordered[first[best[used]]] >> 32, ordered[first[best[used]]] & 0xFFFFFFFF], axis=1)
+        used = np.flatnonzero(np.bincount(mine, minlength=len(best)))
+        rank[used] = np.arange(len(used))  # of the pairs that were taken, in the same order
+        mine = rank[mine]
+        pairs = ordered[first[best[used]]]
+        pairs = np.stack([pairs >> 32, pairs & 0xFFFFFFFF], axis=1)
         known = np.concatenate([np.ones(size, np.int64), lengths])
         lengths = np.concatenate([lengths, known[pairs].sum(axis=1)])
         rules = np.concatenate([rules, pairs])
@@ -174,7 +196,8 @@ def compress(ids: np.ndarray, docs: np.ndarray, size: int, least: int = LEAST, r
         last[at] = last[at + 1]
         stay = np.ones(len(a), bool)
         stay[at + 1] = False
-        a, last = a[stay], last[stay]
+        a, last, lost = a[stay], last[stay], lost[stay]
+        newest = base
     ends = np.flatnonzero(last) + 1
     starts = np.zeros(len(docs), np.int64)
     starts[1:][np.diff(docs) > 0] = ends
@@ -182,10 +205,14 @@ def compress(ids: np.ndarray, docs: np.ndarray, size: int, least: int = LEAST, r
 
 
 def packed(ids: np.ndarray, docs: np.ndarray, size: int) -> bytes:
-    rules, lengths, symbols, starts = compress(ids, docs, size)
-    width = 2 if size + len(rules) <= 1 << 16 else 4
-    head = struct.pack("<4s5I", MAGIC, size, len(rules), len(docs) - 1, len(symbols), width)
-    numbers = [x.astype("<u4").tobytes() for x in (lengths, starts, np.diff(docs))]
+    """The stored shard. Symbols count from 0 over the ids that occur, so two bytes mostly hold them."""
+    names = np.flatnonzero(np.bincount(ids, minlength=size))
+    dense = np.zeros(size, np.int64)
+    dense[names] = np.arange(len(names))
+    rules, lengths, symbols, starts = compress(dense[ids], docs, len(names))
+    width = 2 if len(names) + len(rules) <= 1 << 16 else 4
+    head = struct.pack("<4s5I", MAGIC, len(names), len(rules), len(docs) - 1, len(symbols), width)
+    numbers = [x.astype("<u4").tobytes() for x in (names, lengths, starts, np.diff(docs))]
     return head + b"".join(numbers) + b"".join(x.astype(f"<u{width}").tobytes() for x in (rules, symbols))
 
 
@@ -193,25 +220,36 @@ class Shard:
     """A stored shard; ``document`` and ``ids`` decode one document, or a range of its ids."""
 
     def __init__(self, data: bytes):
-        magic, self.size, n_rules, n_docs, n_symbols, width = struct.unpack_from("<4s5I", data)
+        magic, n_names, n_rules, n_docs, n_symbols, width = struct.unpack_from("<4s5I", data)
         if magic != MAGIC:
             raise ValueError("no shard")
-        n = n_rules + 2 * n_docs + 1
+        n = n_names + n_rules + 2 * n_docs + 1
         numbers = np.frombuffer(data, "<u4", n, 24).astype(np.int64)
-        self.lengths, self.starts, self.n_tokens = np.split(numbers, [n_rules, n_rules + n_docs + 1])
+        names, lengths, starts, n_tokens = np.split(numbers, np.cumsum([n_names, n_rules, n_docs + 1]))
         symbols = np.frombuffer(data, f"<u{width}", offset=24 + 4 * n).astype(np.int64)
-        self.rules, self.symbols = symbols[: 2 * n_rules].reshape(-1, 2), symbols[2 * n_rules :]
-
-    def expand(self, symbols: np.ndarray) -> np.ndarray:
-        while len(at := np.flatnonzero(symbols >= self.size)):
-            n = np.ones(len(symbols), np.int64)
+        self.set(names, symbols[: 2 * n_rules].reshape(-1, 2), lengths, symbols[2 * n_rules :], starts, n_tokens)
+
+    def set(self, names, rules, lengths, symbols, starts, n_tokens) -> None:
+        self.symbols, self.starts, self.n_tokens = symbols, starts, n_tokens
+        size = len(names)
+        inner = rules.reshape(-1)
+        while len(at := np.flatnonzero(inner >= size)):
+            n = np.ones(len(inner), np.int64)
             n[at] = 2
             place = np.cumsum(n) - n
-            out = np.repeat(symbols, n)
-            pair = self.rules[symbols[at] - self.size]
+            out = np.repeat(inner, n)
+            pair = rules[inner[at] - size]
             out[place[at]], out[place[at] + 1] = pair[:, 0], pair[:, 1]
-            symbols = out
-        return symbols
+            inner = out
+        #: What every symbol stands for, one after the other: the ids, then the expanded rules.
+        self.text = names[np.concatenate([np.arange(size), inner])]
+        self.lengths = np.concatenate([np.ones(size, np.int64), lengths])
+        self.begins = np.cumsum(self.lengths) - self.lengths
+
+    def expand(self, symbols: np.ndarray) -> np.ndarray:
+        n = self.lengths[symbols]
+        upto = np.cumsum(n)
+        return self.text[np.repeat(self.begins[symbols] - upto + n, n) + np.arange(upto[-1] if len(upto) else 0)]
 
     def all(self) -> np.ndarray:
         return self.expand(self.symbols)
@@ -222,7 +260,7 @@ class Shard:
     def ids(self, k: int, lo: int, hi: int) -> np.ndarray:
         """Ids lo to hi of document k; only the symbols over them are expanded."""
         mine = self.symbols[self.starts[k] : self.starts[k + 1]]
-        n = np.concatenate([np.ones(self.size, np.int64), self.lengths])[mine]
+        n = self.lengths[mine]
         upto = np.cumsum(n)
         a, b = int(np.searchsorted(upto, lo, "right")), int(np.searchsorted(upto, hi, "left")) + 1
         before = int(upto[a] - n[a]) if a < len(mine) else 0
@@ -252,15 +290,19 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, shard: int =
 
         for batch in slices(batches, limit=TEXT_SLICE):
             ids, at = encoder.encode(column(batch, "text"))
-            n = np.diff(at)
             ended = np.insert(ids, at[1:], END_ID)
-            keep_ids.append(column(batch, "doc_id").cast(pa.int64()))
-            keep_tokens.append(ended)
-            keep_sizes.append(n + 1)
-            held += len(ended)
-            if held >= shard:
-                yield flush()
-                keep_ids, keep_tokens, keep_sizes, held, nth = [], [], [], 0, nth + 1
+            upto = np.concatenate([[0], np.cumsum(np.diff(at) + 1)])
+            lo, docs_of = 0, column(batch, "doc_id").cast(pa.int64())
+            while lo < batch.num_rows:
+                hi = min(batch.num_rows, max(lo + 1, int(np.searchsorted(upto, upto[lo] + shard - held))))
+                keep_ids.append(docs_of.slice(lo, hi - lo))
+                keep_tokens.append(ended[upto[lo] : upto[hi]])
+                keep_sizes.append(np.diff(upto[lo : hi + 1]))
+                held += int(upto[hi] - upto[lo])
+                lo = hi
+                if held >= shard:
+                    yield flush()
+                    keep_ids, keep_tokens, keep_sizes, held, nth = [], [], [], 0, nth + 1
         if keep_ids:
             yield flush()
 

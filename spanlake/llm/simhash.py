@@ -17,18 +17,19 @@ are one node throughout.
 
 Defined results: null and wordless texts have the fingerprint 0 and link like any
 other; repeated rows get the same class; a null doc_id counts for the class id only
-where no member has one; an empty table gives no rows.
+where no member has one; an empty table gives no rows. ``representatives`` states
+which row stays.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanlake.llm.arrays import LOWER, Words, column, flat, slices
-from spanlake.llm.tables import components, is_small, mapped, write_scratch
+from spanlake.llm.tables import components, mapped, split_by_keys, write_scratch
 
 SHINGLE, SEED, CELL = 3, 42, 64
 ODD_BITS = 0x5555555555555555
@@ -74,12 +75,16 @@ def fingerprints_of(values: pa.Array) -> np.ndarray:
 def _fingerprints(batches):
     for batch in slices(batches):
         found = fingerprints_of(column(batch, "text")).view(np.int64)
-        yield pa.RecordBatch.from_arrays([column(batch, "doc_id").cast(pa.int64()), pa.array(found)], names=["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([column(batch, "doc_id").cast(pa.int64()), pa.array(found), column(batch, "row_hash")], names=["doc_id", "fp", "row_hash"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) with the fingerprint's 64 bits as a signed long."""
-    return mapped(docs.select("doc_id", "text"), _fingerprints, "doc_id long, fp long")
+    """(doc_id, fp, row_hash): the fingerprint's 64 bits as a signed long, and a hash of id and text."""
+    return mapped(docs.select("doc_id", "text", row_hash().alias("row_hash")), _fingerprints, "doc_id long, fp long, row_hash long")
+
+
+def row_hash() -> Column:
+    return F.xxhash64(F.col("doc_id").cast("long"), "text")
 
 
 def _signed(x: int) -> int:
@@ -119,29 +124,44 @@ def links(points: DataFrame, cell_limit: int = CELL) -> DataFrame:
 
 def classes(docs: DataFrame, cell_limit: int = CELL) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id."""
+    rows, named = _classified(docs, cell_limit)
+    return rows.join(named, "fp").select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+    )
+
+
+def _classified(docs: DataFrame, cell_limit: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp, row_hash) of every row, and (fp, component_id, root) of every fingerprint."""
     rows = write_scratch(fingerprints(docs), "fingerprints")
     points = write_scratch(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "points")
     roots = components(links(points.select("fp"), cell_limit))
     rooted = points.join(roots, points["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     rooted = write_scratch(rooted, "rooted")
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(ids, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    return rows, rooted.join(ids, "root").select("fp", "component_id", "root")
 
 
 def representatives(docs: DataFrame, cell_limit: int = CELL) -> DataFrame:
-    """One document of each class, the one with the smallest id, with all its columns.
+    """One row of each class with all its columns: that of the smallest id, null ids last.
 
-    Documents are known by doc_id here: of rows that share one, one stays. Texts only
-    move if ids are shared, or if the ids to drop are too many to broadcast.
+    Rows are told apart by id and text: of different texts with one id, or without an id,
+    the one with the smallest hash of both stands for the class, and of rows equal in
+    both one stays. Texts move only for rows that go and the few that share their place
+    in a bit map of those.
     """
-    found = write_scratch(classes(docs, cell_limit).select("doc_id", "component_id"), "classes")
-    kept = found.where("doc_id <=> component_id").select(F.col("doc_id").alias("class_id"))
-    gone = found.join(kept, found["doc_id"].eqNullSafe(kept["class_id"]), "left_anti").select(F.col("doc_id").alias("gone_id")).distinct()
-    gone = write_scratch(gone, "near-copies")
-    gone = F.broadcast(gone) if is_small(gone) else gone
-    left = docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]), "left_anti")
-    shared = found.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return left.dropDuplicates(["doc_id"]) if shared else left
+    rows, named = _classified(docs, cell_limit)
+    found = write_scratch(rows.join(named, "fp").select("doc_id", "row_hash", "root"), "classes")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row_hash")
+    kept = found.groupBy("root").agg(F.min_by("row_hash", order).alias("row_hash"), F.count("*").alias("members"))
+    kept = write_scratch(kept.where("members > 1").drop("members"), "representatives")
+    # All rows of classes with several, the kept ones marked; single rows need no decision.
+    decided = found.join(kept.withColumnRenamed("row_hash", "kept_hash"), "root")
+    decided = decided.groupBy("doc_id", "row_hash").agg(F.bool_or(F.col("row_hash") == F.col("kept_hash")).alias("kept"), F.count("*").alias("rows"))
+    odd = write_scratch(decided.where("NOT kept OR rows > 1"), "decisions")
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), row_hash().alias("hash"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    stay, asked = split_by_keys(rows, F.col("r.hash"), odd.select("row_hash"))
+    asked = asked.join(odd.hint("merge"), F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("row_hash")), "left")
+    single, several = asked.where("row_hash IS NULL"), asked.where("kept")
+    # Rows equal in id and text: any one of them, whatever their other columns say.
+    several = several.groupBy("id", "hash").agg(F.first("row").alias("row"))
+    return stay.select("row").unionByName(single.select("row")).unionByName(several.select("row")).select("row.*")

@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanlake.session import RUNTIME_CONF, checkpoint, configure, write_scratch
 
 #: Rows that a broadcast side may have, for rows of up to about 100 bytes.
 BROADCAST_ROWS = 200_000
+#: 64-bit words of a bit map of keys: 8 MB of bits.
+SLOTS = 1 << 20
 
-__all__ = ["BROADCAST_ROWS", "RUNTIME_CONF", "checkpoint", "components", "configure", "documents", "is_small", "mapped", "table", "write_scratch"]
+__all__ = ["BROADCAST_ROWS", "RUNTIME_CONF", "checkpoint", "components", "configure", "documents", "is_small", "mapped", "split_by_keys", "table", "write_scratch"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +40,24 @@ def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+def split_by_keys(rows: DataFrame, key: Column, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key is certainly none of ``keys``, the others), without moving a row.
+
+    ``keys`` has one column of 64-bit hashes. They become a bit map of ``SLOTS`` words at
+    most, which is what is broadcast, however many keys there are; the more, the more
+    other rows are taken along with those that have a key.
+    """
+    (name,) = keys.columns
+    slot = lambda k: F.shiftrightunsigned(k, 6).bitwiseAND(F.lit(SLOTS - 1).cast("long"))
+    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63).cast("long")).cast("int"))
+    words = keys.select(slot(F.col(name)).alias("bitmap_slot"), bit(F.col(name)).alias("bitmap_bit"))
+    words = write_scratch(words.groupBy("bitmap_slot").agg(F.bit_or("bitmap_bit").alias("bitmap_word")), "bitmap")
+    found = rows.alias("r").join(F.broadcast(words).alias("w"), slot(key) == F.col("w.bitmap_slot"), "left")
+    hit = F.coalesce(F.col("w.bitmap_word"), F.lit(0)).bitwiseAND(bit(key)) != 0
+    own = [F.col(f"r.`{c}`") for c in rows.columns]
+    return found.where(~hit).select(*own), found.where(hit).select(*own)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node that each node of the edges (a, b) reaches.
 

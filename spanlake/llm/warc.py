@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanlake.llm.tables import checkpoint, is_small, write_scratch
+from spanlake.llm.tables import checkpoint, is_small, split_by_keys, write_scratch
 from spanlake.session import scratch_path
 
 REVISIT_BYTES = 1000
@@ -44,15 +44,16 @@ def decided(pages: DataFrame) -> DataFrame:
     """Pages with payload, digest and, for revisits, the id of the page that has the payload."""
     payload = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload"))
-    rows = rows.withColumns({"n": F.octet_length("payload"), "digest": F.sha1(F.col("payload").cast("binary")), "equal": F.sha2("payload", 256)})
-    long = F.col("n") >= REVISIT_BYTES
-    shared = rows.where(long).groupBy("equal").agg(F.max("page_id").alias("first_id"), F.count("*").alias("copies")).where("copies > 1 AND first_id IS NOT NULL")
-    shared = write_scratch(shared.select("equal", "first_id"), "shared-payloads")
-    if is_small(shared):
-        shared = F.broadcast(shared)
-    rows = rows.join(shared, "equal", "left")
+    rows = rows.withColumns({"n": F.octet_length("payload"), "digest": F.sha1(F.col("payload").cast("binary")), "hash": F.xxhash64("payload")})
+    equal = F.sha2("payload", 256).alias("equal")
+    shared = rows.where(F.col("n") >= REVISIT_BYTES).select("page_id", "hash", equal).groupBy("equal", "hash")
+    shared = shared.agg(F.max("page_id").alias("first_id"), F.count("*").alias("copies")).where("copies > 1 AND first_id IS NOT NULL")
+    shared = write_scratch(shared.select("equal", "hash", "first_id"), "shared-payloads")
+    stay, asked = split_by_keys(rows, F.col("r.hash"), shared.select("hash"))
+    asked = asked.withColumn("equal", equal).join(shared.drop("hash").hint("merge"), "equal", "left").drop("equal")
+    rows = stay.withColumn("first_id", F.lit(None).cast("long")).unionByName(asked)
     revisit = F.col("first_id").isNotNull() & ~F.col("first_id").eqNullSafe(F.col("page_id"))
-    return rows.withColumn("refers_to", F.when(revisit, F.col("first_id"))).drop("first_id", "equal")
+    return rows.withColumn("refers_to", F.when(revisit, F.col("first_id"))).drop("first_id", "hash")
 
 
 def record(rows: DataFrame) -> Column:

@@ -5,6 +5,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from brute import classes, fingerprint
+from pyspark.sql import functions as F
 
 from spanlake.llm import simhash as S
 from spanlake.llm.tables import components
@@ -83,6 +84,35 @@ def test_components_of_random_graphs(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_representatives_know_rows_by_id_and_text(spark):
+    """Different texts with null or shared ids stay; of equal rows and of near copies one does."""
+    texts = [" ".join(f"{w}{k}" for k in range(40)) for w in "abcdef"]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[2]), (7, texts[3]), (7, texts[4]), (7, texts[5]), (7, texts[5]), (8, texts[0]), (9, texts[3]), (None, texts[2])]
+    docs = spark.createDataFrame([(*r, k, 2, 3) for k, r in enumerate(rows)], "doc_id long, text string, row_hash int, root int, kept int")
+    for seed in range(2):
+        kept = S.representatives(docs.repartition(3 + seed))
+        assert kept.schema == docs.schema
+        assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted(
+            [(8, texts[0]), (None, texts[1]), (None, texts[2]), (7, texts[3]), (7, texts[4]), (7, texts[5])], key=repr
+        )
+
+
+def test_split_by_keys(spark, monkeypatch):
+    """Rows with a key are always among the asked ones, with any size of the bit map."""
+    from spanlake.llm import tables
+
+    rows = spark.range(3000).selectExpr("id", "xxhash64(id) AS hash", "'x' AS bitmap_slot")
+    keys = spark.range(0, 3000, 7).selectExpr("xxhash64(id) AS k")
+    for slots in (1 << 20, 4, 1):
+        monkeypatch.setattr(tables, "SLOTS", slots)
+        stay, asked = tables.split_by_keys(rows, F.col("r.hash"), keys)
+        assert stay.columns == rows.columns == asked.columns
+        assert stay.count() + asked.count() == 3000 and stay.where("id % 7 = 0").count() == 0
+        assert slots < 5 or asked.count() < 450
+    stay, asked = tables.split_by_keys(rows, F.col("r.hash"), keys.limit(0))
+    assert asked.count() == 0 and stay.count() == 3000
+
+
 def test_documents_with_edge_rows(spark):
     text = "some words that make a longer text of many parts " * 6
     rows = [(i + 10, t) for i, t in enumerate(EDGE)] + [(5, text), (3, text), (3, text), (None, text), (None, "other words entirely here")]
