@@ -131,3 +131,33 @@ def test_telemetry(spark):
     assert rows(verdict.filter("confirmed"), "sequence") == [(4,), (5,)] and rows(verdict.filter("breaking_point"), "sequence") == [(4,)]
     cumulative = spark.createDataFrame([("b", s, le, c) for s, rows_ in {1: (2, 5, 5), 2: (2, 9, 10)}.items() for le, c in zip((2500.0, 5000.0, float("inf")), rows_)], "metric string, step bigint, le double, cumulative bigint")
     assert rows(telemetry.histogram_delta(cumulative, 2500.0, 5000.0), "step", "observations", "in_range") == [(1, 5, 3), (2, 5, 4)]
+
+
+def test_export_requests_are_parsed_without_a_copy_of_their_text(spark, tmp_path):
+    """The text is many times the tables: the queries store none of it, and a stored one reads the same."""
+    import os
+
+    from __spark_entry__ import SMOKE_DIR, queries
+    from spanlake.plans import catalog
+    from spanlake.session import shared_dir
+
+    def stored():
+        return {n for n in os.listdir(shared_dir(spark).removeprefix("file:")) if n.startswith("otlp")}
+
+    before, run = stored(), queries()
+    got = {n: run[n](spark, SMOKE_DIR).collect() for n in ("otlp_flatten", "validate_spans", "resolve_service_name", "normalize_span_row", "skip_corrupt")}
+    assert stored() == before
+    catalog.otlp_lines(spark, SMOKE_DIR).write.text(str(tmp_path / "lines"))
+    requests = otlp.read_otlp(spark, str(tmp_path / "lines"))
+    flat = otlp.otlp_flatten(otlp.skip_corrupt(requests))
+    unreadable = otlp.split_unreadable(flat)[1].count()
+    assert unreadable and got["skip_corrupt"][0].unreadable == unreadable
+    assert got["validate_spans"] == otlp.validation_counts(flat).collect()
+    assert sorted(map(tuple, got["otlp_flatten"])) == rows(flat, "traceId", "spanId", "resource_service", "name")
+
+
+def test_unreadable_spans_of_a_request_are_counted_where_parts_are_missing(spark):
+    spans_ = [{"traceId": "1", "spanId": "a", "startTimeUnixNano": "12x"}, {"traceId": "1", "spanId": "b", "endTimeUnixNano": ""}, None]
+    df = parse(spark, request([], extra=spans_), '{"resourceSpans": [{}, {"scopeSpans": [{}, {"spans": []}]}, null]}', "{}", request([]))
+    assert rows(df.select(otlp.unreadable_spans().alias("n")), "n") == [(0,), (0,), (0,), (2,)]
+    assert otlp.split_unreadable(otlp.otlp_flatten(df))[1].count() == 2
