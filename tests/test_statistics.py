@@ -151,3 +151,11 @@ def test_lookback_not_a_multiple_of_the_window(spark):
     for r in table.collect():
         inside = [i + 1.0 for i in range(30) if r.as_of - 100 <= i * 10 < r.as_of]
         assert r.call_count_observed == len(inside) and r.latency_median_ms == pytest.approx(np.median(inside))
+
+
+def test_values_of_ranges_are_never_broadcast(spark):
+    """The copies along a range escape the estimate of their size, so even small tables are joined by shuffles."""
+    rows_ = spark.range(2000).selectExpr("id % 3 AS k", "id AS v", "id % 50 AS k_lo", "id % 50 + 14 AS k_hi")
+    plan = quantiles.median_mad_over_ranges(rows_, ["k"], "v")._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join Inner" in line and "_b#" in line]
+    assert joins and all("strategy=merge" in line for line in joins)
