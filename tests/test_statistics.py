@@ -159,3 +159,35 @@ def test_values_of_ranges_are_never_broadcast(spark):
     plan = quantiles.median_mad_over_ranges(rows_, ["k"], "v")._jdf.queryExecution().optimizedPlan().toString()
     joins = [line for line in plan.splitlines() if "Join Inner" in line and "_b#" in line]
     assert joins and all("strategy=merge" in line for line in joins)
+
+
+@pytest.mark.parametrize("bound", [10**6, 60])
+def test_rolling_medians_move_each_call_at_most_twice(spark, monkeypatch, bound):
+    """The same medians from tasks that hold a stretch and from histograms; no copies along the ranges move."""
+    monkeypatch.setattr(quantiles, "RANKED", bound)
+    rng = np.random.default_rng(3)
+    calls = [(int(k), int(lo), int(lo + w), int(v), int(e)) for k, lo, w, v, e in zip(
+        rng.integers(0, 3, 900), np.where(rng.random(900) < 0.3, 45, rng.integers(-70, 200, 900)), rng.integers(-1, 15, 900), rng.integers(-50, 10**6, 900), rng.integers(0, 2, 900), strict=True)]
+    df = spark.createDataFrame(calls, "k int, k_lo bigint, k_hi bigint, v bigint, e bigint")
+    out = quantiles.rolling_median_mad(df, ["k"], "v", 60, ["e"])
+    got = {(r.k, r.as_of_index): (r.n, r.e, r.median2, r.mad4) for r in out.collect()}
+    want = {}
+    for k in range(3):
+        for at in range(-70, 215):
+            mine = [(v, e) for q, lo, hi, v, e in calls if q == k and lo <= at <= hi]
+            if mine:
+                v = np.array([m[0] for m in mine])
+                m2 = int(2 * np.median(v))
+                want[k, at] = (len(v), sum(m[1] for m in mine), m2, int(2 * np.median(np.abs(2 * v - m2))))
+    assert got == want
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert ("FlatMapGroupsInArrow" in plan) and ("Union" in plan) == (bound == 60)
+
+
+def test_percentiles_of_small_groups_take_one_shuffle(spark):
+    df = spark.range(5000).selectExpr("id % 700 AS k", "id * 7919 % 10007 AS v", "1L AS e")
+    out = quantiles.percentiles(df, ["k"], "v", [0.5, 0.95], ["e"])
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    for r in out.collect():
+        mine = np.arange(5000)[np.arange(5000) % 700 == r.k] * 7919 % 10007
+        assert np.allclose([r.p0, r.p1], np.percentile(mine, [50, 95])) and r.n == r.e == len(mine)
