@@ -115,3 +115,8 @@ def test_lookback_is_a_range_over_midnight(spark):
     assert windows.fetch_window(table, 0, 2 * DAY).count() == 20
     assert baseline.lookback_spans(table, DAY + 1, 2).count() == 10
     assert windows.late_spans(table, 2 * DAY, -10 * DAY).count() == 20
+
+
+def test_a_bucket_stays_small_enough_to_be_sorted_in_memory(spark):
+    many = spark.range(6_000_000).selectExpr("CAST(id AS string) AS trace_id")
+    assert 6_000_000 / Layout.of(many).buckets <= 600_000
