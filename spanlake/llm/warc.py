@@ -25,8 +25,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanlake.llm.tables import checkpoint, is_small, split_by_keys, write_scratch
-from spanlake.session import scratch_path
+from spanlake.llm.tables import is_small, split_by_keys, write_scratch
+from spanlake.session import Rounds, scratch_path
 
 REVISIT_BYTES = 1000
 # Fixed values of the format.
@@ -135,13 +135,14 @@ def reachable(nodes: DataFrame) -> DataFrame:
     Pointer jumping: after round r every node's pointer is 2^r records further on, and
     2^r records of each file are known. Pointers past the last record fall away.
     """
-    state = checkpoint(nodes.select("file", "at", F.col("next").alias("jump"), (F.col("at") == 0).alias("reached")))
+    rounds = Rounds("chain")
+    state = rounds.keep(nodes.select("file", "at", F.col("next").alias("jump"), (F.col("at") == 0).alias("reached")))
     while state.where("jump IS NOT NULL").limit(1).count():
         hit = state.where("reached AND jump IS NOT NULL").select("file", F.col("jump").alias("at"), F.lit(True).alias("hit")).distinct()
         far = state.select("file", F.col("at").alias("jump"), F.col("jump").alias("further"), F.lit(True).alias("real"))
-        state = checkpoint(
-            state.join(hit, ["file", "at"], "left")
-            .join(far, ["file", "jump"], "left")
+        state = rounds.keep(
+            state.join(hit.hint("merge"), ["file", "at"], "left")
+            .join(far.hint("merge"), ["file", "jump"], "left")
             .select("file", "at", F.when(F.col("real"), F.col("further")).alias("jump"), (F.col("reached") | F.coalesce("hit", F.lit(False))).alias("reached"))
         )
     return state.where("reached").select("file", "at")
@@ -158,7 +159,8 @@ def read(df: DataFrame) -> DataFrame:
     placed = write_scratch(narrow.withColumn("total", total), "placed")
     nodes = placed.where("span IS NOT NULL AND at >= 0 AND at + span <= total").select("file", "at", (F.col("at") + F.col("span")).alias("next"))
     known = reachable(nodes)
-    found = placed.join(known, ["file", "at"])
+    # A million rows of one file's places take a few MB of a file and hundreds as a broadcast.
+    found = placed.join(known.hint("merge"), ["file", "at"])
     fields = ["id", "type", "refers", "claimed", F.col("length").alias("bytes")]
     done = found.where("whole").select(*fields, "digest")
     broken = found.where("NOT whole")
@@ -233,7 +235,7 @@ def resolved(records: DataFrame) -> DataFrame:
     own = records.where("type = 'response'")
     of = own.groupBy(F.col("id").alias("of")).agg(F.first("bytes").alias("of_bytes"), F.first("digest").alias("of_digest"))
     of = write_scratch(of, "responses")  # so that a payload with very many copies is split in the join
-    back = records.where("type = 'revisit'").join(of, F.col("refers") == F.col("of"), "left")
+    back = records.where("type = 'revisit'").join(of.hint("merge"), F.col("refers") == F.col("of"), "left")
     both = own.select("id", "type", F.lit(None).cast("string").alias("refers"), "claimed", "bytes", "digest").unionByName(
         back.select("id", "type", "refers", "claimed", F.col("of_bytes").alias("bytes"), F.col("of_digest").alias("digest"))
     )
