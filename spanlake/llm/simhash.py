@@ -106,26 +106,30 @@ def cells(points: DataFrame) -> DataFrame:
 
 
 def links(points: DataFrame, cell_limit: int = CELL) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints whose components are those of all links."""
+    """Edges (a, b) between distinct fingerprints whose components are those of all links.
+
+    Spark sizes what an explode makes by what goes in, a sixty-fifth of it, and would
+    broadcast it: all joins here are hinted to shuffle.
+    """
     visits = cells(points)
     shared = visits.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
-    members = write_scratch(visits.join(shared, "cell"), "cells")
+    members = write_scratch(visits.join(shared.hint("merge"), "cell"), "cells")
     small = members.where(F.col("n") <= cell_limit)
     a, b = small.select("cell", F.col("fp").alias("a")), small.select("cell", F.col("fp").alias("b"))
-    pairs = a.join(b, "cell").where("a < b AND bit_count(a ^ b) <= 2").select("a", "b").distinct()
+    pairs = a.join(b.hint("merge"), "cell").where("a < b AND bit_count(a ^ b) <= 2").select("a", "b").distinct()
     dense = members.where(F.col("n") > cell_limit).select("fp").distinct()
     flips = [0, *[_signed(1 << i) for i in range(64)]]
     meet = dense.select("fp", F.explode(F.array(*[F.lit(s).cast("long") for s in flips])).alias("flip"))
     meet = meet.select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("z"))
     least = meet.groupBy("z").agg(F.min("fp").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
-    stars = meet.join(least, "z").where("fp != b").select(F.col("fp").alias("a"), "b").distinct()
+    stars = meet.join(least.hint("merge"), "z").where("fp != b").select(F.col("fp").alias("a"), "b").distinct()
     return pairs.union(stars)
 
 
 def classes(docs: DataFrame, cell_limit: int = CELL) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id."""
     rows, named = _classified(docs, cell_limit)
-    return rows.join(named, "fp").select(
+    return rows.join(named.hint("merge"), "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
@@ -135,10 +139,10 @@ def _classified(docs: DataFrame, cell_limit: int) -> tuple[DataFrame, DataFrame]
     rows = write_scratch(fingerprints(docs), "fingerprints")
     points = write_scratch(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "points")
     roots = components(links(points.select("fp"), cell_limit))
-    rooted = points.join(roots, points["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = points.join(roots.hint("merge"), points["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     rooted = write_scratch(rooted, "rooted")
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows, rooted.join(ids, "root").select("fp", "component_id", "root")
+    return rows, rooted.join(ids.hint("merge"), "root").select("fp", "component_id", "root")
 
 
 def representatives(docs: DataFrame, cell_limit: int = CELL) -> DataFrame:

@@ -129,3 +129,16 @@ def test_documents_with_edge_rows(spark):
     assert kept.schema == docs.schema
     assert sorted((r.doc_id for r in kept.collect()), key=lambda x: (x is None, x)) == [*sorted(set(want.values())), None]
     assert S.classes(docs.limit(0)).count() == 0
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_what_is_exploded_is_not_broadcast(spark, monkeypatch):
+    """Its estimate is that of the rows that go in, 65 times too few."""
+    plans, write = [], S.write_scratch
+    monkeypatch.setattr(S, "write_scratch", lambda df, name: plans.append(plan(df)) or write(df, name))
+    points = spark.createDataFrame([(i * i * 977,) for i in range(300)], "fp long")
+    plans.append(plan(S.links(points, 2)))
+    assert len(plans) == 2 and not [p for p in plans if "Broadcast" in p]
