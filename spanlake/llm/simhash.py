@@ -154,12 +154,12 @@ def representatives(docs: DataFrame, cell_limit: int = CELL) -> DataFrame:
     in a bit map of those.
     """
     rows, named = _classified(docs, cell_limit)
-    found = write_scratch(rows.join(named, "fp").select("doc_id", "row_hash", "root"), "classes")
+    found = write_scratch(rows.join(named.hint("merge"), "fp").select("doc_id", "row_hash", "root"), "classes")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "row_hash")
     kept = found.groupBy("root").agg(F.min_by("row_hash", order).alias("row_hash"), F.count("*").alias("members"))
     kept = write_scratch(kept.where("members > 1").drop("members"), "representatives")
     # All rows of classes with several, the kept ones marked; single rows need no decision.
-    decided = found.join(kept.withColumnRenamed("row_hash", "kept_hash"), "root")
+    decided = found.join(kept.withColumnRenamed("row_hash", "kept_hash").hint("merge"), "root")
     decided = decided.groupBy("doc_id", "row_hash").agg(F.bool_or(F.col("row_hash") == F.col("kept_hash")).alias("kept"), F.count("*").alias("rows"))
     odd = write_scratch(decided.where("NOT kept OR rows > 1"), "decisions")
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), row_hash().alias("hash"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))

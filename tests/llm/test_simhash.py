@@ -142,3 +142,12 @@ def test_what_is_exploded_is_not_broadcast(spark, monkeypatch):
     points = spark.createDataFrame([(i * i * 977,) for i in range(300)], "fp long")
     plans.append(plan(S.links(points, 2)))
     assert len(plans) == 2 and not [p for p in plans if "Broadcast" in p]
+
+
+def test_representatives_broadcast_only_the_bit_map(spark, monkeypatch):
+    """Classes and decisions have a row a document or so; none of them goes to the driver."""
+    plans, write = [], S.write_scratch
+    monkeypatch.setattr(S, "write_scratch", lambda df, name: plans.append(plan(df)) or write(df, name))
+    docs = spark.createDataFrame([(i, f"some words of document {i // 2}") for i in range(60)], "doc_id long, text string")
+    assert S.representatives(docs).count() == 30
+    assert plans and not [p for p in plans if "Broadcast" in p]
